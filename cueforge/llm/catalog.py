@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, mixing, topk, url_filter, warc
+from . import bpe, exact_dedup, html_extract, mixing, quality, topk, url_filter, warc
 from .common import Scratch, table
 
 
@@ -23,6 +23,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(urls, url_filter.fit(url_filter.labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) ->
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
+    "op3_quality": op3_quality,
     "op4_topk": op4_topk,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_mixing": op7_mixing,

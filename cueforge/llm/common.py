@@ -53,3 +53,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def normalised(text: Column) -> Column:
     """The text without white space; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
+
+
+def small_side(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """A stored table as the small side of a join: broadcast if it has at most so many (narrow) rows, else by sort-merge."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, Scratch
+from .common import SPACE_CLASS, Scratch, small_side
 
 OFFSETS = 128
 WEIGHTS = (1, 2, 3)
@@ -67,9 +67,9 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, weights: tuple[int,
         return (at - F.floor(at) < F.col("_f")).cast("long")
 
     same = lambda right: F.col("source").eqNullSafe(F.col(right))
-    t = rows.join(goals.withColumnRenamed("source", "s2").hint("merge"), same("s2")).drop("s2")
+    t = rows.join(small_side(goals.withColumnRenamed("source", "s2")), same("s2")).drop("s2")
     sums = t.groupBy("source").agg(F.first("_f").alias("_f1"), F.first("source_size").alias("_all"), *[F.sum(F.col("size") * taken(F.lit(i / OFFSETS))).alias(f"_o{i}") for i in range(OFFSETS)])
     misses = F.array(*[F.struct(F.abs(F.col(f"_o{i}") - F.col("_all") * F.col("_f1")).alias("miss"), F.lit(i).alias("i")) for i in range(OFFSETS)])
     best = scratch.save(sums.select(F.col("source").alias("s3"), (F.array_min(misses)["i"] / OFFSETS).alias("_offset")), "offsets")
-    out = t.join(best.hint("merge"), same("s3")).withColumn("times", (F.floor("_r") + taken(F.col("_offset"))).cast("long"))
+    out = t.join(small_side(best), same("s3")).withColumn("times", (F.floor("_r") + taken(F.col("_offset"))).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
