@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, mixing, quality, topk, url_filter, warc
+from . import bpe, exact_dedup, html_extract, mixing, quality, shingle_join, topk, url_filter, warc
 from .common import Scratch, table
 
 
@@ -39,6 +39,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_topk": op4_topk,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_shingle_join": op8_shingle_join,
     "op9_html_extract": op9_html_extract,
     "op10_bpe": op10_bpe,
 }
