@@ -7,9 +7,10 @@ most `rare` documents are indexed by themselves; if both of the two are more fre
 combination of two, and only combinations of frequent tokens are indexed. Large sets would have too many
 combinations: they index frequent tokens by themselves too, and sets that may link to them do both.
 
-Candidates are then verified on the whole sets. Links only have to give the components right, so candidates are
-tried in rounds: each key's members against one of them, and only members of different components again. What
-is still apart after some rounds is tried pair by pair.
+Entries carry how much their sets can still share if the entry is the first they share, which rules most pairs
+out before any set is looked at. The others are verified on whole sets. Links only have to give the components
+right, so each key's members are first tried against its most typical one, the one whose tokens are the most
+frequent; what is then still in different components is tried pair by pair.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ RARE = 2000
 #: Sets from this size index frequent tokens by themselves.
 LARGE = 1000
 BUCKET_BYTES = 8 << 20
-STAR_ROUNDS = 6
 
 
 def distinct_per_text(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +47,12 @@ def needed(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // 100)
 
 
-def prefix_keys(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int, percent: int, rare: int, large: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text numbers, keys) of the index entries of sets given as sorted (doc, h) with document counts."""
+def prefix_keys(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int, percent: int, rare: int, large: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text numbers, keys, most) of the index entries of sets given as sorted (doc, h) with document counts.
+
+    most is how many tokens a set can share with another if the entry's token, or the first of its two, is the
+    first that they share: what comes before it in the order is not shared.
+    """
     size = np.bincount(doc, minlength=n_docs)
     prefix = np.minimum(size - needed(size, percent) + 2, size)
     alone = count < 2
@@ -59,15 +63,16 @@ def prefix_keys(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int,
     order = np.lexsort((t, c, d))
     d, t, c = d[order], t[order], c[order]
     starts = np.searchsorted(d, np.arange(n_docs))
-    keep = np.arange(len(d)) - starts[d] < left[d]
-    d, t, c = d[keep], t[keep], c[keep]
+    place = np.arange(len(d)) - starts[d]
+    keep = place < left[d]
+    d, t, c, m = d[keep], t[keep], c[keep], (size[d] - own[d] - place)[keep]
     plain = c <= rare
-    docs, keys = [d[plain]], [t[plain]]
-    fd, ft = d[~plain], t[~plain]
+    docs, keys, most = [d[plain]], [t[plain]], [m[plain]]
+    fd, ft, fm = d[~plain], t[~plain], m[~plain]
     by_itself = size[fd] >= large * percent // 100
-    docs.append(fd[by_itself]), keys.append(mixed(ft[by_itself] + np.uint64(1)))
+    docs.append(fd[by_itself]), keys.append(mixed(ft[by_itself] + np.uint64(1))), most.append(fm[by_itself])
     in_pairs = size[fd] < large
-    fd, ft = fd[in_pairs], ft[in_pairs]
+    fd, ft, fm = fd[in_pairs], ft[in_pairs], fm[in_pairs]
     if len(fd):
         cuts = np.nonzero(np.diff(fd))[0] + 1
         for part in np.split(np.arange(len(fd)), cuts):
@@ -75,8 +80,8 @@ def prefix_keys(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int,
                 i, j = np.triu_indices(len(part), 1)
                 with np.errstate(over="ignore"):
                     keys.append(mixed(ft[part[i]] * np.uint64(0x9E3779B97F4A7C15) + ft[part[j]]))
-                docs.append(np.full(len(i), fd[part[0]]))
-    return np.concatenate(docs), np.concatenate(keys)
+                docs.append(np.full(len(i), fd[part[0]])), most.append(fm[part[i]])
+    return np.concatenate(docs), np.concatenate(keys), np.concatenate(most)
 
 
 class ShingleJoin:
@@ -116,12 +121,12 @@ class ShingleJoin:
                         yield send_counts(row["cid"], values, n, n_buckets)
 
         table = self.chunks.table().select("cid", "ids", "lens", "text")
-        self.rows = self.scratch.save(table.mapInArrow(prints, "rid long, doc_id long, n long, p1 long, p2 long"), "rows")
+        self.rows = self.chunks.save(table.mapInArrow(prints, "rid long, doc_id long, n long, p1 long, p2 long"), "rows")
         groups = self.rows.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("min_doc"))
         self.groups = self.scratch.save(groups, "groups")
         one = self.groups.select(F.floor(F.col("rep") / PER_CHUNK).alias("cid"), (F.col("rep") % PER_CHUNK).cast("int").alias("place")).groupBy("cid").agg(F.collect_list("place").alias("one"))
         self.one = self.scratch.save(one, "one")
-        self.shared = self.scratch.save(shared_counts(self.chunks.joined(self.one).mapInArrow(send, SENT)), "shared")
+        self.shared = self.chunks.save(shared_counts(self.chunks.joined(self.one).mapInArrow(send, SENT)), "shared")
 
     def _postings(self) -> DataFrame:
         width, percent, rare, large = self.width, self.percent, self.rare, self.large
@@ -136,12 +141,14 @@ class ShingleJoin:
                 size = np.bincount(doc, minlength=len(ids))
                 mine = np.isin(doc, row["one"])
                 doc, h = doc[mine], h[mine]
-                docs, keys = prefix_keys(doc, h, looked_up(short(h), known, counts), len(ids), percent, rare, large)
+                count = looked_up(short(h), known, counts)
+                docs, keys, most = prefix_keys(doc, h, count, len(ids), percent, rare, large)
+                typical = np.bincount(doc, count, len(ids)) / np.maximum(size, 1)
                 for at in range(0, len(keys), 500_000):
                     d = docs[at : at + 500_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 500_000].view(np.int64)), pa.array(row["cid"] * PER_CHUNK + d), pa.array(size[d].astype(np.int64))], ["key", "rid", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 500_000].view(np.int64)), pa.array(row["cid"] * PER_CHUNK + d), pa.array(size[d].astype(np.int64)), pa.array(typical[d]), pa.array(most[at : at + 500_000].astype(np.int64))], ["key", "rid", "n", "w", "most"])
 
-        return self.chunks.joined(self.one, self.shared).mapInArrow(index, "key long, rid long, n long")
+        return self.chunks.joined(self.one, self.shared).mapInArrow(index, "key long, rid long, n long, w double, most long")
 
     def _needed_sets(self, rids: DataFrame) -> DataFrame:
         width = self.width
@@ -186,44 +193,26 @@ class ShingleJoin:
     def _link(self) -> DataFrame:
         """(node, root) over the representatives of equal sets."""
         save, percent = self.scratch.save, self.percent
-        raw = save(self._postings(), "postings-all")
+        raw = self.chunks.save(self._postings(), "postings-all")
         members = raw.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
         post = save(raw.join(members.hint("merge"), "key"), "postings")
         self.scratch.drop("postings-all")
-        self.sets = save(self._needed_sets(post.select("rid").distinct()), "sets")
+        self.sets = self.chunks.save(self._needed_sets(post.select("rid").distinct()), "sets")
         self.chunks.drop()
-        fits = F.col("na") * 100 >= F.col("nb") * percent
-        fits = fits & (F.col("nb") * 100 >= F.col("na") * percent)
-        edges, roots, tried = None, None, None
-        for k in range(STAR_ROUNDS + 1):
-            if k:
-                # members of keys that still have several components
-                named = post.drop("root").join(roots.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").select("key", "rid", "n", F.coalesce("root", "rid").alias("root"))
-                apart = named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-                post = save(named.join(apart.hint("merge"), "key"), f"apart-{k}")
-                # what trying every pair of components would come to
-                cost = post.groupBy("key", "root").agg(F.count(F.lit(1)).alias("s")).groupBy("key").agg(F.sum("s").alias("m"), F.sum(F.col("s") * F.col("s")).alias("ss")).agg(F.sum((F.col("m") * F.col("m") - F.col("ss")) / 2), F.sum("m")).first()
-                if not cost[0]:
-                    break
-            else:
-                post = post.withColumn("root", F.col("rid"))
-                cost = (float("inf"), 1)
-            if k == STAR_ROUNDS or cost[0] <= 4 * cost[1]:
-                x, y = post.select("key", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), post.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-                pairs = x.join(y.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits)
-            else:
-                center = post.groupBy("key").agg(F.min(F.struct((F.xxhash64(F.lit(k), "rid") if k else F.col("rid")).alias("o"), "rid", "n", "root")).alias("c")).select("key", F.col("c.rid").alias("a"), F.col("c.n").alias("na"), F.col("c.root").alias("ra"))
-                pairs = post.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")).join(center.hint("merge"), "key").where((F.col("ra") != F.col("rb")) & fits)
-            pairs = pairs.selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
-            if tried is not None:
-                pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-            pairs = save(pairs, f"pairs-{k}")
-            found = self._verify(pairs, f"links-{k}")
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            edges = found if edges is None else edges.unionByName(found)
-            roots = components(edges, self.scratch, f"components-{k}")
-            if k == STAR_ROUNDS or cost[0] <= 4 * cost[1]:
-                break
+        # sizes close enough, and enough left to share after what comes before the key in either order
+        fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & (F.least("ma", "mb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+        side = lambda df, x: df.select("key", F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("root").alias(f"r{x}"))
+        post = post.withColumn("root", F.col("rid"))
+        best = post.groupBy("key").agg(F.max(F.struct("w", (-F.col("rid")).alias("o"), "rid", "n", "most", "root")).alias("c")).select("key", "c.*")
+        tried = save(side(post, "a").join(side(best, "b").hint("merge"), "key").where((F.col("ra") != F.col("rb")) & fits).selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), "pairs-0")
+        edges = self._verify(tried, "links-0")
+        roots = components(edges, self.scratch, "components-0")
+        named = post.drop("root").join(roots.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").select("key", "rid", "n", "w", "most", F.coalesce("root", "rid").alias("root"))
+        apart = named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
+        post = save(named.join(apart.hint("merge"), "key"), "apart")
+        more = side(post, "a").join(side(post, "b").hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b")
+        more = save(more.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs-1")
+        roots = components(edges.unionByName(self._verify(more, "links-1")), self.scratch, "components-1")
         return roots
 
     def groups_of(self) -> DataFrame:
