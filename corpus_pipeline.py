@@ -1,15 +1,60 @@
-"""The corpus pipeline: stages over the table documents."""
+"""The corpus pipeline over the table documents: judge, deduplicate, mix, tokenise.
+
+Stages after the first narrow the rows down by doc_id: what goes is a table of ids, broadcast if it is short and
+joined by sort-merge if not. Rows repeated under one doc_id are one document and stay or go together.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cueforge.llm import bpe, exact_dedup, mixing, quality, shingle_join
+from cueforge.llm.common import Scratch, small_side
 
-STAGES: list = []
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: run()'s rows cannot be had from SQL: the classifier is trained.
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, judged: DataFrame, keep: str) -> DataFrame:
+    """docs without the ids that have no row with keep in judged."""
+    gone = judged.groupBy("doc_id").agg(F.max(keep).alias("_stays")).where("not _stays").select("doc_id")
+    return docs.join(small_side(Scratch(docs.sparkSession).save(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, exact_dedup.exact_groups(docs), "kept")
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, shingle_join.near_duplicates(docs), "is_first")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeated(docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+
+
+STAGES = [("quality classifier", judge_quality), ("exact dedup", drop_exact), ("n-gram Jaccard join", drop_near), ("mixing sources to target weights", mix_sources), ("byte-level BPE encoding and decoding", tokenise)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stored before the next: doc_id, n_tokens, ids."""
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.save(docs, f"stage-{k}")
+            if k and k < len(STAGES) - 1:
+                scratch.drop(f"stage-{k - 1}")
     return docs

@@ -47,6 +47,32 @@ def cycle_weights(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataF
     return sizes.withColumn("weight", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (n % len(weights) + 1).cast("int")).cast("long"))
 
 
+def _place(seed: int) -> Column:
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
+def _in_arc(offset: Column) -> Column:
+    at = F.col("_u") + offset
+    return (at - F.floor(at) < F.col("_f")).cast("long")
+
+
+def _joined(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """rows with their source's row of goals, whose columns start with _goal."""
+    return rows.join(small_side(goals), F.col("source").eqNullSafe(F.col("_goal_source"))).drop("_goal_source")
+
+
+def plan(rows: DataFrame, scratch: Scratch, max_epochs: int, weights: tuple[int, ...]) -> DataFrame:
+    """Per source of rows (source, size, _u): _goal_source, _goal_size, _goal_target, _r, _f and _offset, stored."""
+    goals = water_fill(cycle_weights(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights), max_epochs)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    goals = scratch.save(goals.select(F.col("source").alias("_goal_source"), F.col("source_size").alias("_goal_size"), F.col("target").alias("_goal_target"), ratio.alias("_r")).withColumn("_f", F.col("_r") - F.floor("_r")), "targets")
+    sums = _joined(rows, goals).groupBy("source").agg(F.first("_f").alias("_f1"), F.first("_goal_size").alias("_all"), *[F.sum(F.col("size") * _in_arc(F.lit(i / OFFSETS))).alias(f"_o{i}") for i in range(OFFSETS)])
+    misses = F.array(*[F.struct(F.abs(F.col(f"_o{i}") - F.col("_all") * F.col("_f1")).alias("miss"), F.lit(i).alias("i")) for i in range(OFFSETS)])
+    best = sums.select(F.col("source").alias("_s3"), (F.array_min(misses)["i"] / OFFSETS).alias("_offset"))
+    return scratch.save(goals.join(best, F.col("_goal_source").eqNullSafe(F.col("_s3"))).drop("_s3"), "plan")
+
+
 def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """A row per row of docs: doc_id, source, size, source_size, target, times, taken.
 
@@ -55,21 +81,15 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, weights: tuple[int,
     doc_id are taken together.
     """
     scratch = Scratch(docs.sparkSession)
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    place = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
-    rows = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), place.alias("_u")), "sizes")
-    goals = water_fill(cycle_weights(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights), max_epochs)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goals = scratch.save(goals.select("source", "source_size", "target", ratio.alias("_r")).withColumn("_f", F.col("_r") - F.floor("_r")), "targets")
+    rows = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), _place(seed).alias("_u")), "sizes")
+    out = _joined(rows, plan(rows, scratch, max_epochs, weights)).withColumn("times", (F.floor("_r") + _in_arc(F.col("_offset"))).cast("long"))
+    return out.select("doc_id", "source", "size", F.col("_goal_size").alias("source_size"), F.col("_goal_target").alias("target"), "times", (F.col("times") * F.col("size")).alias("taken"))
 
-    def taken(offset: Column) -> Column:
-        at = F.col("_u") + offset
-        return (at - F.floor(at) < F.col("_f")).cast("long")
 
-    same = lambda right: F.col("source").eqNullSafe(F.col(right))
-    t = rows.join(small_side(goals.withColumnRenamed("source", "s2")), same("s2")).drop("s2")
-    sums = t.groupBy("source").agg(F.first("_f").alias("_f1"), F.first("source_size").alias("_all"), *[F.sum(F.col("size") * taken(F.lit(i / OFFSETS))).alias(f"_o{i}") for i in range(OFFSETS)])
-    misses = F.array(*[F.struct(F.abs(F.col(f"_o{i}") - F.col("_all") * F.col("_f1")).alias("miss"), F.lit(i).alias("i")) for i in range(OFFSETS)])
-    best = scratch.save(sums.select(F.col("source").alias("s3"), (F.array_min(misses)["i"] / OFFSETS).alias("_offset")), "offsets")
-    out = t.join(small_side(best), same("s3")).withColumn("times", (F.floor("_r") + taken(F.col("_offset"))).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+def repeated(docs: DataFrame, max_epochs: int = 3, seed: int = 7, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """docs with each row as often as mix() takes it, all columns kept; rows it takes no time are left out."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(docs.select("source", word_count(F.col("text")).alias("size"), _place(seed).alias("_u")), "sizes")
+    out = _joined(docs.withColumn("_u", _place(seed)), plan(rows, scratch, max_epochs, weights))
+    times = (F.floor("_r") + _in_arc(F.col("_offset"))).cast("int")
+    return out.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -114,7 +114,7 @@ def _spans(off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return off[:-1], np.maximum(off[1:] - 2, off[:-1])
 
 
-def scores(buf: np.ndarray, off: np.ndarray, w: np.ndarray) -> np.ndarray:
+def scores(buf: np.ndarray, off: np.ndarray, w: np.ndarray, repeats: np.ndarray) -> np.ndarray:
     """Probability of good per text by weights w: the buckets', that of repeated words, and the bias."""
     total = np.zeros(max(len(buf) - 1, 1))
     if len(buf) > 2:
@@ -123,7 +123,7 @@ def scores(buf: np.ndarray, off: np.ndarray, w: np.ndarray) -> np.ndarray:
     a, b = _spans(off)
     b = np.minimum(b, len(total) - 1)
     a = np.minimum(a, b)
-    z = (total[b] - total[a]) / np.maximum(b - a, 1) + w[-2] * signals(buf, off)["repeats"] + w[-1]
+    z = (total[b] - total[a]) / np.maximum(b - a, 1) + w[-2] * repeats + w[-1]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -146,12 +146,27 @@ def fit(rows: list[tuple[bytes, bytes, float, float]], buckets: int = BUCKETS, s
     return w
 
 
-def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD, buckets: int = BUCKETS, seed: int = 5) -> DataFrame:
-    """A row per row of docs (doc_id, text): doc_id, posterior, score, kept.
+class Model:
+    """Posteriors by vote pattern and the scorer's weights: small, whatever the data."""
 
-    posterior is the labellers' verdict, score the scorer's probability of good; kept where score reaches the
-    threshold. Null, empty and blank texts are never kept and score 0. Equal seeds give equal results.
-    """
+    def __init__(self, good: dict[int, float], weights: np.ndarray, threshold: float):
+        self.good, self.weights, self.threshold = good, weights, threshold
+
+    def judge(self, buf: np.ndarray, off: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+        """(posteriors, scores, kept) of texts."""
+        inked = counts(_INK[buf], off) > 0
+        found = signals(buf, off)
+        s = np.where(inked, scores(buf, off, self.weights, found["repeats"]), 0.0)
+        post = [self.good.get(c) if k else None for c, k in zip(_codes(votes(found)).tolist(), inked.tolist(), strict=True)]
+        return post, s, inked & (s >= self.threshold)
+
+
+def _codes(v: np.ndarray) -> np.ndarray:
+    return ((v.astype(np.int64) + 1) * 3 ** np.arange(v.shape[1])).sum(1)
+
+
+def train(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD, buckets: int = BUCKETS, seed: int = 5) -> Model:
+    """Fits labellers on all docs and the scorer on at most fit_rows of them."""
     scratch = Scratch(docs.sparkSession)
     narrow = docs.selectExpr("cast(doc_id as long) doc_id", "text")
 
@@ -159,7 +174,7 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRES
         for batch in batches:
             for part, buf, off in pieces(batch):
                 v = votes(signals(buf, off))
-                code = ((v.astype(np.int64) + 1) * 3 ** np.arange(v.shape[1])).sum(1)
+                code = _codes(v)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(code), pa.array(counts(_INK[buf], off) > 0)], ["doc_id", "pattern", "inked"])
 
     voted = scratch.save(narrow.mapInArrow(vote, "doc_id long, pattern long, inked boolean"), "votes")
@@ -186,17 +201,34 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRES
 
     sample = narrow.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "pattern").mapInArrow(featurise, "doc_id long, pattern long, idx binary, val binary, rep double")
     rows = sorted(sample.dropDuplicates(["doc_id"]).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
-    weights = docs.sparkSession.sparkContext.broadcast(fit([(r.idx, r.val, r.rep, good[r.pattern]) for r in rows], buckets))
+    scratch.drop()
+    return Model(good, fit([(r.idx, r.val, r.rep, good[r.pattern]) for r in rows], buckets), threshold)
+
+
+def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """A row per row of docs (doc_id, text): doc_id, posterior, score, kept.
+
+    posterior is the labellers' verdict, score the scorer's probability of good; kept where score reaches the
+    threshold. Null, empty and blank texts are never kept and score 0. Equal seeds give equal results.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
         for batch in batches:
             for part, buf, off in pieces(batch):
-                inked = counts(_INK[buf], off) > 0
-                s = np.where(inked, scores(buf, off, w), 0.0)
-                v = votes(signals(buf, off))
-                code = ((v.astype(np.int64) + 1) * 3 ** np.arange(v.shape[1])).sum(1)
-                post = [good.get(c) if k else None for c, k in zip(code.tolist(), inked.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(post, pa.float64()), pa.array(s), pa.array(inked & (s >= threshold))], ["doc_id", "posterior", "score", "kept"])
+                post, s, kept = shared.value.judge(buf, off)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(post, pa.float64()), pa.array(s), pa.array(kept)], ["doc_id", "posterior", "score", "kept"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(judge, "doc_id long, posterior double, score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of docs that classify() would keep, with all their columns."""
+    shared, text = docs.sparkSession.sparkContext.broadcast(model or train(docs)), docs.columns.index("text")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, off in pieces(batch, text):
+                yield part.filter(pa.array(shared.value.judge(buf, off)[2]))
 
-    return narrow.mapInArrow(judge, "doc_id long, posterior double, score double, kept boolean")
+    return docs.mapInArrow(judge, docs.schema)
