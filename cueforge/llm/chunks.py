@@ -7,6 +7,7 @@ Steps send packed arrays of hashes, one blob per chunk and bucket, rather than a
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .grid import text_bytes
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bits of the hashes that round trips exchange. Equal short hashes of different runs cost work, never results.
 SHORT_BITS = 48
 #: A document's row number is its chunk's number times this plus its place in the chunk.
@@ -80,6 +81,16 @@ class Chunks:
             out = out.join(r.hint("merge"), "cid", "left")
         return out
 
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Stores what a pass over chunks makes. Batches hold few rows meanwhile: a chunk is a large row."""
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, "2")
+        try:
+            return self.scratch.save(df, name)
+        finally:
+            conf.set(key, before)
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         self.scratch.drop("chunks")
@@ -91,11 +102,21 @@ def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["text"], np.uint8), np.concatenate([[0], np.cumsum(lens)])
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on, and arrays of chunks leave holes."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it manages by itself
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The rows of Arrow batches one by one, so that one chunk is in Python's memory at a time."""
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+            trim()
 
 
 def pack_ints(values: np.ndarray) -> bytes:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import NO_ID, SENT, Chunks, looked_up, opened, opened_counts, pack_ints, pack_sorted, rows_of, send_counts, shared_counts, short, unpack_ints, unpack_sorted
+from .chunks import NO_ID, SENT, Chunks, looked_up, opened, opened_counts, pack_ints, pack_sorted, rows_of, send_counts, shared_counts, short, trim, unpack_ints, unpack_sorted
 from .common import Scratch
 from .grid import Runs
 
@@ -124,8 +124,8 @@ class Repeats:
                     values, n = np.unique(short(Runs(buf)(at, at + length // 2)), return_counts=True)
                     yield send_counts(row["cid"], values, n, n_buckets)
 
-        self.samples = self.scratch.save(self.chunks.joined().mapInArrow(sample, "cid long, at binary, lo binary, n binary"), "samples")
-        self.shared = self.scratch.save(shared_counts(self.chunks.joined(self.samples).mapInArrow(send, SENT)), "shared")
+        self.samples = self.chunks.save(self.chunks.joined().mapInArrow(sample, "cid long, at binary, lo binary, n binary"), "samples")
+        self.shared = self.chunks.save(shared_counts(self.chunks.joined(self.samples).mapInArrow(send, SENT)), "shared")
 
     def _round_2(self) -> None:
         length, n_buckets = self.length, self.n_buckets
@@ -140,6 +140,7 @@ class Repeats:
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "cid": pa.array([row["cid"]], pa.int64()), "g": [pack_sorted(g[x])], "c": [c[x].tobytes()], "doc": [pack_ints(doc[x].view(np.uint64))], "lo": [pack_ints(lo[x])]})
 
         def meet(got: pa.Table) -> pa.Table:
+            trim()
             cids = got["cid"].to_pylist()
             g = [unpack_sorted(x) for x in got["g"].to_pylist()]
             sizes = [len(x) for x in g]
@@ -161,7 +162,7 @@ class Repeats:
 
         sent = self.chunks.joined(self.samples, self.shared).mapInArrow(send, "bucket int, cid long, g binary, c binary, doc binary, lo binary")
         met = sent.groupBy("bucket").applyInArrow(meet, "bucket int, cid long, code binary")
-        self.codes = self.scratch.save(met.groupBy("cid").agg(F.collect_list(F.struct("bucket", "code")).alias("codes")), "codes")
+        self.codes = self.chunks.save(met.groupBy("cid").agg(F.collect_list(F.struct("bucket", "code")).alias("codes")), "codes")
 
     def _round_3(self) -> None:
         length, n_buckets = self.length, self.n_buckets
@@ -178,6 +179,7 @@ class Repeats:
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "cid": pa.array([row["cid"]], pa.int64()), "g": [pack_sorted(g[x])], "n": [pack_ints(n[x])], "doc": [pack_ints(doc[x].view(np.uint64))], "lo": [pack_ints(lo[x])], "strings": [s.runs(start, start + length).tobytes()]})
 
         def meet(got: pa.Table) -> pa.Table:
+            trim()
             n = [unpack_ints(x).astype(np.int64) for x in got["n"].to_pylist()]
             sizes = [int(x.sum()) for x in n]
             wide = lambda name, f: np.concatenate([np.repeat(f(x), k) for x, k in zip(got[name].to_pylist(), n, strict=True)])
@@ -194,7 +196,7 @@ class Repeats:
 
         sent = self.chunks.joined(self.samples, self.shared, self.codes).where("codes is not null").mapInArrow(send, "bucket int, cid long, g binary, n binary, doc binary, lo binary, strings binary")
         met = sent.groupBy("bucket").applyInArrow(meet, "bucket int, cid long, again binary")
-        self.strings = self.scratch.save(met.groupBy("cid").agg(F.collect_list(F.struct("bucket", "again")).alias("strings")), "strings")
+        self.strings = self.chunks.save(met.groupBy("cid").agg(F.collect_list(F.struct("bucket", "again")).alias("strings")), "strings")
 
     def result(self, with_text: bool = False) -> DataFrame:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text also kept binary and spans array<struct<start, stop>>."""
@@ -237,7 +239,7 @@ class Repeats:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * with_text
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))] * with_text
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start: long, stop: long>>" * with_text
-        done = self.scratch.save(self.chunks.joined(self.samples, self.shared, self.codes, self.strings).mapInArrow(finish, schema), "result")
+        done = self.chunks.save(self.chunks.joined(self.samples, self.shared, self.codes, self.strings).mapInArrow(finish, schema), "result")
         self.chunks.drop()
         for name in ("samples", "shared", "codes", "strings"):
             self.scratch.drop(name)
