@@ -116,4 +116,29 @@ SELECT doc_id, size, source_size, target, ((floor(r)::BIGINT + (u + off - floor(
 FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op4_topk": _OP4, "op5_exact_dedup": _OP5, "op7_mixing": _OP7}
+#: Bytes as pairs of hex digits, so that strings of bytes are substrings.
+_OP6 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+s AS (SELECT doc_id, i, sha256(substr(h, (2 * i + 1)::BIGINT, 200)) AS k FROM d, LATERAL (SELECT unnest(range(0, n - 99)) AS i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM s) WHERE rn > 1),
+b AS (SELECT d.doc_id, j, substr(h, (2 * j + 1)::BIGINT, 2) AS x FROM d, LATERAL (SELECT unnest(range(0, n)) AS j)),
+m AS (SELECT b.doc_id, j, x, max(i) OVER (PARTITION BY b.doc_id ORDER BY j) AS last_start FROM b LEFT JOIN r ON r.doc_id = b.doc_id AND r.i = b.j),
+g AS (SELECT doc_id, j, x, coalesce(j - last_start < 100, false) AS gone FROM m),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS opens FROM g),
+a AS (SELECT doc_id, count(*) FILTER (gone)::BIGINT AS n_removed, count(*) FILTER (opens)::BIGINT AS n_spans, coalesce(string_agg(x, '' ORDER BY j) FILTER (NOT gone), '') AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+_OP8 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b),
+f AS (SELECT a, min(b) AS r FROM t GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(f.r, d.doc_id), d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN f ON f.a = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_suffix_dedup": _OP6, "op8_shingle_join": _OP8, "op1_warc": _OP1, "op4_topk": _OP4, "op5_exact_dedup": _OP5, "op7_mixing": _OP7}
