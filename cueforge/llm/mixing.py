@@ -90,6 +90,7 @@ def repeated(docs: DataFrame, max_epochs: int = 3, seed: int = 7, weights: tuple
     """docs with each row as often as mix() takes it, all columns kept; rows it takes no time are left out."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(docs.select("source", word_count(F.col("text")).alias("size"), _place(seed).alias("_u")), "sizes")
-    out = _joined(docs.withColumn("_u", _place(seed)), plan(rows, scratch, max_epochs, weights))
+    whole = docs.select("source", _place(seed).alias("_u"), F.struct(*docs.columns).alias("_row"))
     times = (F.floor("_r") + _in_arc(F.col("_offset"))).cast("int")
-    return out.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    out = _joined(whole, plan(rows, scratch, max_epochs, weights)).withColumn("_times", times).where("_times > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")

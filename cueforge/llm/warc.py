@@ -65,8 +65,11 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
     end = data.find(b"\r\n\r\n", at, at + (1 << 20))
     if end < 0:
         return "header block not closed"
+    version, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+    if not re.fullmatch(r"WARC/1\.\d", version):
+        return "version line not closed"
     head = {}
-    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in lines:
         name, colon, value = line.partition(":")
         if not colon:
             return "header line without a colon"
