@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .grid import text_bytes
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bits of the hashes that round trips exchange. Equal short hashes of different runs cost work, never results.
 SHORT_BITS = 48
 #: A document's row number is its chunk's number times this plus its place in the chunk.

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a pass takes at once; a longer text is a piece by itself.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _BASES = (_BASE, 0xC2B2AE3D27D4EB4F)
