@@ -54,13 +54,16 @@ def takes(phrased: DataFrame, sources: DataFrame) -> DataFrame:
 
 def packed_lines(phrased: DataFrame, sources: DataFrame, per_second: int = 1000) -> DataFrame:
     """Lines (source, line, text) of the packed transcript per source: heading, phrases or a remark, blank line."""
-    s = takes(phrased, sources)
-    second = lambda c: F.col(c) / per_second
-    head = s.select("source", F.lit(0).alias("line"), F.concat(F.lit("## "), F.col("source").cast("string"), F.lit("  (duration: "), format_duration(second("duration")), F.lit(", "), F.col("n_phrases").cast("string"), F.lit(" phrases)")).alias("text"))
-    body = phrased.select("source", F.col("phrase").cast("int").alias("line"), F.concat(F.lit("  ["), format_time(second("start")), F.lit("-"), format_time(second("end")), F.lit("]"), speaker_tag(F.col("speaker")), F.lit(" "), F.col("text")).alias("text"))
-    none = s.where("n_phrases = 0").select("source", F.lit(1).alias("line"), F.lit("  _no speech detected_").alias("text"))
-    last = s.select("source", F.greatest(F.col("n_phrases"), F.lit(1)).cast("int").alias("n"), F.lit("").alias("text")).select("source", (F.col("n") + 1).alias("line"), "text")
-    return head.unionByName(body).unionByName(none).unionByName(last)
+    every = Window.partitionBy("source")
+    first, last = F.min_by("start", "phrase").over(every), F.max_by("end", "phrase").over(every)
+    rows = sources.select("source").join(phrased, "source", "left").withColumns({"_n": F.count("phrase").over(every), "_d": F.coalesce((last - first) / per_second, F.lit(0.0))})
+    line = lambda n, text: F.struct(n.cast("int").alias("line"), text.alias("text"))
+    head = line(F.lit(0), F.concat(F.lit("## "), F.col("source").cast("string"), F.lit("  (duration: "), format_duration(F.col("_d")), F.lit(", "), F.col("_n").cast("string"), F.lit(" phrases)")))
+    said = F.concat(F.lit("  ["), format_time(F.col("start") / per_second), F.lit("-"), format_time(F.col("end") / per_second), F.lit("]"), speaker_tag(F.col("speaker")), F.lit(" "), F.col("text"))
+    body = line(F.greatest(F.coalesce("phrase", F.lit(1)), F.lit(1)), F.coalesce(said, F.lit("  _no speech detected_")))
+    lone = F.col("phrase").isNull()
+    lines = F.array(F.when(lone | (F.col("phrase") == 1), head), body, F.when(lone | (F.col("phrase") == F.col("_n")), line(F.greatest(F.col("_n"), F.lit(1)) + 1, F.lit(""))))
+    return rows.select("source", F.inline(F.array_compact(lines)))
 
 
 def with_spacing(words: DataFrame) -> DataFrame:

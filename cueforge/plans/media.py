@@ -83,11 +83,11 @@ def is_portrait(width: Column, height: Column, rotation: Column) -> Column:
     return F.coalesce(F.when(turned, width > height).otherwise(height > width), F.lit(False))
 
 
-def _gcd(a: Column, b: Column) -> Column:
-    """Euclid's steps as a fold; 64-bit values need fewer than 100."""
+def _gcd(a: Column, b: Column, digits: Column) -> Column:
+    """Euclid's steps as a fold: at most five for each digit of the smaller number."""
     zero = F.struct(a.cast("decimal(38,0)").alias("a"), b.cast("decimal(38,0)").alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).cast("decimal(38,0)").alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(190)), zero, step)["a"]
+    return F.aggregate(F.sequence(F.lit(1), (5 * digits + 2).cast("int")), zero, step)["a"]
 
 
 def canonical_rate(text: Column) -> Column:
@@ -98,10 +98,13 @@ def canonical_rate(text: Column) -> Column:
     big = lambda s: s.try_cast("decimal(38,0)")
     num = F.when(F.contains(t, F.lit("/")), big(F.substring_index(t, "/", 1))).otherwise(big(F.replace(t, F.lit("."), F.lit(""))))
     den = F.when(F.contains(t, F.lit("/")), big(F.substring_index(t, "/", -1))).otherwise(big(F.rpad(F.lit("1"), (scale + 1).cast("int"), F.lit("0"))))
-    g = _gcd(num, den)
-    n, d = (num / F.nullif(g, F.lit(0).cast("decimal(38,0)"))).cast("decimal(38,0)"), (den / F.nullif(g, F.lit(0).cast("decimal(38,0)"))).cast("decimal(38,0)")
-    fits = whole & (num > 0) & (den > 0) & (n <= 2147483647) & (d <= 2147483647)
-    return F.when(fits, F.concat(n.cast("string"), F.lit("/"), d.cast("string")))
+    digits = F.coalesce(F.least(F.length(num.cast("string")), F.length(den.cast("string"))), F.lit(0))
+    none = F.lit(0).cast("decimal(38,0)")
+    part = lambda x, g: (x / F.nullif(g, none)).cast("decimal(38,0)")
+    # one-element arrays bind the divisor and the reduced parts, so that each is computed once
+    reduced = F.transform(F.array(_gcd(num, den, digits)), lambda g: F.struct(part(num, g).alias("n"), part(den, g).alias("d")))
+    shown = F.transform(reduced, lambda r: F.when((r["n"] > 0) & (r["d"] > 0) & (r["n"] <= 2147483647) & (r["d"] <= 2147483647), F.concat(r["n"].cast("string"), F.lit("/"), r["d"].cast("string"))))
+    return F.when(whole & (num > 0) & (den > 0), F.element_at(shown, 1))
 
 
 def probed_rate(avg: Column, nominal: Column) -> Column:
