@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import spread
+
 #: Pre-tokens whose ids a worker remembers; beyond that it starts afresh.
 REMEMBERED = 600_000
 #: Longer pre-tokens are not remembered.
@@ -182,7 +184,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digests_only: bool =
                 yield _id_rows(doc_ids, ids)
 
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>")
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return spread(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(run, schema)
 
 
 def _id_rows(doc_ids: list, packed: list[bytes]) -> pa.RecordBatch:

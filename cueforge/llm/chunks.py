@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread
 from .grid import text_bytes
 
 CHUNK_BYTES = 1 << 20
@@ -64,7 +64,7 @@ class Chunks:
             if rows:
                 yield close()
 
-        rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(pack, "cid long, ids binary, lens binary, text binary, n_bytes long")
+        rows = spread(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")).mapInArrow(pack, "cid long, ids binary, lens binary, text binary, n_bytes long")
         rows.write.bucketBy(self.parts, "cid").option("path", f"{scratch.root}/chunks").option("compression", "zstd").saveAsTable(self.name)
         self.total = self.table().agg(F.sum("n_bytes")).first()[0] or 0
 

@@ -58,3 +58,9 @@ def normalised(text: Column) -> Column:
 def small_side(df: DataFrame, most: int = 50_000) -> DataFrame:
     """A stored table as the small side of a join: broadcast if it has at most so many (narrow) rows, else by sort-merge."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as the cluster runs tasks at once: small tables come in few files."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

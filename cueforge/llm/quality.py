@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread
 from .grid import Runs, counts, lowered, pieces, word_bounds
 
 #: Documents that the scorer is fitted to, at most; all documents count for the labellers' accuracies.
@@ -168,7 +168,7 @@ def _codes(v: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD, buckets: int = BUCKETS, seed: int = 5) -> Model:
     """Fits labellers on all docs and the scorer on at most fit_rows of them."""
     scratch = Scratch(docs.sparkSession)
-    narrow = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    narrow = spread(docs.selectExpr("cast(doc_id as long) doc_id", "text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +219,7 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 post, s, kept = shared.value.judge(buf, off)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(post, pa.float64()), pa.array(s), pa.array(kept)], ["doc_id", "posterior", "score", "kept"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(judge, "doc_id long, posterior double, score double, kept boolean")
+    return spread(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(judge, "doc_id long, posterior double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -231,4 +231,4 @@ def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
             for part, buf, off in pieces(batch, text):
                 yield part.filter(pa.array(shared.value.judge(buf, off)[2]))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return spread(docs).mapInArrow(judge, docs.schema)
