@@ -2,8 +2,9 @@
 
 Merging a pre-token keeps its pieces in a linked list. Each merge rank that occurs has a bucket of list
 positions, and a two-level bitmap says which buckets hold any; find-first-set on both levels gives the next
-rank, without comparing entries. An entry whose pair has changed since it was queued is stale and skipped. A
-pre-token of n bytes takes O(n) queue steps however long it is, where rescanning for the best pair takes O(n^2).
+rank, without comparing entries, and its bucket is drained from left to right. An entry whose pair has changed since
+it was queued is stale and skipped. A pre-token of n bytes takes O(n) queue steps however long it is, where rescanning
+for the best pair takes O(n^2). Pre-tokens not met before share a queue, so that its steps are paid once for many.
 
 The vocabulary file is read by the driver and broadcast; its size is that of a vocabulary, not of the data.
 """
@@ -13,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +21,18 @@ from pyspark.sql import DataFrame
 
 from .common import spread
 
-#: Pre-tokens whose ids a worker remembers; beyond that it starts afresh.
+#: Pre-tokens whose ids a worker remembers in each of two generations, at most.
 REMEMBERED = 600_000
 #: Longer pre-tokens are not remembered.
 LONGEST_REMEMBERED = 64
-#: Rows of output per Arrow batch and bytes of text after which a batch is closed.
+#: Bytes of packed ids after which a batch of output is closed.
 BATCH_BYTES = 8 << 20
+#: Characters of texts that are encoded together, and bytes of new pre-tokens that share a queue (or one, if longer; few enough for the cache).
+GROUP_CHARS, MERGED_BYTES = 2 << 20, 1 << 13
 
 _BITS = 8
 _WORD = 1 << _BITS
+_GAP = -2
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,97 +41,152 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
-    """The ids of one pre-token: the lowest rank merges first, of equal ranks the leftmost."""
-    n = len(piece)
-    end = list(range(1, n + 1))
-    prev = list(range(-1, n - 1))
-    at = [-1] * n
-    buckets: dict[int, list[int]] = {}
-    words: dict[int, int] = {}
-    top = 0
-    find = ranks.get
-    for i in range(n - 1):
-        r = find(piece[i : i + 2])
-        if r is not None:
-            at[i] = r
-            if r in buckets:
-                buckets[r].append(i)
-            else:
-                buckets[r] = [i]
-                w = r >> _BITS
-                words[w] = words.get(w, 0) | 1 << (r & _WORD - 1)
-                top |= 1 << w
-    while top:
-        w = (top & -top).bit_length() - 1
-        bits = words[w]
-        r = (w << _BITS) + (bits & -bits).bit_length() - 1
-        bucket = buckets[r]
-        i = heappop(bucket)
-        if not bucket:
-            del buckets[r]
-            bits &= bits - 1
-            words[w] = bits
-            if not bits:
-                top &= top - 1
-        if at[i] != r:
-            continue  # stale
-        j = end[i]
-        k = end[i] = end[j]
-        at[i] = at[j] = -1
-        if k < n:
-            prev[k] = i
-            pairs = ((i, end[k]), (prev[i], k))
-        else:
-            pairs = ((prev[i], k),)
-        for s, e in pairs:
-            if s < 0:
-                continue
-            new = find(piece[s:e]) if e - s <= longest else None
-            if new is None:
-                at[s] = -1
+class Merger:
+    """Merges many pre-tokens with one rank queue: they don't touch, so each one's merges keep their own order."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks[bytes([a])] for a in range(256)], np.int32)
+        self.double = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32)
+        self.words = [0] * ((max(ranks.values()) >> _BITS) + 1)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each pre-token: the lowest rank merges first, of equal ranks the leftmost.
+
+        Pre-tokens lie in one buffer, a gap before, between and after them; the end of a gap is 0.
+        """
+        buffer = b"\0" + b"\0".join(pieces) + b"\0"
+        raw = np.frombuffer(buffer, np.uint8)
+        gaps = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)])
+        first = self.single[raw]
+        first[gaps] = _GAP
+        pairs = np.append(self.double[raw[:-1].astype(np.int32) << 8 | raw[1:]], np.int32(-1))
+        pairs[gaps] = pairs[gaps[1:] - 1] = -1
+        ends = np.arange(1, len(raw) + 1)
+        ends[gaps] = 0
+        ids, at, end, prev = first.tolist(), pairs.tolist(), ends.tolist(), list(range(-1, len(raw) - 1))
+        places = np.flatnonzero(pairs >= 0)
+        places = places[np.argsort(pairs[places], kind="stable")]
+        found, starts = np.unique(pairs[places], return_index=True)
+        buckets = {r: x.tolist() for r, x in zip(found.tolist(), np.split(places, starts[1:]), strict=True)} if len(found) else {}
+        words, top = self.words, 0
+        for r in buckets:
+            words[w := r >> _BITS] |= 1 << (r & _WORD - 1)
+            top |= 1 << w
+        find, left = self.ranks.get, {}
+        while top:
+            w = (top & -top).bit_length() - 1
+            bits = words[w]
+            r = (w << _BITS) + (bits & -bits).bit_length() - 1
+            bucket = buckets[r]
+            if left.pop(r, 1) != len(bucket):
+                bucket.sort(reverse=True)
+            least = r
+            while bucket:
+                i = bucket.pop()
+                if at[i] != r:
+                    continue  # stale
+                j = end[i]
+                k = end[i] = end[j]
+                ids[i] = r
+                ids[j] = at[j] = at[i] = -1
+                prev[k] = i
+                if e := end[k]:
+                    new = at[i] = find(buffer[i:e], -1)
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            buckets[new] = [i]
+                            words[w := new >> _BITS] |= 1 << (new & _WORD - 1)
+                            top |= 1 << w
+                        if new < least:
+                            least = new
+                h = prev[i]
+                if end[h]:
+                    new = at[h] = find(buffer[h:k], -1)
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(h)
+                        else:
+                            buckets[new] = [h]
+                            words[w := new >> _BITS] |= 1 << (new & _WORD - 1)
+                            top |= 1 << w
+                        if new < least:
+                            least = new
+                if least < r:
+                    break  # a lower rank goes first
+            if bucket:
+                left[r] = len(bucket)
                 continue
-            at[s] = new
-            if new in buckets:
-                heappush(buckets[new], s)
-            else:
-                buckets[new] = [s]
-                w = new >> _BITS
-                words[w] = words.get(w, 0) | 1 << (new & _WORD - 1)
-                top |= 1 << w
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return out
+            del buckets[r]
+            words[w := r >> _BITS] &= ~(1 << (r & _WORD - 1))
+            if not words[w]:
+                top &= ~(1 << w)
+        out = np.array(ids, np.int32)
+        out = out[out != -1]
+        cuts = (np.flatnonzero(out == _GAP) * 4).tolist()
+        packed = out.astype("<u4").tobytes()
+        return [packed[a + 4 : b] for a, b in zip(cuts, cuts[1:])]
 
 
 class Encoder(dict):
-    """Pre-token to packed ids (little-endian, 32 bits); fills itself."""
+    """Pre-token to packed ids (little-endian, 32 bits), as far as remembered.
+
+    There are two generations: when the younger one is full it replaces the older, from which pre-tokens met again
+    come back, so that frequent ones stay.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         super().__init__()
-        self.ranks, self.longest = ranks, max(map(len, ranks), default=0)
+        self.ranks, self.merge = ranks, Merger(ranks).merge
         self.split = regex.compile(pattern).findall
+        self.older: dict[str, bytes] = {}
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        whole = self.ranks.get(data)
-        ids = np.array([whole] if whole is not None else merge(data, self.ranks, self.longest), "<u4").tobytes()
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def _learn(self, pieces: set[str]) -> None:
+        """Fill in pre-tokens, those that need merging MERGED_BYTES at a time."""
+        names, todo, size = [], [], 0
+        for piece in pieces:
+            ids = self.older.get(piece)
+            if ids is not None:
+                self[piece] = ids
+                continue
+            data = piece.encode()
+            whole = self.ranks.get(data)
+            if whole is not None:
+                self[piece] = whole.to_bytes(4, "little")
+                continue
+            names.append(piece)
+            todo.append(data)
+            size += len(data)
+            if size >= MERGED_BYTES:
+                self.update(zip(names, self.merge(todo)))
+                names, todo, size = [], [], 0
+        if todo:
+            self.update(zip(names, self.merge(todo)))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        split = [self.split(t) for t in texts]
+        new = set().union(*split).difference(self)
+        self._learn(new)
+        out = [b"".join(map(self.__getitem__, s)) for s in split]
+        for piece in new:
+            if len(piece) > LONGEST_REMEMBERED:
+                del self[piece]
+        if len(self) > REMEMBERED // 2:
+            self.older = dict(self) if len(self) <= REMEMBERED else {}
+            self.clear()
+        return out
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a text."""
-        return b"".join(map(self.__getitem__, self.split(text)))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that packed ids stand for."""
@@ -151,11 +209,25 @@ def _shared(df: DataFrame, ranks_path: str, pattern: str):
     return (digest,), df.sparkSession.sparkContext.broadcast((ranks, pattern))
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """The rows (doc_id, text) of a batch in groups of about GROUP_CHARS, null texts empty."""
+    ids, texts, size = [], [], 0
+    for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+        ids.append(doc_id.as_py())
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= GROUP_CHARS:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, digests_only: bool = False) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, n_tokens and ids array<int>, or the digests of ids and decoded bytes.
 
     Each match of pattern is encoded by itself, without special tokens; a null text is empty and has no ids.
-    Texts are processed one at a time, whole. With digests_only the columns are n_tokens, ids_sha256 of the ids
+    Texts are processed whole, short ones in groups. With digests_only the columns are n_tokens, ids_sha256 of the ids
     as little-endian unsigned 32-bit integers, and decoded_sha256 of what the ids decode to.
     """
     key, shared = _shared(docs, ranks_path, pattern)
@@ -165,13 +237,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digests_only: bool =
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             ids, doc_ids, size = [], [], 0
-            texts = batch.column(1)
-            for i in range(batch.num_rows):
-                packed = enc.encode(texts[i].as_py() or "")
-                doc_ids.append(batch.column(0)[i].as_py())
-                if digests_only:
-                    ids.append((len(packed) // 4, sha(packed), sha(enc.decode(packed))))
-                else:
+            for some_ids, texts in _groups(batch):
+                for doc_id, packed in zip(some_ids, enc.encode_all(texts), strict=True):
+                    doc_ids.append(doc_id)
+                    if digests_only:
+                        ids.append((len(packed) // 4, sha(packed), sha(enc.decode(packed))))
+                        continue
                     ids.append(packed)
                     size += len(packed)
                     if size > BATCH_BYTES:
