@@ -191,6 +191,30 @@ def test_bpe_memory_is_bounded(encoders, monkeypatch):
     assert len(own) <= 5
 
 
+def _merged_plainly(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank == 1 << 30:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_bpe_shared_queue_equals_plain_merging():
+    """Vocabularies in any order: a merge may make a lower rank possible, which then goes before the rest of its bucket."""
+    r = random.Random(10)
+    for _ in range(60):
+        tokens = [bytes([b]) for b in range(256)] + list({bytes(r.choice(b"ab\0") for _ in range(r.randint(2, 5))) for _ in range(40)})
+        r.shuffle(tokens)
+        ranks = {t: k for k, t in enumerate(tokens)}
+        pieces = [bytes(r.choice(b"ab\0") for _ in range(r.choice((0, 1, 2, 9, 80)))) for _ in range(25)]
+        merger = bpe.Merger(ranks)
+        for _ in range(2):  # the bitmap serves again
+            assert [np.frombuffer(x, "<u4").tolist() for x in merger.merge(pieces)] == [_merged_plainly(p, ranks) for p in pieces]
+        assert merger.merge([]) == []
+
+
 def test_bpe_frames(spark, encoders):
     rows = [(1, None, "x"), (2, "", "x"), (None, "some text", "x"), (3, "some text", "x"), (3, "some text", "x"), (4, "very long text " * 30_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
