@@ -280,6 +280,18 @@ def caption_text(spark, d):
     return b.select("item_id", formats.caption_text(F.col("text")).alias("text"), F.upper(F.substring("text", 1, 120)).alias("shout"))
 
 
+_SHOUT = r"""t AS (SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark),
+c AS (SELECT origin, id, regexp_replace(trim(regexp_replace(text, '[\s\x0B\x{85}\p{Z}]+', ' ', 'g')), '[,;:]+$', '') AS text FROM t)"""
+
+
+@query("caption_shout", _sql("SELECT origin, id, text, upper(replace(text, 'ß', 'SS')) AS shout FROM c", _SHOUT))
+def caption_shout(spark, d):
+    """Whole cleaned texts of both tables and their upper case; shout of caption_text is that of 120 raw characters."""
+    rows = lambda name, key: adapters.table(spark, d, name).select(F.lit(name).alias("origin"), F.col(key).alias("id"), formats.caption_text(F.col("text")).alias("text"))
+    both = rows("documents", "doc_id").unionByName(rows("benchmark", "item_id"))
+    return both.withColumn("shout", F.upper("text"))
+
+
 @query("easing", "SELECT i::INTEGER AS i, round(1 - power(1 - i / 20, 3), 9) AS ease_out, round(CASE WHEN i / 20 < 0.5 THEN 4 * power(i / 20, 3) ELSE 1 - power(-2 * (i / 20) + 2, 3) / 2 END, 9) AS ease_in_out FROM range(0, 21) r(i)")
 def easing(spark, d):
     t = F.col("i") / 20

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cueforge import catalog
 from cueforge.functions import formats
 from cueforge.operators import speech
 
@@ -191,3 +192,14 @@ def test_packed_lines(spark):
 def test_one_exchange_for_phrases(spark):
     plan = speech.phrases(frame(spark, random_tokens(random.Random(5), 20)), 0.5)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_shouted_captions_are_whole(spark, tmp_path):
+    long = "straße one,  two three " * 20
+    for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        spark.createDataFrame([(1, long + ";:"), (2, None), (3, "")], f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.origin, r.id): (r.text, r.shout) for r in catalog.QUERIES["caption_shout"](spark, str(tmp_path)).collect()}
+    clean = " ".join(long.split()) + " "
+    for origin in ("documents", "benchmark"):
+        assert got[origin, 1] == (clean, clean.upper()) and got[origin, 2] == (None, None) and got[origin, 3] == ("", "")
+    assert len(got) == 6
