@@ -2,8 +2,9 @@
 
 The reader checks each gzip member (header, deflate stream, CRC) and each record (version line, header
 block, declared length, closing blank lines, block digest). After a failed check it searches for the next
-valid member, or in plain archives for the next version line, goes on from there, and reports the bytes in
-between as a gap. Nothing that can still be read is lost to an earlier fault.
+valid member, or in plain archives and in a member's inflated bytes for the next version line, goes on from
+there, and reports the bytes in between as a gap. What a faulty member inflates to before its fault is searched
+as well. Nothing that can still be read is lost to an earlier fault.
 """
 
 from __future__ import annotations
@@ -87,15 +88,52 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
     return head, block, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
+def _before_fault(data: bytes, at: int) -> tuple[bytes, int]:
+    """What a faulty gzip member inflates to before its fault, to the byte, and where the fault is."""
+    d, out, view = zlib.decompressobj(31), [], memoryview(data)
+    for step in (4096, 1):
+        while at < len(data):
+            before = d.copy()
+            try:
+                out.append(d.decompress(view[at : at + step]))
+            except zlib.error:
+                d = before
+                break
+            at += step
+    tail = data[at : at + 1]
+    try:
+        while (piece := d.decompress(tail, 1)) or d.unconsumed_tail:
+            out.append(piece)
+            tail = d.unconsumed_tail
+    except zlib.error:
+        pass
+    return b"".join(out), at
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The bytes of the gzip member at a byte of data, where reading it ended, and what is wrong with it, if anything."""
     d = zlib.decompressobj(31)
     try:
         out = d.decompress(memoryview(data)[at:])
     except zlib.error as e:
-        return f"gzip: {e}"
+        return *_before_fault(data, at), f"gzip: {e}"
     if not d.eof:
-        return "gzip: member cut short"
-    return out, len(data) - len(d.unused_data)
+        return out, len(data), "gzip: member cut short"
+    return out, len(data) - len(d.unused_data), ""
+
+
+def _records(plain: bytes) -> tuple[list[tuple[dict, bytes]], int, str]:
+    """The records that can be read in a member's bytes, where the last one ends, and what is wrong with the first bad one."""
+    found, last, why, at = [], 0, "", 0
+    while 0 <= at < len(plain):
+        parsed = _parse(plain, at)
+        if isinstance(parsed, str):
+            why = why or parsed
+            at = plain.find(_VERSION, at + 1)
+        else:
+            found.append(parsed[:2])
+            at = last = parsed[2]
+    return found, last, why
 
 
 def _id(value: str | None) -> int | None:
@@ -106,41 +144,44 @@ def _id(value: str | None) -> int | None:
 def salvage(data: bytes) -> Iterator[tuple]:
     """Yields ("record", offset, headers, block) and ("gap", from, to, reason) over an archive's bytes.
 
-    Gaps and records cover the archive without overlap. An empty archive yields nothing.
+    Gaps and records cover the archive. A gzip member is one place: records read in a damaged one stand at its
+    offset, and the gap begins there too. A member cut short whose only record ends with its bytes is a gap alone.
+    An empty archive yields nothing.
     """
     at, bad, why = 0, -1, ""
+    inflated, faulty_to = [], 0  # what was read in the last faulty member, whose stored blocks show it once more
     while at < len(data):
-        found = []
+        found, wrong, go_on = [], "", False
         if data.startswith(_MAGIC, at):
-            got = _member(data, at)
-            if not isinstance(got, str):
-                plain, stop = got
-                inner = 0
-                while inner < len(plain):
-                    parsed = _parse(plain, inner)
-                    if isinstance(parsed, str):
-                        got = parsed
-                        break
-                    found.append(parsed[:2])
-                    inner = parsed[2]
+            plain, stop, fault = _member(data, at)
+            found, last, wrong = _records(plain)
+            go_on = not fault
+            if fault:
+                wrong = fault
+                if stop == len(data) and len(found) == 1 and last == len(plain):
+                    found = []
+                if found:
+                    inflated, faulty_to = found, stop
         else:
             got = _parse(data, at)
-            if not isinstance(got, str):
-                found, stop = [got[:2]], got[2]
+            if isinstance(got, str):
+                wrong = got
+            else:
+                stop, go_on = got[2], True
+                if at >= faulty_to or got[:2] not in inflated:
+                    found = [got[:2]]
         if found and bad >= 0:
             yield "gap", bad, at, why
             bad = -1
         for head, block in found:
             yield "record", at, head, block
-        if isinstance(got, str):
-            if bad < 0:
-                bad, why = at, got
-            if found:  # good records before a bad one in the same member
-                bad = at
+        if wrong and bad < 0:
+            bad, why = at, wrong
+        if go_on:
+            at = stop
+        else:
             nxt = [p for p in (data.find(_MAGIC, at + 1), data.find(_VERSION, at + 1)) if p > 0]
             at = min(nxt, default=len(data))
-        else:
-            at = stop
     if bad >= 0:
         yield "gap", bad, len(data), why
 

@@ -2,8 +2,10 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -48,6 +50,40 @@ def test_salvage_after_each_kind_of_damage(gz):
     assert read(b"nothing here") == ([], [(0, 12)])
 
 
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_inside_members_of_several_records(level):
+    r = random.Random(3)
+    parts = [warc.record(i, "u", r.randbytes(9000), None, False) for i in range(5)]
+    edges = [sum(map(len, parts[:k])) for k in range(6)]
+    member = lambda b: gzip.compress(b, level, mtime=0)
+    plain, extra = b"".join(parts), warc.gzip_member(warc.record(9, "u", b"x", None, False))
+    # bad records inside a whole member: first, middle, two in a row
+    for bad in ([0], [2], [1, 2]):
+        hurt = bytearray(plain)
+        for k in bad:
+            hurt[edges[k] + 4000] ^= 1
+        one = member(bytes(hurt))
+        assert read(one + extra) == ([k for k in range(5) if k not in bad] + [9], [(0, len(one))])
+    # a CRC fault, a stream fault, a cut: what came before is kept, and the next member read
+    one = member(plain)
+    crc = bytearray(one)
+    crc[-6] ^= 1
+    assert read(bytes(crc) + extra) == ([0, 1, 2, 3, 4, 9], [(0, len(one))])
+    ids, gaps = read(one[: len(one) * 7 // 10] + b"\xff" * 3 + extra)
+    assert ids == [0, 1, 2, 9] and gaps == [(0, len(one) * 7 // 10 + 3)]
+    assert read(one[: len(one) * 7 // 10]) == ([0, 1, 2], [(0, len(one) * 7 // 10)])
+    assert read(one[:-5]) == ([0, 1, 2, 3, 4], [(0, len(one) - 5)])
+
+
+def test_salvage_keeps_the_bytes_before_a_stream_fault():
+    r = random.Random(5)
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    text = bytes(r.choice(b"abcdefgh ") for _ in range(40_000))
+    head = c.compress(text) + c.flush(zlib.Z_FULL_FLUSH)
+    plain, stop, why = warc._member(head + b"\x07" + b"z" * 50, 0)
+    assert plain == text and stop == len(head) and why.startswith("gzip: ")
+
+
 def test_salvage_covers_every_byte_once():
     r = random.Random(2)
     whole = b"".join(archive(5) + archive(3, False))
