@@ -1,13 +1,15 @@
 """The corpus pipeline over the table documents: judge, deduplicate, mix, tokenise.
 
-Stages after the first narrow the rows down by doc_id: what goes is a table of ids, broadcast if it is short and
-joined by sort-merge if not. Rows repeated under one doc_id are one document and stay or go together.
+The dedup stages narrow the rows down by row number: what goes is a table of numbers, broadcast if it is short and
+joined by sort-merge if not. Each row stays or goes by itself, whether its doc_id is null, repeated or its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueforge.llm import bpe, exact_dedup, mixing, quality, shingle_join
@@ -18,10 +20,19 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, judged: DataFrame, keep: str) -> DataFrame:
-    """docs without the ids that have no row with keep in judged."""
-    gone = judged.groupBy("doc_id").agg(F.max(keep).alias("_stays")).where("not _stays").select("doc_id")
-    return docs.join(small_side(Scratch(docs.sparkSession).save(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
+def _one_of_each(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], group: str, *first: Column) -> DataFrame:
+    """docs with one row of each group that judge finds: the first by the given columns, then by doc_id (null last) and row.
+
+    judge sees row numbers in place of doc_id, so that each row has a decision of its own.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    judged = judge(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    named = judged.join(rows.select("_row", "doc_id").hint("merge"), "_row")
+    named = scratch.save(named.select("_row", F.col(group).alias("_group"), F.struct(*first, F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row").alias("place")), "judged")
+    stays = named.groupBy("_group").agg(F.min("place").alias("place")).select(F.col("place._row").alias("_row"))
+    gone = scratch.save(named.select("_row").join(stays.hint("merge"), "_row", "left_anti"), "gone")
+    return rows.join(small_side(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +40,11 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_groups(docs), "kept")
+    return _one_of_each(docs, exact_dedup.exact_groups, "text_sha256", (-F.col("n_chars")).alias("shorter"))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, shingle_join.near_duplicates(docs), "is_first")
+    return _one_of_each(docs, shingle_join.near_duplicates, "component_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -297,3 +297,24 @@ def test_pipeline_on_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             df = Scratch(spark).save(stage(spark, df, ""), "s")
         assert df.columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_pipeline_dedup_decides_row_by_row(spark):
+    near = [" ".join(f"w{i}" for i in range(60)) + end for end in ("", " x", " y")]
+    rows = [(None, "same text", "a"), (4, "same text", "b"), (4, "same text", "b"), (4, "sametext", "c"), (7, "other", "d"), (4, "other", "e"), (None, "no id", "f"), (None, "no id", "f"), (None, near[0], "g"), (9, near[1], "h"), (8, near[2], "i"), (8, near[2], "i"), (None, None, "j"), (2, "", "k"), (3, "", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    exact = Scratch(spark).save(corpus_pipeline.drop_exact(spark, docs, ""), "e")
+    shown = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    assert shown(exact) == sorted([("4", "same text"), ("4", "other"), ("None", "no id"), ("None", near[0]), ("9", near[1]), ("8", near[2]), ("2", "")])
+    assert shown(corpus_pipeline.drop_near(spark, exact, "")) == sorted([("4", "same text"), ("4", "other"), ("None", "no id"), ("8", near[2]), ("2", "")])
+    # rows of one text all meet in the Jaccard join too; texts without words are no duplicates there
+    assert shown(corpus_pipeline.drop_near(spark, docs, "")) == sorted([("4", "same text"), ("4", "sametext"), ("4", "other"), ("None", "no id"), ("8", near[2]), ("None", ""), ("2", ""), ("3", "")])
+
+
+def test_pipeline_on_odd_rows_leaves_one_of_each(spark):
+    rows = [(1, None), (2, ""), (None, "Plain words are kept here."), (4, "Plain words are kept here."), (4, "Plain words are kept here.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for stage in (corpus_pipeline.drop_exact, corpus_pipeline.drop_near):
+        docs = Scratch(spark).save(stage(spark, docs, ""), "s")
+        assert sorted((r.doc_id, r.text) for r in docs.where("text <> ''").collect()) == [(4, rows[3][1])]
+        assert [r.doc_id for r in docs.where("coalesce(text, '') = ''").collect()] == [1]
