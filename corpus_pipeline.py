@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    return bpe.encode(docs, RANKS, public_tokenizers.PATTERN, verify=True)
 
 
 STAGES = [("quality classifier", judge_quality), ("exact dedup", drop_exact), ("n-gram Jaccard join", drop_near), ("mixing sources to target weights", mix_sources), ("byte-level BPE encoding and decoding", tokenise)]

@@ -192,6 +192,11 @@ class Encoder(dict):
         """The bytes that packed ids stand for."""
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def verify(self, text: str, ids: bytes) -> None:
+        """Raises unless the packed ids decode to the text."""
+        if self.decode(ids) != text.encode():
+            raise ValueError(f"{len(ids) // 4} ids do not decode to their text of {len(text)} characters")
+
 
 _encoders: dict[tuple, Encoder] = {}
 
@@ -223,12 +228,13 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
         yield ids, texts
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, digests_only: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, digests_only: bool = False, verify: bool = False) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, n_tokens and ids array<int>, or the digests of ids and decoded bytes.
 
     Each match of pattern is encoded by itself, without special tokens; a null text is empty and has no ids.
     Texts are processed whole, short ones in groups. With digests_only the columns are n_tokens, ids_sha256 of the ids
-    as little-endian unsigned 32-bit integers, and decoded_sha256 of what the ids decode to.
+    as little-endian unsigned 32-bit integers, and decoded_sha256 of what the ids decode to. With verify
+    each text's ids are decoded as well, and the job fails if they do not give the text back.
     """
     key, shared = _shared(docs, ranks_path, pattern)
 
@@ -238,8 +244,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digests_only: bool =
         for batch in batches:
             ids, doc_ids, size = [], [], 0
             for some_ids, texts in _groups(batch):
-                for doc_id, packed in zip(some_ids, enc.encode_all(texts), strict=True):
+                for doc_id, text, packed in zip(some_ids, texts, enc.encode_all(texts), strict=True):
                     doc_ids.append(doc_id)
+                    if verify:
+                        enc.verify(text, packed)
                     if digests_only:
                         ids.append((len(packed) // 4, sha(packed), sha(enc.decode(packed))))
                         continue

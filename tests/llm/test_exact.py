@@ -264,6 +264,17 @@ def test_bpe_frames(spark, encoders):
     assert bpe.encode(docs.limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_verify_shows_a_decoding_fault(encoders, monkeypatch):
+    ids = encoders[0].encode("some text")
+    encoders[0].verify("some text", ids)
+    with pytest.raises(ValueError):
+        encoders[0].verify("some texts", ids)
+    seen = []
+    monkeypatch.setattr(bpe, "encode", lambda *a, **k: seen.append(k))
+    corpus_pipeline.tokenise(None, None, "")
+    assert seen == [{"verify": True}]
+
+
 # --- pipeline
 
 
