@@ -63,8 +63,8 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
     """The record at a byte of data: its headers, block and end; or what is wrong with it."""
     if not data.startswith(_VERSION, at):
         return "no version line"
-    end = data.find(b"\r\n\r\n", at, at + (1 << 20))
-    if end < 0:
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0 or data.find(b"\r\n" + _VERSION, at, end) >= 0:
         return "header block not closed"
     version, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
     if not re.fullmatch(r"WARC/1\.\d", version):

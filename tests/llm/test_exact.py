@@ -75,6 +75,16 @@ def test_salvage_inside_members_of_several_records(level):
     assert read(one[:-5]) == ([0, 1, 2, 3, 4], [(0, len(one) - 5)])
 
 
+def test_salvage_reads_headers_of_any_length():
+    url = "http://x/" + "y" * (3 << 20)
+    parts = [warc.record(1, url, b"long", None, False), warc.record(2, "u", b"short", None, False)]
+    for wrap in (warc.gzip_member, bytes):
+        got = list(warc.salvage(b"".join(map(wrap, parts))))
+        assert [x[0] for x in got] == ["record"] * 2 and got[0][2]["warc-target-uri"] == url
+    cut = parts[0][:500] + b"\r\n"
+    assert read(cut + parts[1]) == ([2], [(0, len(cut))])
+
+
 def test_salvage_keeps_the_bytes_before_a_stream_fault():
     r = random.Random(5)
     c = zlib.compressobj(6, zlib.DEFLATED, 31)
