@@ -24,7 +24,9 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 _WORD = re.compile(r"[a-z]+")
 _BLOCK = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea iframe noembed noframes xmp template svg math".split())
+_RAW = frozenset("script style title textarea iframe noembed noframes xmp template svg".split())
+#: An unquoted value at the end of a tag: a slash there belongs to the value.
+_UNQUOTED = re.compile(r"""=\s*[^\s"'>]+\Z""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in _RAW}
 #: An opening tag of these ends the open ones named, up to the given borders.
 _SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -42,7 +44,7 @@ def blocks(html: str) -> list[Block]:
     """Leaf blocks in page order: texts with character references decoded and white space made single spaces.
 
     path spells the ancestors, outermost first, each as tag.class-or-id-words. Scripts, styles, templates,
-    titles and comments hold no blocks. Open tags are closed as browsers do for paragraphs, list items and
+    titles, drawings (svg) and comments hold no blocks; the text of formulas (math) stays. Open tags are closed as browsers do for paragraphs, list items and
     table cells; end tags without a partner are ignored.
     """
     out: list[Block] = []
@@ -110,6 +112,8 @@ def blocks(html: str) -> list[Block]:
                     k -= 1
         elif name == "br":
             text.append(" ")
+        if name == "svg" and m[3].endswith("/") and not _UNQUOTED.search(m[3]):
+            continue
         if name in _RAW:
             end = _RAW_END[name].search(html, at)
             at = end.start() if end else len(html)

@@ -113,6 +113,16 @@ def test_blocks_of_broken_markup():
     assert texts("<script>never closed") == []
 
 
+def test_blocks_around_drawings_and_formulas():
+    texts = lambda h: [b.text for b in html_extract.blocks(h)]
+    for empty in ("<svg/>", '<svg class="x"/>', "<svg hidden />", "<SVG a='b'/>"):
+        assert texts(f"<p>a {empty}b<p>c") == ["a b", "c"]
+        assert texts(f"<p>a {empty}b<p>c<svg><text>no</text></svg>d") == ["a b", "cd"]
+    assert texts("<p>a<svg width=1/><text>no</text></svg>b") == ["ab"]
+    assert texts("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be<p>c") == ["let x=1 be", "c"]
+    assert texts("<p>a <math/>b<p>c") == ["a b", "c"]
+
+
 def test_extract_on_odd_pages(spark, field):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<nav>menu</nav><article><h1>Head</h1><p>Some  text\nhere.</p></article><footer>&copy; me</footer>", "x"), (3, "u", "<article><p>" + "long words here. " * 20_000 + "</p></article>", "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(pages, field).collect()}
