@@ -78,7 +78,7 @@ class Shard:
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, q array<long>): floor(256 * x) of each component as double. Vectors that are null or hold null or non-finite components are left out, as are null ids; rows repeated under one id count once."""
+    """(vec_id, q array<long>): floor(256 * x) of each component as double. Vectors that are null or hold null or non-finite components are left out, as are null ids."""
     x = F.col("x")
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x")).where(x.isNotNull() & F.col("vec_id").isNotNull())
     v = v.where(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
@@ -102,10 +102,11 @@ def top_k(vectors: DataFrame, is_query=None, k: int = 5, shard_rows: int = SHARD
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to smaller vec_id.
 
     Queries are the rows that is_query holds for (default: vec_id divisible by 50), in blocks that meet every
-    shard. Candidates with the query's own id are left out. Vectors of different lengths count as padded with
+    shard. Every other row is a candidate, also those repeated
+    under one id; only those with the query's own id are left out. Queries repeated under one id rank together. Vectors of different lengths count as padded with
     zeros. With fewer than k candidates all are returned; an empty table returns no rows.
     """
-    q = quantised(vectors).dropDuplicates(["vec_id"])
+    q = quantised(vectors)
     asked = is_query if is_query is not None else F.col("vec_id") % 50 == 0
     n, m = q.agg(F.count(F.lit(1)), F.count(F.when(asked, 1))).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_block))

@@ -151,6 +151,13 @@ def test_top_k(spark, kind):
     assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == brute_top(rows, 5)
 
 
+def test_top_k_keeps_rows_repeated_under_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [5.0, 0.0]), (1, [7.0, 0.0]), (1, [7.0, 0.0]), (2, [0.0, 6.0]), (2, [1.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=3).collect()
+    scores = sorted((-65536 * sum(a * b for a, b in zip(x, y, strict=True)), j) for i, x in rows if i == 0 for j, y in rows if j)[:5]
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+
+
 def test_top_k_stops_only_on_proof():
     r = np.random.default_rng(5)
     values = (r.normal(0, 100, (600, 16)) * (1 + 40 * (r.random((600, 1)) < 0.01))).astype(np.int64)
