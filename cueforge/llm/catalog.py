@@ -13,9 +13,12 @@ from .common import Scratch, table
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    archives = Scratch(spark).save(warc.write_archives(warc.mark_revisits(pages)), "archives")
-    records = warc.read_archives(archives, with_payload=False).where("gap_from is null")
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    scratch = Scratch(spark)
+    archives = scratch.save(warc.write_archives(warc.mark_revisits(pages)), "archives")
+    found = scratch.save(warc.read_archives(archives, with_payload=False), "found")
+    warc.log_gaps(found, f"{scratch.root}/gaps")
+    scratch.drop("archives")
+    return found.where("gap_from is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _OP1 = r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
 w AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h),
-q AS (SELECT p.*, first_id, page_id IS DISTINCT FROM first_id AS again FROM p JOIN w USING (h))
+q AS (SELECT p.*, first_id, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) > 1 AS again FROM p JOIN w USING (h))
 SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
   list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     (((('0x' || substr(h, ((i // 4) * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1)::BIGINT, 1)), 'string_agg', '') AS payload_digest,

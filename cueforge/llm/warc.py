@@ -4,16 +4,19 @@ The reader checks each gzip member (header, deflate stream, CRC) and each record
 block, declared length, closing blank lines, block digest). After a failed check it searches for the next
 valid member, or in plain archives and in a member's inflated bytes for the next version line, goes on from
 there, and reports the bytes in between as a gap. What a faulty member inflates to before its fault is searched
-as well. Nothing that can still be read is lost to an earlier fault.
+as well. Nothing that can still be read is lost to an earlier fault. A damaged record whose frame can be trusted
+is passed over whole, so that a record which its payload quotes is not taken for one of the archive.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,10 +25,11 @@ from pyspark.sql import functions as F
 
 #: Archives are closed at the first record beyond this size.
 ARCHIVE_BYTES = 16 << 20
-RECORD_SCHEMA = "archive string, byte_offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, gap_from long, gap_to long, gap_reason string"
+RECORD_SCHEMA = "archive string, byte_offset long, inner_offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, gap_from long, gap_to long, gap_reason string"
 
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
+_HEAD_END = re.compile(rb"\r\n\r\n|\r\nWARC/1\.")
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -59,47 +63,99 @@ def gzip_member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def _parse(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
-    """The record at a byte of data: its headers, block and end; or what is wrong with it."""
+class Bad(NamedTuple):
+    """What is wrong at a byte, and where the damaged record ends if its frame can be trusted, else 0."""
+
+    reason: str
+    stop: int
+
+
+class Found(NamedTuple):
+    """A record: the archive bytes of it, or of the gzip member around it, and then its place in the inflated bytes."""
+
+    at: int
+    stop: int
+    inner: tuple[int, int] | None
+    head: dict
+    block: bytes
+
+
+class Gap(NamedTuple):
+    """Quarantined bytes of the archive; or, with member set, of what the gzip member at that byte inflates to."""
+
+    member: int | None
+    start: int
+    stop: int
+    reason: str
+
+
+def _same_digest(said: str, block: bytes) -> bool | None:
+    """Whether a digest header fits the block; None for other algorithms and without one."""
+    name, _, value = said.partition(":")
+    if name.lower() != "sha1":
+        return None
+    return value.lower() == hashlib.sha1(block).hexdigest() if len(value) == 40 else value.upper() == sha1_base32(block)
+
+
+def _parse(data: bytes, at: int) -> tuple[dict, bytes, int] | Bad:
+    """The record at a byte of data: its headers, block and end; or what is wrong with it.
+
+    A version line within a line is taken only if the block's digest proves the record. A frame is trusted when
+    it closes where its length says and a record, a member or the end follows.
+    """
     if not data.startswith(_VERSION, at):
-        return "no version line"
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0 or data.find(b"\r\n" + _VERSION, at, end) >= 0:
-        return "header block not closed"
-    version, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+        return Bad("no version line", 0)
+    end = _HEAD_END.search(data, at)
+    if not end or end[0] != b"\r\n\r\n":
+        return Bad("header block not closed", 0)
+    version, *lines = data[at : end.start()].decode("utf-8", "replace").split("\r\n")
     if not re.fullmatch(r"WARC/1\.\d", version):
-        return "version line not closed"
+        return Bad("version line not closed", 0)
     head = {}
     for line in lines:
         name, colon, value = line.partition(":")
         if not colon:
-            return "header line without a colon"
+            return Bad("header line without a colon", 0)
         head[name.strip().lower()] = value.strip()
-    if not re.fullmatch(r"\d{1,18}", head.get("content-length", "")):
-        return "no content length"
-    start = end + 4
+    if not re.fullmatch(r"[0-9]{1,18}", head.get("content-length", "")):
+        return Bad("no content length", 0)
+    start = end.end()
     stop = start + int(head["content-length"])
     if data[stop : stop + 4] != b"\r\n\r\n":
-        return "record not closed where its length says"
+        return Bad("record not closed where its length says", 0)
     block = data[start:stop]
-    said = head.get("warc-block-digest", "")
-    if said.startswith("sha1:") and said[5:] != sha1_base32(block):
-        return "block digest differs"
-    return head, block, stop + 4
-
-
-def _before_fault(data: bytes, at: int) -> tuple[bytes, int]:
-    """What a faulty gzip member inflates to before its fault, to the byte, and where the fault is."""
-    d, out, view = zlib.decompressobj(31), [], memoryview(data)
-    for step in (4096, 1):
-        while at < len(data):
-            before = d.copy()
-            try:
-                out.append(d.decompress(view[at : at + step]))
-            except zlib.error:
-                d = before
+    stop += 4
+    same = _same_digest(head.get("warc-block-digest", ""), block)
+    if same is False:
+        return Bad("block digest differs", stop if stop == len(data) or data.startswith((_VERSION, _MAGIC), stop) else 0)
+    if at and data[at - 1] != 10 and not same and not (at >= 4 and data[at - 4 : at] == b"\r\n\r\n"):
+        return Bad("version line within a line", 0)
+    return head, block, stop
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The bytes of the gzip member at a byte of data, to the byte before a fault; where it ends or breaks; and what is wrong, if anything.
+
+    It is fed in slices, so that reading costs what the member holds, whatever follows it.
+    """
+    d, out, view, step, why = zlib.decompressobj(31), [], memoryview(data), 512, ""
+    while at < len(data):
+        before = d.copy()
+        try:
+            out.append(d.decompress(view[at : at + step]))
+        except zlib.error as e:
+            d, why = before, f"gzip: {e}"
+            if step == 1:
                 break
-            at += step
+            step = max(1, step // 16)
+            continue
+        at = min(at + step, len(data))
+        if d.eof:
+            return b"".join(out), at - len(d.unused_data), ""
+        if not why:
+            step = min(2 * step, 1 << 20)
+    if not why:
+        return b"".join(out), len(data), "gzip: member cut short"
     tail = data[at : at + 1]
     try:
         while (piece := d.decompress(tail, 1)) or d.unconsumed_tail:
@@ -107,83 +163,114 @@ def _before_fault(data: bytes, at: int) -> tuple[bytes, int]:
             tail = d.unconsumed_tail
     except zlib.error:
         pass
-    return b"".join(out), at
+    return b"".join(out), at, why
+
+
+class _Ahead:
+    """The next place of a byte string at or after a byte; asked for rising bytes, it scans the data once."""
+
+    def __init__(self, data: bytes, what: bytes):
+        self.data, self.what, self.at = data, what, -1
+
+    def __call__(self, at: int) -> int:
+        if self.at < at:
+            self.at = self.data.find(self.what, at)
+            if self.at < 0:
+                self.at = len(self.data)
+        return self.at
+
+
+def _records(plain: bytes) -> tuple[list[tuple[int, int, dict, bytes]], list[tuple[int, int, str]]]:
+    """The records (start, stop, headers, block) of inflated bytes and the gaps (start, stop, reason) between them: together all of the bytes."""
+    found, gaps, at, bad, why, ahead = [], [], 0, -1, "", _Ahead(plain, _VERSION)
+    while at < len(plain):
+        got = _parse(plain, at)
+        if isinstance(got, Bad):
+            if bad < 0:
+                bad, why = at, got.reason
+            at = got.stop or ahead(at + 1)
+            continue
+        if bad >= 0:
+            gaps.append((bad, at, why))
+            bad = -1
+        found.append((at, got[2], got[0], got[1]))
+        at = got[2]
+    if bad >= 0:
+        gaps.append((bad, len(plain), why))
+    return found, gaps
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """The bytes of the gzip member at a byte of data, where reading it ended, and what is wrong with it, if anything."""
-    d = zlib.decompressobj(31)
-    try:
-        out = d.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        return *_before_fault(data, at), f"gzip: {e}"
-    if not d.eof:
-        return out, len(data), "gzip: member cut short"
-    return out, len(data) - len(d.unused_data), ""
-
-
-def _records(plain: bytes) -> tuple[list[tuple[dict, bytes]], int, str]:
-    """The records that can be read in a member's bytes, where the last one ends, and what is wrong with the first bad one."""
-    found, last, why, at = [], 0, "", 0
-    while 0 <= at < len(plain):
-        parsed = _parse(plain, at)
-        if isinstance(parsed, str):
-            why = why or parsed
-            at = plain.find(_VERSION, at + 1)
-        else:
-            found.append(parsed[:2])
-            at = last = parsed[2]
-    return found, last, why
+def _number(value: str | None) -> int | None:
+    """A header's number, if it is one of 64 bits."""
+    if not re.fullmatch(r"-?[0-9]{1,19}", value or ""):
+        return None
+    return n if -(1 << 63) <= (n := int(value)) < 1 << 63 else None
 
 
 def _id(value: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
-    return int(found[1]) if found else None
+    found = re.fullmatch(r"<urn:page:(.*)>", value or "")
+    return _number(found[1]) if found else None
 
 
-def salvage(data: bytes) -> Iterator[tuple]:
-    """Yields ("record", offset, headers, block) and ("gap", from, to, reason) over an archive's bytes.
+def salvage(data: bytes) -> Iterator[Found | Gap]:
+    """Records and gaps of an archive's bytes, in order.
 
-    Gaps and records cover the archive. A gzip member is one place: records read in a damaged one stand at its
-    offset, and the gap begins there too. A member cut short whose only record ends with its bytes is a gap alone.
-    An empty archive yields nothing.
+    Gaps of the archive, plain records and members that records were read in cover the archive without overlap;
+    so do the records and gaps inside a member what it inflates to. A member with a fault ends at the fault, or where the next
+    valid place begins if that is before; it always has a gap inside, at its end, which tells the fault. Members without a
+    record are gaps. An empty archive yields nothing.
     """
     at, bad, why = 0, -1, ""
-    inflated, faulty_to = [], 0  # what was read in the last faulty member, whose stored blocks show it once more
+    broken: tuple | None = None  # the last member with a fault, as long as its end is open: at, fault's place, reason, records, gaps
+    known: set = set()  # its records: its stored blocks show them once more
+    members, versions = _Ahead(data, _MAGIC), _Ahead(data, _VERSION)
+
+    def told(start: int, stop: int, found: list, gaps: list) -> Iterator[Found | Gap]:
+        for a, b, *x in sorted([*found, *gaps], key=lambda e: e[:2]):
+            yield Found(start, stop, (a, b), x[0], x[1]) if len(x) == 2 else Gap(start, a, b, x[0])
+
+    def settled(end: int) -> Iterator[Found | Gap]:
+        """What is pending before a valid place at end."""
+        start, reason = bad, why
+        if broken:
+            first, fault, reason, found, gaps = broken
+            start = min(fault, end)
+            yield from told(first, start, found, gaps)
+        if 0 <= start < end:
+            yield Gap(None, start, end, reason)
+
     while at < len(data):
-        found, wrong, go_on = [], "", False
-        if data.startswith(_MAGIC, at):
-            plain, stop, fault = _member(data, at)
-            found, last, wrong = _records(plain)
-            go_on = not fault
-            if fault:
-                wrong = fault
-                if stop == len(data) and len(found) == 1 and last == len(plain):
-                    found = []
-                if found:
-                    inflated, faulty_to = found, stop
+        stop, wrong, found, gaps = 0, "", [], []
+        gz = data.startswith(_MAGIC, at)
+        if gz:
+            plain, stop, wrong = _member(data, at)
+            found, gaps = _records(plain)
+            if wrong:
+                last = max((b for _, b, *_ in found), default=0)
+                gaps = [g for g in gaps if g[0] < last] + [(last, len(plain), wrong)]
+        elif isinstance(got := _parse(data, at), Bad):
+            wrong, stop = got
         else:
-            got = _parse(data, at)
-            if isinstance(got, str):
-                wrong = got
-            else:
-                stop, go_on = got[2], True
-                if at >= faulty_to or got[:2] not in inflated:
-                    found = [got[:2]]
-        if found and bad >= 0:
-            yield "gap", bad, at, why
-            bad = -1
-        for head, block in found:
-            yield "record", at, head, block
-        if wrong and bad < 0:
-            bad, why = at, wrong
-        if go_on:
-            at = stop
+            found, stop = [(at, got[2], got[0], got[1])], got[2]
+        fresh = [f for f in found if not known or (tuple(f[2].items()), f[3]) not in known]
+        if not fresh:
+            if bad < 0 and not broken:
+                bad, why = at, wrong or (gaps[0][2] if gaps else "member without records")
+            whole = stop and not (gz and wrong)
+            at = stop if whole else min(members(at + 1), versions(at + 1))
+            continue
+        yield from settled(at)
+        bad, broken, known = -1, None, set()
+        if gz and wrong:
+            broken, known = (at, stop, wrong, found, gaps), {(tuple(f[2].items()), f[3]) for f in found}
+            at = min(members(at + 1), versions(at + 1))
+            continue
+        if gz:
+            yield from told(at, stop, found, gaps)
         else:
-            nxt = [p for p in (data.find(_MAGIC, at + 1), data.find(_VERSION, at + 1)) if p > 0]
-            at = min(nxt, default=len(data))
-    if bad >= 0:
-        yield "gap", bad, len(data), why
+            yield Found(at, stop, None, found[0][2], found[0][3])
+        at = stop
+    yield from settled(len(data))
 
 
 def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -216,8 +303,11 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
 def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records and gaps of archives given as rows (path, content), such as the binaryFile source reads.
 
-    A gap has gap_from, gap_to and gap_reason set and no record columns. Digest and length of a response are
-    computed from the bytes read; those of a revisit are what its headers say of the full payload.
+    byte_offset is where the record, or the gzip member around it, begins, inner_offset its place in what the
+    member inflates to. A gap has gap_from, gap_to and gap_reason set and no record columns; its bytes are the
+    archive's, or with byte_offset set those that the member there inflates to. Digest and length of a response
+    are computed from the bytes read; those of a revisit are what its headers say of the full payload, null
+    where they don't. Foreign ids and numbers that aren't of 64 bits are null. Null contents have no rows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,15 +315,16 @@ def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
             for i in range(b.num_rows):
                 path, data = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 out, size = [], 0
-                for kind, at, x, y in salvage(data or b""):
-                    if kind == "gap":
-                        out.append((path, None, None, None, None, None, None, None, None, at, x, y))
+                for x in salvage(data or b""):
+                    if isinstance(x, Gap):
+                        out.append((path, x.member, *[None] * 8, x.start, x.stop, x.reason))
                     else:
-                        revisit = x.get("warc-type") == "revisit"
-                        n = int(x.get("x-payload-length", "0")) if revisit else len(y)
-                        digest = x.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else sha1_base32(y)
-                        out.append((path, at, _id(x.get("warc-record-id")), x.get("warc-target-uri"), x.get("warc-type"), _id(x.get("warc-refers-to")), n, digest, y if with_payload else None, None, None, None))
-                        size += len(y)
+                        h = x.head.get
+                        revisit = h("warc-type") == "revisit"
+                        n = _number(h("x-payload-length")) if revisit else len(x.block)
+                        digest = h("warc-payload-digest", "").removeprefix("sha1:") or None if revisit else sha1_base32(x.block)
+                        out.append((path, x.at, x.inner and x.inner[0], _id(h("warc-record-id")), h("warc-target-uri"), h("warc-type"), _id(h("warc-refers-to")), n, digest, x.block if with_payload else None, None, None, None))
+                        size += len(x.block)
                     if size > 8 << 20 or len(out) >= 10_000:
                         yield _batch(out)
                         out, size = [], 0
@@ -243,23 +334,34 @@ def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
     return files.select("path", "content").mapInArrow(read, RECORD_SCHEMA)
 
 
-_ARROW = pa.schema([("archive", pa.string()), ("byte_offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("gap_from", pa.int64()), ("gap_to", pa.int64()), ("gap_reason", pa.string())])
+_ARROW = pa.schema([("archive", pa.string()), ("byte_offset", pa.int64()), ("inner_offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("gap_from", pa.int64()), ("gap_to", pa.int64()), ("gap_reason", pa.string())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
+def log_gaps(found: DataFrame, path: str) -> int:
+    """Writes the gaps among stored rows of read_archives() to a JSON log, if there are any, and says how many there are."""
+    gaps = found.where("gap_from is not null")
+    n = gaps.count()
+    if n:
+        gaps.select("archive", "byte_offset", "gap_from", "gap_to", "gap_reason").write.mode("overwrite").json(path)
+        logging.getLogger(__name__).warning("%d gaps quarantined, log in %s", n, path)
+    return n
+
+
 def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) with payload, first_id and is_revisit.
 
-    Of rows with equal payloads of at least min_bytes, those with the smallest page_id are responses (all of
-    them, should that id be repeated), the others revisits. A null html is an empty payload; a null page_id
-    counts as larger than any other. Digests are grouped before the join, so a hot payload is one row of its
-    right side, and adaptive execution may split the left.
+    Of rows with equal payloads of at least min_bytes the one with the smallest page_id is the response, the others
+    are revisits; of rows repeated under that id, the first in the order read, so pages must read alike twice,
+    as tables do. A null html is an empty payload; a null page_id counts as larger than any other, and a revisit of such a
+    response refers to nothing. Digests are grouped before the join, so a hot payload is one row of its right side,
+    and adaptive execution may split the left.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("_key", F.sha2("payload", 256))
-    first = rows.groupBy("_key").agg(F.min("page_id").alias("first_id"))
-    again = (F.octet_length("payload") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first.hint("merge"), "_key").withColumn("is_revisit", again).drop("_key")
+    rows = rows.withColumns({"_key": F.sha2("payload", 256), "_row": F.monotonically_increasing_id()})
+    first = rows.groupBy("_key").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "_row")).alias("_first"))
+    again = (F.octet_length("payload") >= min_bytes) & (F.col("_row") != F.col("_first._row"))
+    return rows.join(first.hint("merge"), "_key").withColumns({"first_id": F.col("_first.page_id"), "is_revisit": again}).drop("_key", "_row", "_first")
