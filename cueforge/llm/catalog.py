@@ -96,7 +96,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 _OP5 = r"""
 WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
 g AS (SELECT h, first(doc_id ORDER BY n DESC, doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY h)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)
+SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST) = 1 AS kept, h AS text_sha256 FROM d JOIN g USING (h)
 """
 
 _OP7 = rf"""

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType, VariantType
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -17,10 +18,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only on a local master where that is unset."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local"):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="cueforge-")
     return _own[app]
@@ -55,12 +58,60 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def small_side(df: DataFrame, most: int = 50_000) -> DataFrame:
-    """A stored table as the small side of a join: broadcast if it has at most so many (narrow) rows, else by sort-merge."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+#: Rows that a broadcast table may have at most.
+BROADCAST_ROWS = 50_000
+#: Groups that hold more than one in so many of all rows are hot: there are fewer than that.
+HOT_GROUPS = 1000
+
+
+def _is_narrow(df: DataFrame) -> bool:
+    """Whether all columns are of fixed width, so that a number of rows bounds the bytes."""
+    fixed = lambda t: all(fixed(f.dataType) for f in t.fields) if isinstance(t, StructType) else not isinstance(t, (StringType, BinaryType, ArrayType, MapType, VariantType))
+    return fixed(df.schema)
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = 8 << 20) -> DataFrame:
+    """A stored table as the small side of a join: broadcast if it has at most so many rows, and so many bytes where columns vary in width; else by sort-merge."""
+    few = df.limit(most + 1)
+    if few.count() > most:
+        return df.hint("merge")
+    if not _is_narrow(df) and (few.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0) > most_bytes:
+        return df.hint("merge")
+    return F.broadcast(df)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined to groups (a stored row per key, with the number of rows of that key in column size, which goes).
+
+    Hot groups, those with more than one in HOT_GROUPS of all rows, meet their rows by broadcast: there are fewer
+    than HOT_GROUPS of them whatever the size, and no key's rows gather in one task. The others join by
+    sort-merge. Keys must not be null.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    bound = F.lit(max(total // HOT_GROUPS, 1))
+    hot = groups.where(F.col(size) > bound).drop(size)
+    rest = groups.where(F.col(size) <= bound).drop(size)
+    if hot.isEmpty():
+        return rows.join(rest.hint("merge"), on, how)
+    met = rows.join(F.broadcast(hot), on)
+    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest.hint("merge"), on, how)
+    return met.unionByName(others)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, behind as many underscores as make it new to df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as the cluster runs tasks at once: small tables come in few files."""
+    """df over at least as many partitions as the cluster runs tasks at once: small tables come in few files.
+
+    Frames with an exchange have their partitions from there; to count them would run it.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

@@ -5,17 +5,19 @@ perfect hash: levels of bit arrays in which a digest stays at the first level wh
 its slot being the number of set bits before it. Slots hold the full digest and the winner's locator. A lookup
 computes the slot and compares the digest byte by byte, so that strangers, which a perfect hash sends to some
 slot too, are told apart. Members join their slot's group; nonmembers group among themselves.
+The slot tables are an artefact of their own (build_index), stored before the lookups.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, normalised
+from .common import Scratch, join_groups, normalised
 
 #: Distinct digests a shard is meant to hold: some 50 bytes each.
 SHARD_ROWS = 200_000
@@ -90,29 +92,48 @@ def _bytes(col: pa.ChunkedArray) -> np.ndarray:
 
 
 def _rank(rows: DataFrame) -> DataFrame:
-    """One row per digest: the winner's (n_chars, doc_id) and the number of rows. Spark combines before it shuffles."""
-    best = F.min(F.struct((-F.col("n_chars")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
-    return rows.groupBy("digest").agg(best.alias("b"), F.count(F.lit(1)).alias("n")).select("digest", (-F.col("b.neg")).alias("n_chars"), F.col("b.doc_id").alias("doc_id"), "n")
+    """One row per digest: its winner (n_chars, doc_id and row, the locator) and the number of rows. Spark combines before it shuffles."""
+    best = F.min(F.struct((-F.col("n_chars")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    return rows.groupBy("digest").agg(best.alias("b"), F.count(F.lit(1)).alias("n")).select("digest", (-F.col("b.neg")).alias("n_chars"), F.col("b.doc_id").alias("doc_id"), F.col("b.row").alias("row"), "n")
 
 
-def lookup_members(history: DataFrame, fresh: DataFrame, shards: int) -> DataFrame:
-    """fresh (digest, n_chars, doc_id, n), a row per distinct digest, with member and the locator from history.
+_VALUES = ("n_chars", "doc_id", "row", "n")
 
-    Both are dealt out by digest, which is distinct on either side, so shards are even.
-    """
-    shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
 
-    def probe(_: tuple, old: pa.Table, new: pa.Table) -> pa.Table:
-        keys = _bytes(old["digest"])
-        slots = SlotTable(keys, np.arange(len(keys)))
+def _sharded(ranked: DataFrame, shards: int) -> DataFrame:
+    """Dealt out by digest, which is distinct, so shards are even."""
+    return ranked.select("digest", *[F.col(c).cast("long").alias(c) for c in _VALUES], F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"))
+
+
+def build_index(history: DataFrame, shards: int) -> DataFrame:
+    """(shard, index): history (digest, n_chars, doc_id, row, n; digests distinct) as a slot table per shard. Stored, it serves any number of lookups."""
+
+    def build(key: tuple, old: pa.Table) -> pa.Table:
+        digests = _bytes(old["digest"])
+        values = np.stack([old[c].combine_chunks().fill_null(0).to_numpy() for c in _VALUES], 1)
+        known = old["doc_id"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        table = SlotTable(digests, np.column_stack([values, known]))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "index": pa.array([pickle.dumps(table, 5)], pa.binary())})
+
+    return _sharded(history, shards).groupBy("shard").applyInArrow(build, "shard int, index binary")
+
+
+def lookup_members(index: DataFrame, fresh: DataFrame, shards: int) -> DataFrame:
+    """fresh (digest, n_chars, doc_id, row, n; digests distinct), with member and, for members, what their slot holds as old_n_chars and so on."""
+
+    def probe(_: tuple, stored: pa.Table, new: pa.Table) -> pa.Table:
         ask = _bytes(new["digest"])
-        member, row = slots.find(ask)
-        at = pa.array(np.where(member, slots.locators[row] if len(keys) else 0, 0), mask=~member)
-        take = lambda name: old[name].combine_chunks().take(at) if len(keys) else pa.nulls(len(ask), pa.int64())
-        return pa.table({"digest": new["digest"], "n_chars": new["n_chars"], "doc_id": new["doc_id"], "n": new["n"], "member": pa.array(member), "old_chars": take("n_chars"), "old_id": take("doc_id"), "old_n": take("n")})
+        if stored.num_rows:
+            table = pickle.loads(stored["index"][0].as_py())
+            member, slot = table.find(ask)
+            got = table.locators[slot] if len(table.locators) else np.zeros((len(ask), 5), np.int64)
+        else:
+            member, got = np.zeros(len(ask), bool), np.zeros((len(ask), 5), np.int64)
+        old = {f"old_{c}": pa.array(got[:, k], mask=~member | (got[:, 4] == 0) if c == "doc_id" else ~member) for k, c in enumerate(_VALUES)}
+        return pa.table({"digest": new["digest"], **{c: new[c] for c in _VALUES}, "member": pa.array(member), **old})
 
-    cols = ["digest", F.col("n_chars").cast("long"), F.col("doc_id").cast("long"), F.col("n").cast("long"), shard]
-    return history.select(*cols).groupBy("shard").cogroup(fresh.select(*cols).groupBy("shard")).applyInArrow(probe, "digest binary, n_chars long, doc_id long, n long, member boolean, old_chars long, old_id long, old_n long")
+    schema = ", ".join(["digest binary", *[f"{c} long" for c in _VALUES], "member boolean", *[f"old_{c} long" for c in _VALUES]])
+    return index.groupBy("shard").cogroup(_sharded(fresh, shards).groupBy("shard")).applyInArrow(probe, schema)
 
 
 def _digest_columns() -> list[Column]:
@@ -121,23 +142,27 @@ def _digest_columns() -> list[Column]:
 
 
 def exact_groups(docs: DataFrame, is_history: Column | None = None, shards: int | None = None) -> DataFrame:
-    """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
     Rows are equal when their texts agree without white space; null counts as empty. The longest original
-    stays, then the smallest doc_id; null ids come last. Rows repeated under one doc_id are one document: all of
-    them are marked alike. is_history tells which rows were there before (default: the even half by a hash of
+    stays, then the smallest doc_id, null ids last, and of rows repeated under one doc_id the first in the order read: one row of
+    a group is kept. is_history tells which rows were there before (default: the even half by a hash of
     doc_id); the result does not depend on the split, only the work does.
     """
     scratch = Scratch(docs.sparkSession)
     old = is_history if is_history is not None else F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    rows = scratch.save(docs.select(*_digest_columns(), F.coalesce(old, F.lit(False)).alias("_old")), "rows")
+    rows = scratch.save(docs.select(*_digest_columns(), F.monotonically_increasing_id().alias("row"), F.coalesce(old, F.lit(False)).alias("_old")), "rows")
     history, fresh = scratch.save(_rank(rows.where("_old")), "history"), _rank(rows.where("not _old"))
     shards = shards or max(MIN_SHARDS, -(-history.count() // SHARD_ROWS))
-    found = scratch.save(lookup_members(history, fresh, shards), "found")
+    index = scratch.save(build_index(history, shards), "index")
+    found = scratch.save(lookup_members(index, fresh, shards), "found")
     # members stand with their slot, nonmembers by themselves; history that nobody met keeps its own winner
-    new_first = (F.col("n_chars") > F.col("old_chars")) | ((F.col("n_chars") == F.col("old_chars")) & (F.col("doc_id").isNotNull() & (F.col("old_id").isNull() | (F.col("doc_id") < F.col("old_id")))))
-    joined = found.select("digest", F.when(F.col("member") & ~new_first, F.col("old_id")).otherwise(F.col("doc_id")).alias("keep_id"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"))
-    unmet = history.join(found.where("member").select("digest"), "digest", "left_anti").select("digest", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
-    groups = joined.unionByName(unmet).hint("merge")
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n_chars")
+    place = lambda p: F.struct((-F.col(f"{p}n_chars")).alias("neg"), F.col(f"{p}doc_id").isNull().alias("no_id"), F.col(f"{p}doc_id").alias("doc_id"), F.col(f"{p}row").alias("row"))
+    first = F.when(F.col("member"), F.least(place(""), place("old_"))).otherwise(place(""))
+    joined = found.select("digest", first.alias("_first"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"))
+    unmet = history.join(found.where("member").select("digest"), "digest", "left_anti").select("digest", place("").alias("_first"), F.col("n").alias("group_size"))
+    groups = scratch.save(joined.unionByName(unmet).select("digest", F.col("_first.doc_id").alias("keep_id"), F.col("_first.row").alias("_keep"), "group_size", F.col("group_size").alias("_n")), "groups")
+    done = join_groups(rows, groups, ["digest"], "_n").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("_keep")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n_chars")
+    for name in ("history", "index", "found"):
+        scratch.drop(name)
+    return done
