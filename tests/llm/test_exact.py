@@ -2,8 +2,10 @@
 
 import base64
 import collections
+import fractions
 import gzip
 import hashlib
+import math
 import random
 import time
 import zlib
@@ -217,6 +219,20 @@ def test_top_k_keeps_rows_repeated_under_one_id(spark):
     assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(n + 1, j, -s) for n, (s, j) in enumerate(scores)]
 
 
+@pytest.mark.parametrize("size", [70_000.0, 1e6, 1e15, 1e200, 1.7e308])
+def test_top_k_of_huge_components(spark, size):
+    r = random.Random(9)
+    rows = [(0, [size, 1.0]), (50, [-size, 0.25]), (1, [66_000.0, 1.0]), (2, [size, 0.0]), (3, [size * 0.999, 0.0])] + [(100 + 7 * i, [r.gauss(0, 1), r.gauss(0, 1)]) for i in range(40)]
+    big = lambda v: [math.floor(fractions.Fraction(x) * 256) for x in v]
+    want = []
+    for i, a in rows:
+        if i % 50 == 0:
+            s = sorted((-sum(x * y for x, y in zip(big(a), big(b), strict=True)), j) for j, b in rows if j != i)[:5]
+            want += [(i, n + 1, j, min(max(-x, -(1 << 63)), (1 << 63) - 1)) for n, (x, j) in enumerate(s)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=9, query_block=2)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+
+
 def test_top_k_stops_only_on_proof():
     r = np.random.default_rng(5)
     values = (r.normal(0, 100, (600, 16)) * (1 + 40 * (r.random((600, 1)) < 0.01))).astype(np.int64)
@@ -226,6 +242,8 @@ def test_top_k_stops_only_on_proof():
         want = [(int(i), int(exact[i])) for i in np.lexsort((np.arange(600), -exact)) if i != q][:5]
         for every in (1, 7, 1000):
             assert shard.search(values[q], 5, q, every) == want
+            for floor in (want[2][1], want[4][1], want[0][1] + 1, -(1 << 63)):
+                assert shard.search(values[q], 5, q, every, floor) == [x for x in want if x[1] >= floor]
 
 
 # --- mixing
