@@ -8,9 +8,11 @@ decoded by Viterbi. The labelled pages are made by labelled_pages(): a seeded ge
 
 from __future__ import annotations
 
+import functools
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator, Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -19,12 +21,17 @@ from pyspark.sql import DataFrame
 
 from .common import spread
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_EDGE = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _BLOCK = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea iframe noembed noframes xmp template svg".split())
+#: Without an end tag these take the rest of the page, as in browsers; the others of _RAW are then taken as empty.
+_TO_THE_END = frozenset(("script", "style"))
+#: Numeric character references of so many digits: Python refuses to read numbers of thousands.
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
 #: An unquoted value at the end of a tag: a slash there belongs to the value.
 _UNQUOTED = re.compile(r"""=\s*[^\s"'>]+\Z""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in _RAW}
@@ -33,118 +40,186 @@ _SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd":
 _P_BORDER = frozenset(("td", "th", "table", "button", "caption", "html", "template"))
 
 
+class Node:
+    """An open element that says something of its blocks: features that no ancestor has, and the way up.
+
+    near is the closest block-level element, itself included.
+    """
+
+    __slots__ = ("parent", "tag", "fresh", "near", "scored")
+
+    def __init__(self, parent: Node | None, tag: str, fresh: tuple[str, ...], is_block: bool):
+        self.parent, self.tag, self.fresh = parent, tag, fresh
+        self.near = self if is_block or parent is None else parent.near
+        self.scored: tuple[Field, float] | None = None
+
+    def own(self) -> list[str]:
+        """The features by place: the innermost tag and its parent."""
+        up = self.parent
+        return [f"at:{up.tag}>{self.tag}" if up and up.tag else f"at:{self.tag}"] if self.tag else ["at:"]
+
+
 class Block:
-    __slots__ = ("path", "tag", "text", "linked")
+    __slots__ = ("node", "text", "linked")
 
-    def __init__(self, path: str, tag: str, text: str, linked: int):
-        self.path, self.tag, self.text, self.linked = path, tag, text, linked
+    def __init__(self, node: Node, text: str, linked: int):
+        self.node, self.text, self.linked = node, text, linked
+
+
+def _short_reference(m: re.Match) -> str:
+    digits = m[0].strip("&#;xX").lstrip("0")
+    is_hex = m[0][2] in "xX"
+    return f"&#{'x' * is_hex}{digits or 0};" if len(digits) < 9 else "\ufffd"
+
+
+def _decoded(raw: str) -> str:
+    return unescape(_LONG_REFERENCE.sub(_short_reference, raw)) if "&" in raw else raw
+
+
+def _tags(html: str) -> Iterator[tuple[int, int, bool, str, str] | int]:
+    """(start, end, is an end tag, name or "" for comments and declarations, attributes) of each tag; send() goes on from a later place.
+
+    A tag ends at the first > outside quotes that close. Where a tag never ends, quotes count for nothing from there on, so
+    that every byte is looked at a bounded number of times.
+    """
+    at, last, quotes = 0, html.rfind(">"), True
+    last_of = {'"': html.rfind('"'), "'": html.rfind("'")}
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            stop = html.find("-->", start + 4)
+            stop = stop + 3 if stop >= 0 else len(html)
+            at = (yield start, stop, False, "", "") or stop
+            continue
+        if start > last:
+            return
+        if html.startswith(("<!", "<?"), start):
+            stop = html.find(">", start) + 1
+            at = (yield start, stop, False, "", "") or stop
+            continue
+        m = _NAME.match(html, start + 1)
+        if not m:
+            at = start + 1
+            continue
+        p = m.end()
+        while quotes and (edge := _EDGE.search(html, p)) and edge[0] != ">":
+            p = edge.end()
+            if p <= last_of[edge[0]]:
+                p = html.find(edge[0], p) + 1
+        if quotes and not edge:
+            quotes, p = False, m.end()
+        stop = edge.end() if quotes else html.find(">", p) + 1
+        at = (yield start, stop, bool(m[1]), m[2].lower(), html[m.end() : stop - 1]) or stop
 
 
 def blocks(html: str) -> list[Block]:
     """Leaf blocks in page order: texts with character references decoded and white space made single spaces.
 
-    path spells the ancestors, outermost first, each as tag.class-or-id-words. Scripts, styles, templates,
-    titles, drawings (svg) and comments hold no blocks; the text of formulas (math) stays. Open tags are closed as browsers do for paragraphs, list items and
-    table cells; end tags without a partner are ignored.
+    Scripts, styles, templates, titles, drawings (svg) and comments hold no blocks; the text of formulas (math) stays. Open
+    tags are closed as browsers do for paragraphs, list items and table cells; end tags without a partner are
+    ignored. Time and memory grow with the page, however deep or broken it is.
     """
     out: list[Block] = []
-    tags: list[str] = [""]
-    paths: list[str] = [""]
+    nodes = [Node(None, "", (), False)]  # one per open element; elements without features share their parent's
+    names = [""]
+    places: dict[str, list[int]] = {}  # tag: where it stands on the stack
+    held: dict[str, int] = {}  # feature: how many open elements have it
+    mine: list[list[str]] = [[]]
     text: list[str] = []
-    linked = anchors = at = 0
-    find = _TAG.search
+    linked = at = 0
+    endless: set[str] = set()  # raw elements that have no further end tag
 
     def close() -> None:
         nonlocal text, linked
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                k = len(tags) - 1
-                while k and tags[k] not in _BLOCK:
-                    k -= 1
-                out.append(Block(paths[k], tags[k], joined, linked))
+                out.append(Block(nodes[-1].near, joined, linked))
             text, linked = [], 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        piece = unescape(raw) if "&" in raw else raw
+        piece = _decoded(raw)
         text.append(piece)
-        if anchors:
+        if places.get("a"):
             linked += len(piece)
 
     def pop(k: int) -> None:
-        nonlocal anchors
-        anchors -= tags[k:].count("a")
-        del tags[k:], paths[k:]
-
-    while m := find(html, at):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if not name:
-            continue
-        name = name.lower()
-        if m[1]:
-            if name in tags:
-                if name in _BLOCK:
-                    close()
-                k = len(tags) - 1
-                while tags[k] != name:
-                    k -= 1
-                pop(k)
-            elif name in _BLOCK:
+        while len(names) > k:
+            places[names.pop()].pop()
+            nodes.pop()
+            for f in mine.pop():
+                held[f] -= 1
+
+    def top(found: Iterable[str]) -> int:
+        return max((places[x][-1] for x in found if places.get(x)), default=0)
+
+    reader = _tags(html)
+    tag = next(reader, None)
+    while tag:
+        start, stop, ends, name, attributes = tag
+        if start > at:
+            add(html[at:start])
+        at, is_block = stop, name in _BLOCK
+        if ends:
+            if is_block:
                 close()
+            if places.get(name):
+                pop(places[name][-1])
+            tag = next(reader, None)
             continue
-        if name in _BLOCK:
+        if is_block:
             close()
-            k = len(tags) - 1
-            while k and tags[k] != "p" and tags[k] not in _P_BORDER:
-                k -= 1
-            if tags[k] == "p":
-                pop(k)
+            if (p := top(("p",))) and p > top(_P_BORDER):
+                pop(p)
             if name in _SIBLINGS:
-                mine, border = _SIBLINGS[name]
-                k = len(tags) - 1
-                while k and tags[k] not in border:
-                    if tags[k] in mine.split():
-                        pop(k)
-                    k -= 1
+                same, border = _SIBLINGS[name]
+                low = top(border)
+                after = [places[x][bisect_right(places[x], low)] for x in same.split() if places.get(x) and places[x][-1] > low]
+                if after:
+                    pop(min(after))
         elif name == "br":
             text.append(" ")
-        if name == "svg" and m[3].endswith("/") and not _UNQUOTED.search(m[3]):
-            continue
-        if name in _RAW:
-            end = _RAW_END[name].search(html, at)
-            at = end.start() if end else len(html)
+        empty = attributes.endswith("/")
+        if name in _RAW and not (name == "svg" and empty and not _UNQUOTED.search(attributes)):
+            end = None if name in endless else _RAW_END[name].search(html, at)
             if end:
-                at = html.find(">", at) + 1 or len(html)
-            continue
-        if name in _VOID or m[3].endswith("/") and name not in _BLOCK:
+                at = html.find(">", end.end()) + 1 or len(html)
+            elif name in _TO_THE_END:
+                at = len(html)
+            else:
+                endless.add(name)
+            tag = _sent(reader, at)
             continue
-        words = ""
-        if m[3]:
-            found = _ATTR.findall(m[3])
-            if found:
-                words = "." + ".".join(sorted({w for x in found for w in _WORD.findall("".join(x[1:]).lower())}))
-        tags.append(name)
-        paths.append(f"{paths[-1]}>{name}{words}" if name in _BLOCK or words else paths[-1])
-        anchors += name == "a"
+        if name and name not in _VOID and not (empty and not is_block):
+            words = sorted({w for x in _ATTR.findall(attributes) for w in _WORD.findall("".join(x[1:]).lower())}) if attributes else []
+            told = [f"in:{name}", *[f"word:{w}" for w in words]] if is_block or words else []
+            fresh = tuple(f for f in told if not held.get(f))
+            for f in told:
+                held[f] = held.get(f, 0) + 1
+            places.setdefault(name, []).append(len(names))
+            names.append(name)
+            mine.append(told)
+            nodes.append(Node(nodes[-1], name, fresh, is_block) if told else nodes[-1])
+        tag = next(reader, None)
     if at < len(html):
         add(html[at:])
     close()
     return out
 
 
-def path_features(path: str) -> set[str]:
+def _sent(reader: Generator, at: int):
+    try:
+        return reader.send(at)
+    except StopIteration:
+        return None
+
+
+def path_features(node: Node) -> set[str]:
     """Features of the ancestors: each tag, each class or id word, the innermost tag and its parent."""
-    out, steps = set(), path.split(">")[1:]
-    for s in steps:
-        tag, *words = s.split(".")
-        out.add(f"in:{tag}")
-        out.update(f"word:{w}" for w in words if w)
-    last = [s.split(".")[0] for s in steps[-2:]]
-    out.add("at:" + ">".join(last))
+    out = set(node.own())
+    while node:
+        out.update(node.fresh)
+        node = node.parent
     return out
 
 
@@ -169,15 +244,21 @@ class Field:
 
     def __init__(self, weights: dict[str, float], bias: float, moves: list[list[float]], start: float):
         self.weights, self.bias, self.moves, self.start = weights, bias, moves, start
-        self._paths: dict[str, float] = {}
+
+    def of_node(self, node: Node) -> float:
+        """The summed weights of an element's and its ancestors' features but those by place; each element is summed once."""
+        todo = []
+        while node and not (node.scored and node.scored[0] is self):
+            todo.append(node)
+            node = node.parent
+        s = node.scored[1] if node else 0.0
+        for x in reversed(todo):
+            s += sum(self.weights.get(f, 0.0) for f in x.fresh)
+            x.scored = (self, s)
+        return s
 
     def score(self, b: Block, i: int, n: int) -> float:
-        s = self._paths.get(b.path)
-        if s is None:
-            if len(self._paths) > 50_000:
-                self._paths.clear()
-            s = self._paths[b.path] = sum(self.weights.get(f, 0.0) for f in path_features(b.path))
-        return self.bias + s + sum(self.weights.get(f, 0.0) for f in text_features(b, i, n))
+        return self.bias + self.of_node(b.node) + sum(self.weights.get(f, 0.0) for f in (*b.node.own(), *text_features(b, i, n)))
 
     def decode(self, page: list[Block]) -> list[bool]:
         """Viterbi: whether each block is of the article. Equal scores go to the rest."""
@@ -216,7 +297,7 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[str]]]:
     r = random.Random(seed)
 
     def word() -> str:
-        return "".join(r.choice(("an", "er", "ti", "on", "re", "th", "\xe9", "qu", "ou", "ß", "st", "ing")) for _ in range(r.randint(1, 4)))
+        return "".join(r.choice(("ka", "lo", "mi", "sur", "ven", "da", "pe", "fru", "\xf6", "\u017e", "bal", "gom", "\u043a\u043e", "\u8a9e")) for _ in range(r.randint(1, 4)))
 
     def sentence(low: int = 1, high: int = 30) -> str:
         w = [word() for _ in range(r.randint(low, high))]
@@ -258,11 +339,10 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[str]]]:
             truth.append(" ".join(s.split()))
             return s.replace("&", "&amp;")
 
-        plain = r.random() < 0.35  # the plainest layout: menu, advert, article, footer
-        wrap = "article" if plain else r.choice(("article", "article", "main", 'div class="content"', 'div class="article body"', 'div id="content"', 'section class="post"', 'div class="entry"', 'main role="main"', 'article class="post story"', 'div class="text"'))
+        wrap = r.choice(("article", "article", "main", 'div class="content"', 'div class="article body"', 'div id="content"', 'section class="post"', 'div class="entry"', 'main role="main"', 'article class="post story"', 'div class="text"'))
         body = [f"<h1>{keep(sentence(1, 8))}</h1>"] if r.random() < 0.9 else []
         for k in range(r.choice((0, 1, 1, 2, 3, 5, 8, 14))):
-            kind = r.random() * (0.6 if plain else 1)
+            kind = r.random()
             text = lambda: keep(" ".join(sentence() for _ in range(r.choice((1, 1, 2, 4)))))
             if kind < 0.35:
                 body.append(f"<p>{text()}</p>")
@@ -282,10 +362,10 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[str]]]:
                 body.append(f"<div><p>{text()}</p></div>")
             else:
                 body.append(rest(r.choice(("ad", "share", "related", "notice", "form"))))
-        if not plain and r.random() < 0.3:
+        if r.random() < 0.3:
             body.append(rest("comments"))
-        pre = [rest("nav"), rest("ad")] if plain else [rest(x) for x in r.sample(_REST[:-1], r.randint(1, 5))]
-        post = [rest("footer")] if plain else [rest(x) for x in r.sample(_REST[3:], r.randint(1, 5))]
+        pre = [rest(x) for x in r.sample(_REST[:-1], r.randint(1, 5))]
+        post = [rest(x) for x in r.sample(_REST[3:], r.randint(1, 5))]
         doc = f'<!DOCTYPE html><html><head><title>{word()}</title><style>p{{}}</style></head><body>{"".join(pre)}<{wrap}>{"".join(body)}</{wrap.split()[0]}>{"".join(post)}</body></html>'
         pages.append((doc, [t for t in truth if t]))
     return pages
@@ -315,7 +395,7 @@ def train(pages: list[tuple[str, list[str]]] | None = None, steps: int = 250, ra
     for html, truth in pages if pages is not None else labelled_pages():
         page = blocks(html)
         if page:
-            feats = [[names.setdefault(f, len(names)) for f in (*sorted(path_features(b.path)), *text_features(b, i, len(page)))] for i, b in enumerate(page)]
+            feats = [[names.setdefault(f, len(names)) for f in (*sorted(path_features(b.node)), *text_features(b, i, len(page)))] for i, b in enumerate(page)]
             seqs.append((feats, _labels(page, truth)))
     n, longest = len(seqs), max((len(s[1]) for s in seqs), default=0)
     if not n:
@@ -362,12 +442,18 @@ def train(pages: list[tuple[str, list[str]]] | None = None, steps: int = 250, ra
     return Field({k: float(w[i]) for k, i in names.items()}, float(w[f]), moves, float(w[f + 1]))
 
 
+@functools.cache
+def trained() -> Field:
+    """The field of the default pages, fitted once in a process."""
+    return train()
+
+
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
-    """(page_id, url, text, n_chars) per row of pages: the article's text. A null html is empty and has none.
+    """(page_id, url, text, n_chars) per row of pages: the article's text. A null html is empty and has none; bytes that aren't UTF-8 are U+FFFD.
 
     The field is small and goes along with the function; pages are handled one at a time, whole.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(field or train())
+    shared = pages.sparkSession.sparkContext.broadcast(field or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -377,4 +463,4 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
                 texts = [main_text(x.as_py(), model) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return spread(pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return spread(pages.selectExpr("cast(page_id as long) page_id", "make_valid_utf8(cast(url as string)) url", "make_valid_utf8(html) html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -1,6 +1,10 @@
 """Quality classifier, URL filter, HTML extraction: held-out accuracy and odd rows."""
 
 import random
+import re
+import time
+import tracemalloc
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -113,6 +117,115 @@ def test_blocks_of_broken_markup():
     assert texts("<script>never closed") == []
 
 
+HOSTILE = {
+    "deep": "<div>" * 100_000 + "x", "deep with classes": "<div class='a b'>" * 60_000 + "x", "unclosed tags": "<a " * 350_000, "unclosed quotes": '<a "' * 250_000, "unclosed inline": "<b>" * 100_000 + "<div>x</div>" * 1000,
+    "inline around blocks": "<b><div>x</div>" * 50_000, "raw without end": "<title>" * 100_000, "paragraphs": "<p>x" * 100_000, "items": "<li>x" * 100_000, "signs": "<" * 1_000_000, "half comments": "<!-" * 300_000, "quotes that close late": "<a '" * 100_000 + ">" + "<b \">'x" * 10_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_markup_takes_linear_time(name, field):
+    start = time.process_time()
+    html_extract.main_text(HOSTILE[name], field)
+    assert time.process_time() - start < 4  # most of them a second or less; quadratic ones take minutes
+
+
+def test_deep_markup_takes_linear_memory(field):
+    peaks = []
+    for n in (5_000, 20_000):
+        tracemalloc.start()
+        html_extract.main_text("<div class='a b'><b>" * n + "x", field)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0] and peaks[1] < 50 << 20
+
+
+class _Leaves(HTMLParser):
+    """Leaf blocks of well-formed pages, the plain way: (ancestors as (tag, words), text, linked characters)."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.stack, self.out, self.text, self.linked = [], [], "", 0
+        self.feed(html)
+        self.flush()
+
+    def flush(self):
+        if joined := " ".join(self.text.split()):
+            block = max((k for k, (t, _) in enumerate(self.stack) if t in html_extract._BLOCK), default=-1)
+            self.out.append((self.stack[: block + 1], joined, self.linked))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract._BLOCK:
+            self.flush()
+        if tag not in html_extract._VOID:
+            self.stack.append((tag, {w for k, v in attrs if k in ("class", "id", "role") for w in re.findall("[a-z]+", (v or "").lower())}))
+
+    def handle_endtag(self, tag):
+        if tag in html_extract._BLOCK:
+            self.flush()
+        assert self.stack.pop()[0] == tag
+
+    def handle_data(self, data):
+        if not self.stack or self.stack[-1][0] not in html_extract._RAW:
+            self.text += data
+            self.linked += len(data) * any(t == "a" for t, _ in self.stack)
+
+
+def test_extraction_equals_the_plain_way_on_small_pages(field):
+    """Ancestors kept whole for each block, features as sets, and the best of all labellings by enumeration."""
+    r = random.Random(12)
+    for _ in range(150):
+
+        def tree(depth):
+            tag = r.choice(("div", "p", "section", "article", "nav", "footer", "b", "a", "span", "aside", "h2"))
+            words = "".join(f' {k}="{w}"' for k, w in (("class", r.choice(("content", "menu top", "x-ad", "post"))), ("id", r.choice(("main", "side")))) if r.random() < 0.3)
+            inner = "".join(tree(depth + 1) if depth < 4 and tag != "p" and r.random() < 0.5 else r.choice(("Some words.", "more &amp; more", "x", " ")) for _ in range(r.randint(0, 3)))
+            return f"<{tag}{words}>{inner}</{tag}>"
+
+        html = "".join(tree(0) for _ in range(r.randint(0, 3)))
+        if re.search("<p[^>]*>(?:(?!</p>).)*<(?:div|p|section|article|nav|footer|aside|h2)", html):
+            continue
+        leaves = _Leaves(html).out
+        page = html_extract.blocks(html)
+        assert [(b.text, b.linked) for b in page] == [x[1:] for x in leaves]
+        if len(page) > 9:
+            continue
+        scores = []
+        for i, (b, (above, text, linked)) in enumerate(zip(page, leaves, strict=True)):
+            told = [(t, w) for t, w in above if t in html_extract._BLOCK or w]
+            feats = {f"in:{t}" for t, _ in told} | {f"word:{x}" for _, w in told for x in w} | {"at:" + ">".join(t for t, _ in told[-2:])}
+            assert html_extract.path_features(b.node) == feats
+            scores.append(field.bias + sum(field.weights.get(f, 0.0) for f in (*feats, *html_extract.text_features(b, i, len(page)))))
+        value = lambda y: sum(s for s, k in zip(scores, y, strict=True) if k) + (field.start if y and y[0] else 0) + sum(field.moves[a][b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+        best = max(([k >> i & 1 for i in range(len(page))] for k in range(1 << len(page))), key=lambda y: round(value(y), 9))
+        assert html_extract.main_text(html, field) == "\n\n".join(x[1] for x, k in zip(leaves, best, strict=True) if k)
+
+
+#: Layouts that the training pages don't have, and words that they don't have: what is in {} is the article's.
+OTHER_LAYOUTS = {
+    "blog": """<html><body class="home blog"><div id="page"><header id="masthead" role="banner"><a href="/">Site name</a></header><nav role="navigation"><ul><li><a href="/a">Home</a></li><li><a href="/b">About</a></li></ul></nav>
+        <div id="primary"><main id="main"><article id="post-7" class="post"><div class="entry-content"><h1>{Walking the coast in May}</h1><p>{We left the harbour early, while the fog was still low.}</p><p>{By noon the <a href="/x">cliffs</a> were clear.}</p></div></article>
+        <div id="comments" class="comments"><h2>Two thoughts</h2><ol><li><p>Nice walk!</p></li></ol></div></main></div><aside id="secondary" class="sidebar widget"><h3>Recent posts</h3><ul><li><a href="/1">One</a></li></ul></aside><footer class="site footer"><p>&copy; 2020 Site name</p></footer></div></body></html>""",
+    "news": """<body><div class="cookie banner" role="alert">We use cookies. <button>Accept</button></div><header class="top"><div class="menu"><a href="/w">World</a> <a href="/s">Sport</a></div></header><main><section><article><h1>{Council votes on the bridge}</h1>
+        <figure><img src="b.jpg"><figcaption>{The old bridge in winter.}</figcaption></figure><p>{The council has voted to repair the bridge.}</p><div class="advert">Buy a car today!</div><h2>{What comes next}</h2><p>{Work begins in spring.}</p><ul><li>{Traffic is led round.}</li><li>{Buses keep running.}</li></ul></article></section>
+        <section class="related"><h3>More news</h3><ul><li><a href="/2">Another story</a></li></ul></section></main><footer><div>Contact</div><form action="/n"><label>Newsletter</label><input><button>Go</button></form></footer></body>""",
+    "manual": """<div id="header"><p>Docs</p></div><div id="sidebar" class="menu"><ul><li><a href="1">Chapter one</a></li><li><a href="2">Chapter two</a></li></ul></div><div id="content"><h1>{Installing}</h1><p>{Unpack the archive and run the setup.}</p><pre>{setup --all}</pre><table><tr><td>{option}</td><td>{meaning}</td></tr></table></div><div id="footer">Generated in 2021</div>""",
+}
+
+
+@pytest.mark.parametrize("name", OTHER_LAYOUTS)
+def test_layouts_of_another_shape(name, field):
+    marked = OTHER_LAYOUTS[name]
+    want = [" ".join(re.sub("<[^>]*>", "", x).split()) for x in re.findall(r"\{(.*?)\}", marked, re.S)]
+    assert html_extract.main_text(re.sub("[{}]", "", marked), field).split("\n\n") == want
+
+
+def test_references_of_any_length():
+    texts = lambda h: [b.text for b in html_extract.blocks(h)]
+    assert texts("<p>&#" + "0" * 9000 + "65;b &#" + "9" * 9000 + "; &#x" + "0" * 50 + "41;") == ["Ab \ufffd A"]
+
+
 def test_blocks_around_drawings_and_formulas():
     texts = lambda h: [b.text for b in html_extract.blocks(h)]
     for empty in ("<svg/>", '<svg class="x"/>', "<svg hidden />", "<SVG a='b'/>"):
