@@ -4,7 +4,8 @@ Merging a pre-token keeps its pieces in a linked list. Each merge rank that occu
 positions, and a two-level bitmap says which buckets hold any; find-first-set on both levels gives the next
 rank, without comparing entries, and its bucket is drained from left to right. An entry whose pair has changed since
 it was queued is stale and skipped. A pre-token of n bytes takes O(n) queue steps however long it is, where rescanning
-for the best pair takes O(n^2). Pre-tokens not met before share a queue, so that its steps are paid once for many.
+for the best pair takes O(n^2). A bucket is sorted anew only where a merge made a lower rank possible, which needs a token whose
+bytes a later rule joins as well: rare in trained vocabularies, but text built against one could make such sorts frequent. Pre-tokens not met before share a queue, so that its steps are paid once for many.
 
 The vocabulary file is read by the driver and broadcast; its size is that of a vocabulary, not of the data.
 """
@@ -45,6 +46,8 @@ class Merger:
     """Merges many pre-tokens with one rank queue: they don't touch, so each one's merges keep their own order."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        if lacking := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"the vocabulary has no token for byte {lacking[0]}")
         self.ranks = ranks
         self.single = np.array([ranks[bytes([a])] for a in range(256)], np.int32)
         self.double = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32)
@@ -189,8 +192,13 @@ class Encoder(dict):
         return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
-        """The bytes that packed ids stand for."""
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes that packed ids stand for; ids without a token stand for none."""
+        return self.decode_list(np.frombuffer(ids, "<u4"))
+
+    def decode_list(self, ids: np.ndarray) -> bytes:
+        """The same for an array of ids."""
+        known = (ids >= 0) & (ids < len(self.tokens))
+        return b"".join(map(self.tokens.__getitem__, (ids if known.all() else ids[known]).tolist()))
 
     def verify(self, text: str, ids: bytes) -> None:
         """Raises unless the packed ids decode to the text."""
@@ -232,7 +240,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digests_only: bool =
     """A row per row of docs (doc_id, text): doc_id, n_tokens and ids array<int>, or the digests of ids and decoded bytes.
 
     Each match of pattern is encoded by itself, without special tokens; a null text is empty and has no ids.
-    Texts are processed whole, short ones in groups. With digests_only the columns are n_tokens, ids_sha256 of the ids
+    Bytes that aren't UTF-8 are U+FFFD. Texts are processed whole, short ones in groups. With digests_only the columns are n_tokens, ids_sha256 of the ids
     as little-endian unsigned 32-bit integers, and decoded_sha256 of what the ids decode to. With verify
     each text's ids are decoded as well, and the job fails if they do not give the text back.
     """
@@ -263,7 +271,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digests_only: bool =
                 yield _id_rows(doc_ids, ids)
 
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>")
-    return spread(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(run, schema)
+    return spread(docs.selectExpr("cast(doc_id as long) doc_id", "make_valid_utf8(text) text")).mapInArrow(run, schema)
 
 
 def _id_rows(doc_ids: list, packed: list[bytes]) -> pa.RecordBatch:
@@ -274,13 +282,13 @@ def _id_rows(doc_ids: list, packed: list[bytes]) -> pa.RecordBatch:
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids array<int>) to (doc_id, decoded binary); null ids decode to nothing."""
+    """(doc_id, ids array<int>) to (doc_id, decoded binary); null ids and ids without a token decode to nothing."""
     key, shared = _shared(encoded, ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(key, shared)
         for batch in batches:
-            out = [b"".join(enc.tokens[t] for t in ids or ()) for ids in (x.as_py() for x in batch.column(1))]
+            out = [enc.decode_list(np.array([i for i in x.as_py() or () if i is not None], np.int64)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
 
     return encoded.selectExpr("cast(doc_id as long) doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")

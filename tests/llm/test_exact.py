@@ -358,6 +358,16 @@ def test_bpe_frames(spark, encoders):
     assert bpe.encode(docs.limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_on_odd_ids_texts_and_vocabularies(spark, encoders):
+    rows = [(1, [97, -1, 10**6, None, 98]), (2, None), (3, [])]
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), RANKS, P.PATTERN).collect()}
+    assert got == {1: encoders[0].tokens[97] + encoders[0].tokens[98], 2: b"", 3: b""}
+    broken = spark.sql("select 1L doc_id, cast(X'61FF62' as string) text")
+    assert bytes(bpe.decode(bpe.encode(broken, RANKS, P.PATTERN), RANKS, P.PATTERN).first().decoded).decode() == "a\ufffdb"
+    with pytest.raises(ValueError):
+        bpe.Merger({b"a": 0})
+
+
 def test_bpe_verify_shows_a_decoding_fault(encoders, monkeypatch):
     ids = encoders[0].encode("some text")
     encoders[0].verify("some text", ids)
