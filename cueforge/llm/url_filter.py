@@ -9,18 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 2048
+from .common import unused
+
+BUCKETS = 8192
 #: (action, host, path): longest wins.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: The labelled URLs: hosts of unwanted kinds against plain ones, crossed with paths that say nothing.
-_BAD = ["casino-win", "free-bets", "adult-x", "cheap-pills", "spam-farm", "casino-royal", "bets-online", "adult-cams", "pills-shop", "spam-links", "win-casino", "best-pills", "ads-track", "click-ads", "track-pixel", "ad-server"]
-_GOOD = ["city-library", "open-science", "daily-news", "garden-notes", "history-club", "river-school", "museum-guide", "cooking-home", "weather-desk", "math-forum", "thereon", "thanther", "ththing", "tionble", "thersthe", "tionnted"]
+#: Words of the labelled URLs. Each stands once in a host and once in a path.
+_BAD = "poker roulette jackpot slots blackjack lottery wager gambling porn escort nude webcams hentai viagra cialis steroids warez keygen cracked torrents phishing malware popunder replica".split()
+_GOOD = "library science newspaper garden history school museum cooking weather forum travel orchestra recipes football hospital university nature energy chemistry poetry language railway mountains kitchen theatre finance gallery village research software teacher insurance architecture geology painting economics cycling parliament astronomy knitting hiking medicine physics biology grammar dictionary harbour bakery".split()
+#: What they are combined with says nothing: both labels have all of it.
+_SUBS, _STARTS, _ENDS, _TOPS = ("", "www.", "m.", "blog."), ("", "my", "top-", "big"), ("", "24", "-online", "s-portal"), ("com", "org", "net", "info")
+_HOSTS, _PATHS = ("pages", "sites", "users", "home"), ("/en/12", "/index.html", "/fr/301/", "/view?page=2", "/", "")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """A small labelled table (url, bad)."""
-    tops, paths = ["com", "org", "net"], ["/en/12", "/de/7.html", "/fr/301/", "/es/44?page=2"]
-    rows = [(f"https://{sub}{h}.example.{tops[(i + j) % 3]}{paths[(i + j) % 4]}", int(bad)) for bad, hosts in ((True, _BAD), (False, _GOOD)) for i, h in enumerate(hosts) for j, sub in enumerate(("", "www.", "m."))]
+    """A small labelled table (url, bad): every word in two hosts with paths that say nothing, and in two paths on hosts that say nothing."""
+    rows = []
+    for words, bad in ((_BAD, 1), (_GOOD, 0)):
+        for i, w in enumerate(words):
+            for k in range(2):
+                pick = lambda xs, step: xs[(i // step + k * (len(xs) // 2) + step) % len(xs)]  # noqa: B023, E731
+                word = f"{pick(_STARTS, 1) if k else ''}{w}{pick(_ENDS, 2)}"
+                rows.append((f"https://{pick(_SUBS, 1)}{word}.example.{pick(_TOPS, 2)}{pick(_PATHS, 1)}", bad))
+                rows.append((f"http://{pick(_SUBS, 2)}{pick(_HOSTS, 1)}.example.{pick(_TOPS, 1)}/{pick(('posts', 'a', '2019/05', 'news'), 1)}/{word}{pick(('.html', '-1', '/'), 1)}", bad))
     return spark.createDataFrame(rows, "url string, bad int")
 
 
@@ -37,8 +48,11 @@ def grams(host: Column, path: Column, n: int = 4, buckets: int = BUCKETS) -> Col
     """The hashed character n-grams of host and path, each padded and marked by its part; repeats count."""
 
     def of(part: Column, mark: str) -> Column:
-        s = F.concat(F.lit(mark + "^"), part, F.lit("$"))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.pmod(F.xxhash64(F.concat(F.lit(mark), F.substring(s, i, F.lit(n)))), F.lit(buckets)).cast("int"))
+        chars = F.split(F.concat(F.lit(mark + "^"), part, F.lit("$")), "")
+        gram = lambda cs, i: F.concat(F.lit(mark), *[F.coalesce(F.get(cs, i + k), F.lit("")) for k in range(n)])
+        # a one-element array binds the characters, so that they are split once and a long url costs what it holds
+        every = lambda cs: F.transform(F.sequence(F.lit(0), F.greatest(F.size(cs) - n, F.lit(0))), lambda i: F.pmod(F.xxhash64(gram(cs, i)), F.lit(buckets)).cast("int"))
+        return F.element_at(F.transform(F.array(chars), every), 1)
 
     return F.concat(of(host, "h"), of(path, "p"))
 
@@ -48,7 +62,7 @@ def _margin(idx: Column, w: Column) -> Column:
     return F.element_at(w, -1) + F.aggregate(idx, F.lit(0.0), lambda a, i: a + F.element_at(w, i + 1)) / F.sqrt(F.greatest(F.size(idx), F.lit(1)))
 
 
-def fit(labelled: DataFrame, buckets: int = BUCKETS, epochs: int = 120, rate: float = 10.0, decay: float = 1e-4) -> DataFrame:
+def fit(labelled: DataFrame, buckets: int = BUCKETS, epochs: int = 120, rate: float = 15.0, decay: float = 1e-4) -> DataFrame:
     """One row with column w: the bucket weights, and the bias last. Rows without url or label are left out; without any rows, all weights are 0."""
     rows = labelled.where("url is not null and bad is not null").select(grams(host_of(F.col("url")), path_of(F.col("url")), buckets=buckets).alias("idx"), F.col("bad").cast("double").alias("y"))
     one = rows.agg(F.array_sort(F.collect_list(F.struct("y", "idx"))).alias("rows"))
@@ -76,12 +90,15 @@ def judge(urls: DataFrame, model: DataFrame, rules: list[tuple[str, str, str]] =
     """urls with host, path, rule, score and verdict.
 
     Null or unparsable urls have an empty host and path and go by the model, like any other url that no rule
-    fits. Columns of the input that have these names are replaced.
+    fits. Columns of the input that have these five names are replaced, all others kept. An empty table stays empty.
     """
     host, path = F.col("host"), F.col("path")
     fits = [F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("n"), F.lit(h + p).alias("rule"), F.lit(a).alias("action"))) for a, h, p in rules]
-    best = F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<n:int,rule:string,action:string>")
-    rows = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("_best", best)
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-_margin(grams(host, path, buckets=buckets), F.col("_w"))))
-    rows = rows.withColumn("_w", model.select("w").scalar()).withColumn("score", F.when(F.col("_best").isNull(), score))
-    return rows.withColumns({"rule": F.col("_best.rule"), "verdict": F.when(F.col("_best").isNotNull(), F.col("_best.action")).when(F.col("score") >= 0.5, "block").otherwise("allow")}).drop("_best", "_w")
+    fit_rule = F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<n:int,rule:string,action:string>")
+    rows = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    best, w = unused(rows, "_best"), unused(rows, "_w")
+    rows = rows.withColumns({best: fit_rule, w: model.select("w").scalar()})
+    by_rule = F.col(best).isNotNull()
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-_margin(grams(host, path, buckets=buckets), F.col(w))))
+    rows = rows.withColumn("score", F.when(~by_rule, score))
+    return rows.withColumns({"rule": F.col(best)["rule"], "verdict": F.when(by_rule, F.col(best)["action"]).when(F.col("score") >= 0.5, "block").otherwise("allow")}).drop(best, w)
