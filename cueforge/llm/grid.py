@@ -1,11 +1,13 @@
 """Byte-level views of Arrow text columns for vectorised passes: hashes of runs, words, shingles.
 
 Everything works on the concatenated bytes of many texts and their offsets, so that no Python code runs per word.
-Run hashes come from prefix sums of byte values times powers of an odd base, modulo 2**64.
+Hashes of words mix eight bytes at a time. Those of every run of one width (Runs) come from prefix sums of byte values
+times powers of an odd base, modulo 2**64: sound for the short runs they are used for, not for long ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,11 +120,37 @@ def counts(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     return c[off[1:]] - c[off[:-1]]
 
 
-def shingle_hashes(buf: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer runs are hashed one by one.
+_LONG_RUN = 4096
+
+
+def run_hashes(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, kind: int = 0) -> np.ndarray:
+    """64-bit hashes of byte runs, eight bytes a step, all bits mixed at each: no pattern in the bytes cancels out. Kinds are independent."""
+    seed, odd = np.uint64(_BASES[kind] ^ 0x5555), np.uint64(_BASES[1 - kind])
+    left = (stop - start).astype(np.int64)
+    eights = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mixed(left.astype(np.uint64) ^ seed)
+    long = np.nonzero(left > _LONG_RUN)[0]
+    live = np.nonzero((left > 0) & (left <= _LONG_RUN))[0]
+    at, left = start[live], left[live]
+    while len(live):
+        part = eights[at] & _MASKS[np.minimum(left, 8)]
+        with np.errstate(over="ignore"):
+            h[live] = mixed(h[live] * odd + mixed(part ^ seed))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in long.tolist():
+        digest = hashlib.blake2b(buf[start[i] : stop[i]].tobytes(), digest_size=16).digest()
+        h[i] = np.frombuffer(digest, "<u8")[kind]
+    return h
+
+
+def shingle_hashes(buf: np.ndarray, off: np.ndarray, width: int = 5, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds per text) of the shingles of width words, repeats included; a text with fewer words has one of all its words, a text without words none."""
     low = lowered(buf)
     start, stop, first = word_bounds(low, off)
-    words = Runs(low)(start, stop)
+    words = run_hashes(low, start, stop, kind)
     n_words = np.diff(first)
     n = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
     bounds = np.concatenate([[0], np.cumsum(n)])
@@ -133,6 +161,6 @@ def shingle_hashes(buf: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np
         for k in range(width):
             at = begin + k
             live = at < end
-            step = h * np.uint64(_BASES[1]) + words[np.minimum(at, max(len(words) - 1, 0))] if len(words) else h
+            step = h * np.uint64(_BASES[1 - kind]) + words[np.minimum(at, max(len(words) - 1, 0))] if len(words) else h
             h = np.where(live, mixed(step), h)
     return h, bounds

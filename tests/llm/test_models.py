@@ -8,9 +8,11 @@ import tracemalloc
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cueforge.llm import html_extract, quality, url_filter
+from cueforge.llm.grid import text_bytes
 
 SF = "/root/testdata/sf0.01"
 
@@ -22,6 +24,7 @@ def test_quality_against_labels(spark):
     bad = [r.kept for r in rows if not r.quality]
     assert sum(good) / len(good) > 0.99
     assert sum(bad) / len(bad) < 0.1
+    assert len(quality.LABELLERS) == len(set(quality.LABELLERS)) == quality.votes(quality.signals(*text_bytes(pa.array(["x"])))).shape[1]
 
 
 def test_quality_is_repeatable_and_defined_on_odd_rows(spark):
@@ -31,6 +34,9 @@ def test_quality_is_repeatable_and_defined_on_odd_rows(spark):
     assert a == b
     kept = {r.doc_id: r.kept for r in quality.classify(docs).collect()}
     assert kept == {1: False, 2: False, 3: False, None: True, 4: True, 5: True}
+    same_id = spark.createDataFrame([(1, f"Words number {i} stand in this short text.", 0) for i in range(40)] + [(1, "*** %%% $$$ ###", 0)], "doc_id long, text string, doc int")
+    models = [quality.train(same_id.repartition(n), fit_rows=10).weights.tobytes() for n in (1, 5)]
+    assert models[0] == models[1]
     good = quality.keep_good(docs)
     assert good.columns == docs.columns and good.count() == 4
     assert quality.classify(docs.limit(0)).count() == 0
@@ -47,6 +53,42 @@ def test_labellers_accuracies_are_found():
     assert len(quality.posteriors(np.zeros((0, 4), int), np.zeros(0))) == 0
 
 
+def test_expectation_maximisation_equals_the_plain_way():
+    r = random.Random(7)
+    rows = [tuple(r.choice((-1, 0, 0, 1)) for _ in range(3)) for _ in range(300)]
+    patterns, n = np.unique(np.array(rows), axis=0, return_counts=True)
+    got = {tuple(p): g for p, g in zip(patterns.tolist(), quality.posteriors(patterns, n.astype(float)), strict=True)}
+    share, prior, worth = quality.PRIOR_CLASS, (quality.PRIOR_BAD, quality.PRIOR_GOOD), quality.PRIOR_SHARE * len(rows)
+    cast = [[dict(zip((-1, 0, 1), prior[c], strict=True)) for _ in range(3)] for c in (0, 1)]
+    for _ in range(200):
+        post = []
+        for row in rows:  # every document by itself
+            like = [math.prod(cast[c][j][v] for j, v in enumerate(row)) * (share if c else 1 - share) for c in (0, 1)]
+            post.append(like[1] / sum(like))
+        share = (sum(post) + worth * quality.PRIOR_CLASS) / (len(rows) + worth)
+        for c in (0, 1):
+            w = [p if c else 1 - p for p in post]
+            cast[c] = [{v: (sum(x for x, row in zip(w, rows, strict=True) if row[j] == v) + worth * prior[c][k]) / (sum(w) + worth) for k, v in enumerate((-1, 0, 1))} for j in range(3)]
+    assert all(abs(got[row] - p) < 1e-4 for row, p in zip(rows, post, strict=True))
+
+
+#: Plain sentences: no labeller may take a script for junk.
+SCRIPTS = {
+    "Chinese": "北京是中华人民共和国的首都，也是全国的政治中心。城市历史悠久！", "Japanese": "東京は日本の首都であり、世界最大の都市の一つです。", "Russian": "Москва является столицей России и крупнейшим городом страны. ", "Arabic": "القاهرة هي عاصمة جمهورية مصر العربية وأكبر مدنها. هل زرتها؟ ",
+    "Thai": "กรุงเทพมหานครเป็นเมืองหลวงและนครที่มีประชากรมากที่สุดของประเทศไทย ", "Hindi": "दिल्ली भारत की राजधानी है और एक बड़ा शहर है। ", "Korean": "서울은 대한민국의 수도이자 최대 도시이다. ", "Greek": "Η Αθήνα είναι η πρωτεύουσα της Ελλάδας. ", "English": "London is the capital of England and a large city. ",
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_no_labeller_takes_a_script_for_junk(script):
+    for times in (1, 2, 40):
+        lines = [SCRIPTS[script] + (str(i) if i else "") for i in range(times)]
+        buf, off = text_bytes(pa.array([" ".join(lines)]))
+        votes = dict(zip(quality.LABELLERS, quality.votes(quality.signals(buf, off))[0].tolist(), strict=True))
+        del votes["variety"], votes["repeats"]  # the same sentence again is a repeat in any script
+        assert min(votes.values()) == 0
+
+
 def test_clean_corpus_stays_whole():
     patterns = np.array([[0, 0, 1], [0, 0, 0]])
     assert (quality.posteriors(patterns, np.array([900.0, 100.0])) >= 0.95).all()
