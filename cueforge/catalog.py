@@ -226,6 +226,30 @@ def srt_cues(spark, d):
     return _cued(spark, d).withColumns({"out_start": F.col("out_start").cast("long"), "out_end": F.col("out_end").cast("long"), "a": at("out_start"), "b": at("out_end")})
 
 
+_MANY = """many AS (SELECT source // 3 AS edl, ((source % 3) * 3 + rid)::INTEGER AS rid, source, "start", "end" FROM ranges)"""
+
+
+def _many(spark, d):
+    t, r = _cut(spark, d)
+    return t, r.select(F.floor(F.col("source") / 3).alias("edl"), ((F.col("source") % 3) * 3 + F.col("rid")).cast("int").alias("rid"), "source", "start", "end")
+
+
+@query("cues_missing_transcripts", _sql("SELECT edl, cue, out_start, out_end, text FROM cues", _TOK, _RANGES, _MANY, _OFFSETS.replace("FROM ranges", "FROM many"), _RANGED.replace("JOIN plain p", "JOIN (SELECT * FROM plain WHERE source % 3 <> 1) p"), _chunks_sql(3), _CUES))
+def cues_missing_transcripts(spark, d):
+    """Lists of several sources, some without a transcript: no cues there, but what follows keeps its place."""
+    t, r = _many(spark, d)
+    return timeline.cues(r, t.where("source % 3 <> 1"), 3, True).withColumns({c: F.col(c).cast("long") for c in ("out_start", "out_end")})
+
+
+@query("range_faults", _sql("""SELECT edl, rid, CASE WHEN source % 5 = 0 THEN 'video not found: raw/' || source || '.mov' ELSE 'end must be > start' END AS reason FROM ranges WHERE source % 5 = 0 OR (source % 7 = 0 AND rid = 2) OR "end" <= "start" """, _TOK, _RANGES))
+def range_faults(spark, d):
+    path = F.concat(F.lit("raw/"), F.col("source").cast("string"), F.lit(".mov"))
+    r = _cut(spark, d)[1].withColumn("path", path)
+    swapped = (F.col("source") % 7 == 0) & (F.col("rid") == 2)
+    asked = r.select("edl", "rid", "path", F.when(swapped, F.col("end")).otherwise(F.col("start")).alias("start"), F.when(swapped, F.col("start")).otherwise(F.col("end")).alias("end"))
+    return timeline.range_faults(asked, r.where("source % 5 <> 0").select("path"))
+
+
 @query("srt_file", _sql(f"SELECT edl, cue, line::INTEGER AS line, CASE line WHEN 0 THEN cue::VARCHAR WHEN 1 THEN a || ' --> ' || b WHEN 2 THEN text ELSE '' END AS text FROM (SELECT *, {_SRT} FROM cues), range(0, 4) r(line)", _TOK, _RANGES, _OFFSETS, _RANGED, _chunks_sql(3), _CUES))
 def srt_file(spark, d):
     return timeline.srt_lines(_cued(spark, d))
@@ -274,10 +298,9 @@ def overlay_active(spark, d):
     return timeline.overlays_at(o, times)
 
 
-@query("caption_text", r"""SELECT item_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[,;:]+$', '') AS text, upper(replace(substr(text, 1, 120), 'ß', 'SS')) AS shout FROM benchmark""")
+@query("caption_text", r"""SELECT item_id, text, upper(replace(text, 'ß', 'SS')) AS shout FROM (SELECT item_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[,;:]+$', '') AS text FROM benchmark)""")
 def caption_text(spark, d):
-    b = adapters.table(spark, d, "benchmark")
-    return b.select("item_id", formats.caption_text(F.col("text")).alias("text"), F.upper(F.substring("text", 1, 120)).alias("shout"))
+    return adapters.table(spark, d, "benchmark").select("item_id", formats.caption_text(F.col("text")).alias("text")).withColumn("shout", F.upper("text"))
 
 
 _SHOUT = r"""t AS (SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark),
@@ -286,7 +309,7 @@ c AS (SELECT origin, id, regexp_replace(trim(regexp_replace(text, '[\s\x0B\x{85}
 
 @query("caption_shout", _sql("SELECT origin, id, text, upper(replace(text, 'ß', 'SS')) AS shout FROM c", _SHOUT))
 def caption_shout(spark, d):
-    """Whole cleaned texts of both tables and their upper case; shout of caption_text is that of 120 raw characters."""
+    """Whole cleaned texts of both tables and their upper case."""
     rows = lambda name, key: adapters.table(spark, d, name).select(F.lit(name).alias("origin"), F.col(key).alias("id"), formats.caption_text(F.col("text")).alias("text"))
     both = rows("documents", "doc_id").unionByName(rows("benchmark", "item_id"))
     return both.withColumn("shout", F.upper("text"))
@@ -311,13 +334,55 @@ def clip_stats(spark, d):
     return s.select("clip", *[F.round(c, 6).alias(c) for c in ("y_mean", "y_range", "sat_mean")])
 
 
-@query("auto_grade", _sql("""SELECT clip, round(contrast, 6) AS contrast, round(gamma, 6) AS gamma, saturation FROM (SELECT clip,
-CASE WHEN y < 0.65 THEN 1.08::DOUBLE - 0.05::DOUBLE * greatest(0, least(1, (y - 0.50::DOUBLE) / 0.15::DOUBLE)) ELSE 1.03::DOUBLE END AS contrast,
-CASE WHEN m < 0.42 THEN 1.10::DOUBLE - 0.08::DOUBLE * greatest(0, least(1, (m - 0.30::DOUBLE) / 0.12::DOUBLE)) WHEN m > 0.60 THEN 0.97::DOUBLE ELSE 1.0::DOUBLE END AS gamma,
-CASE WHEN s < 0.18 THEN 1.04::DOUBLE WHEN s > 0.38 THEN 0.96::DOUBLE ELSE 0.98::DOUBLE END AS saturation
-FROM (SELECT clip, round(y_range, 6) AS y, round(y_mean, 6) AS m, round(sat_mean, 6) AS s FROM cs))""", _FRAMES))
+_GRADED = """graded AS (SELECT clip, contrast, gamma, saturation, CASE WHEN terms = '' THEN '' ELSE 'eq=' || terms END AS filter FROM (SELECT *, concat_ws(':',
+  CASE WHEN abs(contrast - 1) > 0.005 THEN 'contrast=' || printf('%.3f', contrast) END, CASE WHEN abs(gamma - 1) > 0.005 THEN 'gamma=' || printf('%.3f', gamma) END, CASE WHEN abs(saturation - 1) > 0.005 THEN 'saturation=' || printf('%.3f', saturation) END) AS terms FROM (SELECT clip,
+CASE WHEN y < 0.65::DOUBLE THEN 1.08::DOUBLE - 0.05::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (y - 0.50::DOUBLE) / 0.15::DOUBLE)) ELSE 1.03::DOUBLE END AS contrast,
+CASE WHEN m < 0.42::DOUBLE THEN 1.10::DOUBLE - 0.08::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (m - 0.30::DOUBLE) / 0.12::DOUBLE)) WHEN m > 0.60::DOUBLE THEN 0.97::DOUBLE ELSE 1.0::DOUBLE END AS gamma,
+CASE WHEN s < 0.18::DOUBLE THEN 1.04::DOUBLE WHEN s > 0.38::DOUBLE THEN 0.96::DOUBLE ELSE 0.98::DOUBLE END AS saturation FROM found)))"""
+
+
+@query("auto_grade", _sql("SELECT clip, round(contrast, 6) AS contrast, round(gamma, 6) AS gamma, saturation, filter FROM graded", _FRAMES, "found AS (SELECT clip, round(y_range, 6) AS y, round(y_mean, 6) AS m, round(sat_mean, 6) AS s FROM cs)", _GRADED))
 def auto_grade(spark, d):
-    return signal.auto_grade(clip_stats(spark, d)).select("clip", F.round("contrast", 6).alias("contrast"), F.round("gamma", 6).alias("gamma"), "saturation")
+    return signal.auto_grade(clip_stats(spark, d)).select("clip", F.round("contrast", 6).alias("contrast"), F.round("gamma", 6).alias("gamma"), "saturation", "filter")
+
+
+#: Statistics lines of clips, a clip for each user and a frame for each event: depths are mixed, some values malformed, some series missing.
+_LINES = """series AS (SELECT user_id AS clip, avg(CASE WHEN user_id % 9 <> 0 AND event_id % 7 <> 0 THEN (20 + event_id % 180)::DOUBLE END) AS y, avg(CASE WHEN user_id % 5 <> 0 THEN (event_id % 30)::DOUBLE END) AS lo, avg((150 + event_id % 100)::DOUBLE) AS hi,
+  avg(CASE WHEN user_id % 4 <> 0 THEN (10 + event_id % 110)::DOUBLE END) AS s, pow(2, arg_max(CASE WHEN event_id % 2 = 0 THEN 8 ELSE 10 END, event_id)) - 1 AS top FROM events GROUP BY user_id),
+found AS (SELECT clip, CASE WHEN y IS NULL THEN 0.72::DOUBLE ELSE coalesce((hi - lo) / top, 0.7::DOUBLE) END AS y, CASE WHEN y IS NULL THEN 0.5::DOUBLE ELSE y / top END AS m, CASE WHEN y IS NULL THEN 0.25::DOUBLE ELSE coalesce(s / top, 0.25::DOUBLE) END AS s FROM series)"""
+
+
+def _line_stats(spark, d):
+    u, e = F.col("user_id"), F.col("event_id")
+    line = lambda key, value: F.concat(F.lit(f"lavfi.signalstats.{key}="), value.cast("string"))
+    lines = F.array_compact(F.array(
+        line("YBITDEPTH", F.when(e % 2 == 0, 8).otherwise(10)), F.when(u % 9 != 0, line("YAVG", F.when(e % 7 == 0, F.lit("n/a")).otherwise((20 + e % 180).cast("string")))), F.when(u % 5 != 0, line("YMIN", e % 30)),
+        line("YMAX", 150 + e % 100), F.when(u % 4 != 0, line("SATAVG", 10 + e % 110)), F.lit("frame:1 pts:2"),
+    ))
+    rows = adapters.table(spark, d, "events").select(u.alias("clip"), e.alias("frame"), F.posexplode(lines).alias("k", "line"))
+    return signal.line_stats(transcripts.frame_values(rows.select("clip", (F.col("frame") * 10 + F.col("k")).alias("line_no"), "line")))
+
+
+@query("auto_grade_lines", _sql("SELECT f.clip, round(m, 9) AS y_mean, round(y, 9) AS y_range, round(s, 9) AS sat_mean, filter FROM found f JOIN graded g ON f.clip = g.clip", _LINES, _GRADED))
+def auto_grade_lines(spark, d):
+    """From statistics lines to the filter of each clip."""
+    return signal.auto_grade(_line_stats(spark, d)).select("clip", *[F.round(c, 9).alias(c) for c in ("y_mean", "y_range", "sat_mean")], "filter")
+
+
+@query("segment_grades", _sql(f"""SELECT (clip // 3)::BIGINT AS edl, (clip % 3)::BIGINT AS rid, CASE clip % 4 WHEN 0 THEN '' WHEN 1 THEN 'eq=contrast=1.03:saturation=0.98' WHEN 2 THEN 'eq=gamma=1.1' ELSE coalesce(filter, '') END AS filter FROM (SELECT DISTINCT user_id AS clip FROM events) u LEFT JOIN graded g USING (clip)""", _LINES, _GRADED))
+def segment_grades(spark, d):
+    """A list's grade field resolved for each of its segments: the auto mark by the segment's own frames."""
+    at = [F.floor(F.col("clip") / 3).alias("edl"), (F.col("clip") % 3).alias("rid")]
+    clips = adapters.table(spark, d, "events").select(F.col("user_id").alias("clip")).distinct()
+    field = F.element_at(F.array(F.lit(""), F.lit("subtle"), F.lit("eq=gamma=1.1"), F.lit("auto")), (F.col("clip") % 4 + 1).cast("int"))
+    segments = media.resolve_grades(clips.select(F.col("clip").alias("id"), "clip", field.alias("grade")), media.grade_presets(spark)).select(*at, "filter")
+    return media.resolve_auto(segments, signal.auto_grade(_line_stats(spark, d)).select(*at, "filter"))
+
+
+@query("sample_rates", "SELECT p_partkey AS clip, greatest(0.5::DOUBLE, least(10 / greatest(CASE WHEN p_partkey % 10 = 0 THEN 0.0::DOUBLE ELSE p_size / 2.0::DOUBLE END, 0.1::DOUBLE), 10.0::DOUBLE)) AS rate FROM part")
+def sample_rates(spark, d):
+    length = F.when(F.col("p_partkey") % 10 == 0, 0.0).otherwise(F.col("p_size") / 2.0)
+    return adapters.table(spark, d, "part").select(F.col("p_partkey").alias("clip"), signal.sample_rate(F.lit(10.0), length).alias("rate"))
 
 
 @query("rms_envelope", """WITH c AS (SELECT vec_id AS clip, list_transform(embedding, lambda x: x::DOUBLE) AS pcm, greatest(1, len(embedding) // 10) AS w FROM embeddings),
@@ -420,9 +485,39 @@ def force_style(spark, d):
     return media.force_style(media.caption_presets(spark).withColumn("target", F.explode(names)), F.col("target"), "target")
 
 
-@query("preset_lines", f"SELECT name, 'rodape: ' || printf('%.0f', mv / 288 * 100) || '% da altura no vertical, ' || printf('%.0f', mh / 288 * 100) || '% no horizontal' AS text FROM {_CAPS}")
+_TOLD = _values(media.DESCRIPTIONS, "name, description")
+
+
+@query("preset_lines", f"""SELECT c.name, line::INTEGER AS line, CASE line WHEN 0 THEN '  ' || c.name || '  (max ' || max_words || ' palavras/tela, ' || CASE WHEN uppercase THEN 'MAIUSCULA' ELSE 'caixa natural' END || ')'
+WHEN 1 THEN '    rodape: ' || printf('%.0f', mv / 288 * 100) || '% da altura no vertical, ' || printf('%.0f', mh / 288 * 100) || '% no horizontal' WHEN 2 THEN '    ' || description ELSE '' END AS text
+FROM (SELECT * FROM {_CAPS}) c JOIN (SELECT * FROM {_TOLD}) t ON c.name = t.name, range(0, 4) r(line)""")
 def preset_lines(spark, d):
-    return media.preset_lines(media.caption_presets(spark))
+    return media.preset_lines(media.described(media.caption_presets(spark)))
+
+
+_ASKED = "CASE page_id % 6 WHEN 0 THEN 'natural-sentence' WHEN 1 THEN 'bold-overlay' WHEN 2 THEN 'minimal-clean' WHEN 3 THEN 'karaoke-word' WHEN 4 THEN 'house-style' ELSE 'no-' || (page_id % 18) END"
+_HOUSE = ("house-style", 5, True, 80, 20, "FontName=Own")
+
+
+@query("preset_lookup", f"""SELECT page_id, p.name, max_words FROM (SELECT page_id, {_ASKED} AS name FROM pages) p JOIN (SELECT * FROM {_values([*media.CAPTIONS, _HOUSE], 'name, max_words, uppercase, mv, mh, style')}) c ON p.name = c.name""")
+def preset_lookup(spark, d):
+    """Strict lookup in a registry with a row of the user's own."""
+    registry = media.caption_presets(spark, spark.createDataFrame([_HOUSE], media.caption_presets(spark).schema))
+    asked = adapters.table(spark, d, "pages").select("page_id", F.expr(_ASKED).alias("name")).where("name not like 'no-%'")
+    return media.looked_up(asked, "name", registry, "max_words", "caption style").select("page_id", "name", "max_words")
+
+
+@query("unknown_presets", f"""SELECT DISTINCT {_ASKED} AS name, 'unknown caption style ' || {_ASKED} || '. Available: bold-overlay, karaoke-word, minimal-clean, natural-sentence' AS message FROM pages WHERE page_id % 6 >= 4""")
+def unknown_presets(spark, d):
+    asked = adapters.table(spark, d, "pages").select(F.expr(_ASKED).alias("name"))
+    return media.unknown_names(asked, "name", media.caption_presets(spark), "caption style")
+
+
+@query("grade_override", f"""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '{media.AUTO}' WHEN 2 THEN 'eq=gamma=1.01' WHEN 3 THEN v.filter WHEN 4 THEN 'eq=gamma=1.2' ELSE 'eq=gamma=1.1' END AS filter FROM part, (SELECT filter FROM {_values(media.GRADES, 'name, filter')} WHERE name = 'warm_cinematic') v""")
+def grade_override(spark, d):
+    """Rows of the user's own replace and extend the registry of grades."""
+    presets = media.grade_presets(spark, spark.createDataFrame([("subtle", "eq=gamma=1.01"), ("my_look", "eq=gamma=1.2")], "name string, filter string"))
+    return media.resolve_grades(adapters.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_GRADE_CASE).alias("grade")), presets).select("id", "filter")
 
 
 _COVER = "'scale=' || w || ':' || h || ':force_original_aspect_ratio=increase,crop=' || w || ':' || h"
@@ -445,12 +540,39 @@ def _segments(spark, d):
     return s.withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000, "grade": F.lit("eq=gamma=1.1")})
 
 
-@query("segment_plan", _sql(f"""SELECT edl, rid, out, 'ffmpeg -y -ss ' || printf('%.3f', s) || ' -i ' || path || ' -t ' || printf('%.3f', e - s) || ' -vf ' || CASE WHEN hdr THEN '{media.TONEMAP},' ELSE '' END || CASE WHEN portrait THEN 'scale=-2:1920' ELSE 'scale=1920:-2' END || ',eq=gamma=1.1 -af afade=t=in:st=0:d=0.03,afade=t=out:st=' || printf('%.3f', greatest(0.0::DOUBLE, e - s - 0.03::DOUBLE)) || ':d=0.03 -c:v libx264 -preset fast -crf 20 -pix_fmt yuv420p -r ' || rate || ' -c:a aac -b:a 192k -ar 48000 -movflags +faststart ' || out AS args
-FROM (SELECT *, 'clips_graded/seg_' || printf('%02d', rid) || '_' || source || '.mp4' AS out FROM sg)""", _TOK, _RANGES, _PROBE, _SEG))
+def _segment_sql(quality: str) -> str:
+    side, preset, crf, folder = media.QUALITIES[quality]
+    return _sql(f"""SELECT edl, rid, out, 'ffmpeg -y -ss ' || printf('%.3f', s) || ' -i ' || path || ' -t ' || printf('%.3f', e - s) || ' -vf ' || CASE WHEN hdr THEN '{media.TONEMAP},' ELSE '' END || CASE WHEN portrait THEN 'scale=-2:{side}' ELSE 'scale={side}:-2' END || ',eq=gamma=1.1 -af afade=t=in:st=0:d=0.03,afade=t=out:st=' || printf('%.3f', greatest(0.0::DOUBLE, e - s - 0.03::DOUBLE)) || ':d=0.03 -c:v libx264 -preset {preset} -crf {crf} -pix_fmt yuv420p -r ' || rate || ' -c:a aac -b:a 192k -ar 48000 -movflags +faststart ' || out AS args
+FROM (SELECT *, '{folder}/seg_' || printf('%02d', rid) || '_' || source || '.mp4' AS out FROM sg)""", _TOK, _RANGES, _PROBE, _SEG)
+
+
+@query("segment_plan", _segment_sql("final"))
 def segment_plan(spark, d):
     return media.segment_plan(_segments(spark, d))
 
 
+@query("segment_plan_draft", _segment_sql("draft"))
+def segment_plan_draft(spark, d):
+    return media.segment_plan(_segments(spark, d), "draft")
+
+
+@query("segment_plan_preview", _segment_sql("preview"))
+def segment_plan_preview(spark, d):
+    return media.segment_plan(_segments(spark, d), "preview")
+
+
+@query("log_heads", _sql("""SELECT edl, rid, array_to_string(string_split(args, ' ')[1:6], ' ') || ' …' AS command, substr(args, 1, 120) || '...' AS text FROM planned""", f"planned AS ({_segment_sql('final')})"))
+def log_heads(spark, d):
+    """What logs show of a plan: the first six arguments, the first 120 characters."""
+    return media.segment_plan(_segments(spark, d)).select("edl", "rid", media.argv_head(F.col("args")).alias("command"), media.text_head(F.col("args")).alias("text"))
+
+
+@query("concat_plan", _sql("SELECT DISTINCT edl, 'ffmpeg -y -f concat -safe 0 -i edit/' || edl || '/_concat.txt -c copy -movflags +faststart edit/' || edl || '/base.mp4' AS args FROM ranges", _TOK, _RANGES))
+def concat_plan(spark, d):
+    at = lambda name: F.concat(F.lit("edit/"), F.col("edl").cast("string"), F.lit(f"/{name}"))
+    return _cut(spark, d)[1].select("edl").distinct().select("edl", media.concat_args(at("_concat.txt"), at("base.mp4")).alias("args"))
+
+
 @query("concat_list", _sql("""SELECT edl, rid, 'file ''clips_graded/seg_' || printf('%02d', rid) || '_' || source || '.mp4''' AS text FROM ranges""", _TOK, _RANGES))
 def concat_list(spark, d):
     return sinks.concat_list(media.segment_plan(_segments(spark, d)).select("edl", "rid", F.col("out").alias("path")))
@@ -474,16 +596,38 @@ def composite_plan(spark, d):
     return _composites(spark, d)
 
 
-@query("graph_order", _sql("SELECT edl, true AS ok FROM ov GROUP BY edl", _OV))
+_ORDER = """parts AS (SELECT edl, turned, CASE WHEN turned THEN list_reverse(string_split(graph, ';')) ELSE string_split(graph, ';') END AS p FROM composed, (SELECT unnest([false, true]) AS turned) x)"""
+
+
+@query("graph_order", _sql("""SELECT edl, turned, (len(list_filter(p, lambda x: contains(x, '[reframed]'))) = 0 OR (p[1] LIKE '[0:v]%' AND p[1] LIKE '%[reframed]')) AND (len(list_filter(p, lambda x: contains(x, 'subtitles='))) = 0 OR contains(p[-1], 'subtitles=')) AS ok FROM parts""", _OV, _COMP, f"composed AS ({_COMP_SELECT})", _ORDER))
 def graph_order(spark, d):
-    return _composites(spark, d).select("edl", media.graph_order_ok(F.col("graph")).alias("ok"))
+    """The graphs as composed, and with their parts turned round, which breaks the rule wherever it says something."""
+    turned = _composites(spark, d).select("edl", F.col("graph"), F.explode(F.array(F.lit(False), F.lit(True))).alias("turned"))
+    graph = F.when(F.col("turned"), F.array_join(F.reverse(F.split("graph", ";")), ";")).otherwise(F.col("graph"))
+    return turned.select("edl", "turned", media.graph_order_ok(graph).alias("ok"))
 
 
-@query("loudnorm_plan", f"""SELECT user_id AS clip, CASE WHEN user_id % 5 = 0 THEN '{media.LOUDNORM}' ELSE '{media.LOUDNORM}:measured_I=-' || (user_id % 40) || '.5:measured_TP=-1.2:measured_LRA=7.0:measured_thresh=-30.1:offset=0.3:linear=true' END AS filter FROM (SELECT DISTINCT user_id FROM events)""")
-def loudnorm_plan(spark, d):
+def _measured(spark, d):
     u = adapters.table(spark, d, "events").select(F.col("user_id").alias("clip")).distinct()
     body = F.concat(F.lit('frame= 1 {x}\n{"input_i": "-'), (F.col("clip") % 40).cast("string"), F.lit('.5", "input_tp": "-1.2", "input_lra": "7.0", "input_thresh": "-30.1"'), F.when(F.col("clip") % 5 == 0, F.lit("}")).otherwise(F.lit(', "target_offset": "0.3"}\n')))
-    return transcripts.loudness(u.select("clip", body.alias("stderr"))).select("clip", media.loudnorm_filter(F.col("measured")).alias("filter"))
+    return transcripts.loudness(u.select("clip", body.alias("stderr")))
+
+
+@query("loudnorm_plan", f"""SELECT user_id AS clip, CASE WHEN user_id % 5 = 0 THEN '{media.LOUDNORM}' ELSE '{media.LOUDNORM}:measured_I=-' || (user_id % 40) || '.5:measured_TP=-1.2:measured_LRA=7.0:measured_thresh=-30.1:offset=0.3:linear=true' END AS filter FROM (SELECT DISTINCT user_id FROM events)""")
+def loudnorm_plan(spark, d):
+    return _measured(spark, d).select("clip", media.loudnorm_filter(F.col("measured")).alias("filter"))
+
+
+@query("loudnorm_passes", f"""SELECT clip, 'ffmpeg -y -hide_banner -nostats -i in.mp4 -af {media.LOUDNORM}:print_format=json -vn -f null -' AS measuring, 'ffmpeg -y -hide_banner -nostats -i in.mp4 -c:v copy -af {media.LOUDNORM}' || CASE WHEN clip % 5 = 0 THEN '' ELSE ':measured_I=-' || (clip % 40) || '.5:measured_TP=-1.2:measured_LRA=7.0:measured_thresh=-30.1:offset=0.3:linear=true' END || ' -c:a aac -b:a 192k -ar 48000 -movflags +faststart out.mp4' AS normalising FROM (SELECT DISTINCT user_id AS clip FROM events)""")
+def loudnorm_passes(spark, d):
+    """Both passes; where the first measured nothing, the second is the single one."""
+    path, out = F.lit("in.mp4"), F.lit("out.mp4")
+    return _measured(spark, d).select("clip", media.measure_args(path).alias("measuring"), media.loudnorm_args(path, F.col("measured"), out).alias("normalising"))
+
+
+@query("soundtrack_args", """SELECT clip, 'ffmpeg -y -i v.mp4 -i v.mp4 -stream_loop -1 -i m.mp3 -filter_complex [2:a]volume=-20.0dB,afade=t=out:st=' || printf('%.2f', greatest(du - 1.5::DOUBLE, 0)) || ':d=1.5[music_low];[music_low][1:a]sidechaincompress=threshold=0.05:ratio=6.0:attack=5:release=300[ducked];[1:a][ducked]amix=inputs=2:duration=first:dropout_transition=0[aout] -map 0:v:0 -map [aout] -c:v copy -c:a aac -shortest o.mp4' AS args FROM (SELECT p_partkey AS clip, p_size / 8.0::DOUBLE AS du FROM part)""")
+def soundtrack_args(spark, d):
+    return adapters.table(spark, d, "part").select(F.col("p_partkey").alias("clip"), media.soundtrack_args(F.lit("v.mp4"), F.lit("m.mp3"), F.col("p_size") / 8.0, F.lit("o.mp4")).alias("args"))
 
 
 @query("soundtrack_plan", """SELECT clip, '[2:a]volume=-20.0dB,afade=t=out:st=' || printf('%.2f', greatest(du - 1.5::DOUBLE, 0)) || ':d=1.5[music_low];[music_low][1:a]sidechaincompress=threshold=0.05:ratio=6.0:attack=5:release=300[ducked];[1:a][ducked]amix=inputs=2:duration=first:dropout_transition=0[aout]' AS graph FROM (SELECT p_partkey AS clip, p_size / 8.0::DOUBLE AS du FROM part)""")
@@ -523,3 +667,49 @@ def loudness_parse(spark, d):
     u = adapters.table(spark, d, "events").select(F.col("user_id").alias("clip")).distinct()
     body = F.concat(F.lit('log {"input_i": "-'), (F.col("clip") % 40).cast("string"), F.lit('.5", "input_tp": "0", "input_lra": "1", "input_thresh": "2"'), F.when(F.col("clip") % 5 == 0, F.lit("}")).otherwise(F.lit(', "target_offset": "3"} end')))
     return transcripts.loudness(u.select("clip", body.alias("stderr"))).select("clip", F.element_at("measured", F.lit("input_i")).alias("input_i"))
+
+
+_SHAPE = """CASE p_partkey % 7 WHEN 0 THEN 100 + p_size > 120 WHEN 1 THEN 120 > 100 + p_size WHEN 2 THEN 100 + p_size > 120 ELSE false END"""
+
+
+@query("probe_outputs", f"""SELECT p_partkey AS clip, {_SHAPE} AS portrait, p_partkey % 3 = 0 AS hdr, CASE WHEN p_partkey % 4 = 0 THEN 10.0::DOUBLE ELSE p_size / 4.0::DOUBLE END AS duration FROM part""")
+def probe_outputs(spark, d):
+    """Probe outputs as text: dimensions and rotation from JSON, whole, without side data, empty, malformed; transfer; duration with its fallback."""
+    k, dims = F.col("p_partkey"), F.concat(F.lit('"width": 120, "height": '), (100 + F.col("p_size")).cast("string"))
+    stream = lambda rest: F.concat(F.lit('{"streams": [{'), dims, F.lit(rest), F.lit("}]}"))
+    probes = [stream(""), stream(', "side_data_list": [{"side_data_type": "x"}, {"rotation": -90}]'), stream(', "tags": {"rotate": "90"}'), F.lit('{"streams": []}'), F.lit("not json"), stream(', "side_data_list": [{"rotation": "abc"}]'), F.lit('{"streams": [{"width": 120}]}')]
+    shape = transcripts.stream_shape(F.element_at(F.array(*probes), (k % 7 + 1).cast("int")))
+    transfer = transcripts.probed_transfer(F.when(k % 3 == 0, F.lit(" smpte2084\n")).when(k % 3 == 1, F.lit("bt709\n")))
+    length = transcripts.probed_duration(F.when(k % 4 == 0, F.lit("N/A\n")).otherwise(F.concat((F.col("p_size") / 4.0).cast("string"), F.lit("\n"))))
+    return adapters.table(spark, d, "part").select(k.alias("clip"), media.is_portrait(shape["width"], shape["height"], shape["rotation"]).alias("portrait"), media.is_hdr(transfer).alias("hdr"), length.alias("duration"))
+
+
+@query("path_listing", """SELECT page_id AS id, CASE WHEN page_id % 5 = 0 THEN '/abs/' || page_id WHEN page_id % 2 <> 0 AND page_id % 3 = 0 THEN '/videos/f' || page_id ELSE '/videos/edit/f' || page_id END AS resolved FROM pages""")
+def path_listing(spark, d):
+    """Paths resolved against a listing of the files there are."""
+    k, name = F.col("page_id"), F.concat(F.lit("f"), F.col("page_id").cast("string"))
+    p = adapters.table(spark, d, "pages").select("page_id")
+    path = F.when(k % 5 == 0, F.concat(F.lit("/abs/"), k.cast("string"))).when(k % 5 == 1, F.concat(F.lit("./"), name)).when(k % 5 == 2, F.concat(F.lit("x/../"), name)).otherwise(name)
+    there = p.where("page_id % 2 = 0").select(F.concat(F.lit("/videos/edit/"), name).alias("path")).union(p.where("page_id % 3 = 0").select(F.concat(F.lit("/videos/"), name)))
+    return transcripts.resolve_paths(p.select(k.alias("id"), path.alias("path"), F.lit("/videos/edit").alias("base")), there).select("id", "resolved")
+
+
+@query("audio_tracks", "SELECT user_id AS clip, (user_id % 4)::INTEGER AS n FROM (SELECT DISTINCT user_id FROM events)")
+def audio_tracks(spark, d):
+    u = adapters.table(spark, d, "events").select(F.col("user_id").alias("clip")).distinct()
+    listing = F.concat(F.lit("\n"), F.repeat(F.lit("audio\n \n"), (F.col("clip") % 4).cast("int")))
+    return u.select("clip", transcripts.track_count(listing).alias("n"))
+
+
+_FLAT = _SPACED.replace('"start", "end", speaker FROM plain', """"start", "end", CASE WHEN ((pos - 1) // 4) % 3 <> 0 THEN 'S' || (((pos - 1) // 4) % 2) END FROM plain""")
+
+
+@query("segments_flatten", _sql('SELECT source, pos, type, text, "start" / 1000.0::DOUBLE AS "start", "end" / 1000.0::DOUBLE AS "end", speaker FROM spaced', _TOK, _FLAT))
+def segments_flatten(spark, d):
+    """Words in segments of four, with speakers of segments from a table of their own."""
+    t = adapters.tokens(spark, d).withColumn("seg", F.floor((F.col("pos") - 1) / 4).cast("int"))
+    word = F.struct("pos", F.struct(F.col("text").alias("word"), (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end")).alias("w"))
+    segs = t.groupBy("source", "seg").agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["w"]).alias("words"))
+    rows = segs.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "words"))), lambda x: F.struct(x["words"].alias("words"), F.lit("nobody").alias("speaker"))).alias("segments"))
+    speakers = segs.where("seg % 3 <> 0").select("source", F.col("seg").alias("seg_idx"), F.concat(F.lit("S"), (F.col("seg") % 2).cast("string")).alias("speaker"))
+    return speech.flatten_segments(rows, speakers)

@@ -35,15 +35,33 @@ def silent_tracks(peaks: DataFrame, floor: float = -60.0) -> DataFrame:
     return peaks.where(F.col("dbfs") < floor).join(heard, "clip", "left").select("clip", "track", F.coalesce(F.array_join("others", ","), F.lit("")).alias("others"))
 
 
-def clip_stats(frames: DataFrame) -> DataFrame:
-    """Means of frame statistics (clip, depth, yavg, ymin, ymax, satavg) on a scale of 1: (clip, y_mean, y_range, sat_mean).
+# Neutral findings, and the bounds and steps of the automatic grade.
+NEUTRAL_Y, NEUTRAL_RANGE, NEUTRAL_SAT, NO_RANGE, DEPTH = 0.5, 0.72, 0.25, 0.7, 8
+CONTRAST = {"flat": 0.65, "from": 0.50, "width": 0.15, "most": 1.08, "drop": 0.05, "plain": 1.03, "low": 0.94, "high": 1.08}
+GAMMA = {"dark": 0.42, "from": 0.30, "width": 0.12, "most": 1.10, "drop": 0.08, "bright": 0.60, "bright_gamma": 0.97, "low": 0.94, "high": 1.10}
+SATURATION = {"dull": 0.18, "dull_value": 1.04, "rich": 0.38, "rich_value": 0.96, "plain": 0.98, "low": 0.94, "high": 1.06}
+LEAST_STEP = 0.005
 
-    Without luma all three take neutral values; without a range or saturation that one does.
-    """
-    top = F.pow(F.lit(2.0), F.max("depth")) - 1
-    c = frames.groupBy("clip").agg(F.avg("yavg").alias("y"), F.avg("ymin").alias("lo"), F.avg("ymax").alias("hi"), F.avg("satavg").alias("s"), F.coalesce(top, F.lit(255.0)).alias("top"))
+
+def _scaled(grouped: DataFrame) -> DataFrame:
+    """Means (clip, y, lo, hi, s, depth) on a scale of 1. Without luma all three take neutral values; without a range or saturation that one does."""
+    top = F.pow(F.lit(2.0), F.coalesce("depth", F.lit(DEPTH))) - 1
     none = F.col("y").isNull()
-    return c.select("clip", F.when(none, 0.5).otherwise(F.col("y") / F.col("top")).alias("y_mean"), F.when(none, 0.72).otherwise(F.coalesce((F.col("hi") - F.col("lo")) / F.col("top"), F.lit(0.7))).alias("y_range"), F.when(none, 0.25).otherwise(F.coalesce(F.col("s") / F.col("top"), F.lit(0.25))).alias("sat_mean"))
+    return grouped.select("clip", F.when(none, NEUTRAL_Y).otherwise(F.col("y") / top).alias("y_mean"), F.when(none, NEUTRAL_RANGE).otherwise(F.coalesce((F.col("hi") - F.col("lo")) / top, F.lit(NO_RANGE))).alias("y_range"), F.when(none, NEUTRAL_SAT).otherwise(F.coalesce(F.col("s") / top, F.lit(NEUTRAL_SAT))).alias("sat_mean"))
+
+
+def clip_stats(frames: DataFrame) -> DataFrame:
+    """Means of frame statistics (clip, frame, depth, yavg, ymin, ymax, satavg) on a scale of 1: (clip, y_mean, y_range, sat_mean). The last known depth counts for all frames."""
+    last = F.max_by("depth", F.when(F.col("depth").isNotNull(), F.col("frame")))
+    return _scaled(frames.groupBy("clip").agg(F.avg("yavg").alias("y"), F.avg("ymin").alias("lo"), F.avg("ymax").alias("hi"), F.avg("satavg").alias("s"), last.alias("depth")))
+
+
+def line_stats(values: DataFrame) -> DataFrame:
+    """The same of parsed statistics lines (clip, line_no, key, value), each series by itself; depths are whole numbers, the last one counts."""
+    mean = lambda key: F.avg(F.when(F.col("key") == key, F.col("value")))
+    is_depth = F.col("key") == "YBITDEPTH"
+    last = F.max_by(F.when(is_depth, F.col("value").cast("int")), F.when(is_depth, F.col("line_no")))
+    return _scaled(values.groupBy("clip").agg(mean("YAVG").alias("y"), mean("YMIN").alias("lo"), mean("YMAX").alias("hi"), mean("SATAVG").alias("s"), last.alias("depth")))
 
 
 def sample_rate(n: Column, duration: Column) -> Column:
@@ -56,13 +74,14 @@ def auto_grade(stats: DataFrame) -> DataFrame:
 
     Flat clips get contrast, dark ones gamma, dull ones saturation; values within 0.005 of 1 are left out.
     """
-    share = lambda c, a, width: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(c) - a) / width))
-    within = lambda x, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    share = lambda c, k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(c) - k["from"]) / k["width"]))
+    within = lambda x, k: F.greatest(F.lit(k["low"]), F.least(F.lit(k["high"]), x))
+    c, g, t = CONTRAST, GAMMA, SATURATION
     s = stats.withColumns({
-        "contrast": within(F.when(F.col("y_range") < 0.65, 1.08 - 0.05 * share("y_range", 0.50, 0.15)).otherwise(1.03), 0.94, 1.08),
-        "gamma": within(F.when(F.col("y_mean") < 0.42, 1.10 - 0.08 * share("y_mean", 0.30, 0.12)).when(F.col("y_mean") > 0.60, 0.97).otherwise(1.0), 0.94, 1.10),
-        "saturation": within(F.when(F.col("sat_mean") < 0.18, 1.04).when(F.col("sat_mean") > 0.38, 0.96).otherwise(0.98), 0.94, 1.06),
+        "contrast": within(F.when(F.col("y_range") < c["flat"], c["most"] - c["drop"] * share("y_range", c)).otherwise(c["plain"]), c),
+        "gamma": within(F.when(F.col("y_mean") < g["dark"], g["most"] - g["drop"] * share("y_mean", g)).when(F.col("y_mean") > g["bright"], g["bright_gamma"]).otherwise(1.0), g),
+        "saturation": within(F.when(F.col("sat_mean") < t["dull"], t["dull_value"]).when(F.col("sat_mean") > t["rich"], t["rich_value"]).otherwise(t["plain"]), t),
     })
-    term = lambda c: F.when(F.abs(F.col(c) - 1) > 0.005, F.concat(F.lit(f"{c}="), fixed(F.col(c), 3)))
+    term = lambda c: F.when(F.abs(F.col(c) - 1) > LEAST_STEP, F.concat(F.lit(f"{c}="), fixed(F.col(c), 3)))
     terms = F.concat_ws(":", term("contrast"), term("gamma"), term("saturation"))
     return s.withColumn("filter", F.when(terms == "", F.lit("")).otherwise(F.concat(F.lit("eq="), terms)))

@@ -18,6 +18,13 @@ def offsets(ranges: DataFrame, order: list[str] | None = None) -> DataFrame:
     return ranges.withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0)))
 
 
+def range_faults(ranges: DataFrame, listing: DataFrame) -> DataFrame:
+    """Ranges (edl, rid, path, start, end) that can't be shown, with the reason: a file that the listing (path) lacks, then an end that isn't after the start."""
+    r = ranges.join(listing.select("path", F.lit(True).alias("_there")).distinct(), "path", "left")
+    why = F.when(F.col("_there").isNull(), F.concat(F.lit("video not found: "), F.col("path"))).when(~F.coalesce(F.col("end") > F.col("start"), F.lit(False)), F.lit("end must be > start"))
+    return r.select("edl", "rid", why.alias("reason")).where("reason is not null")
+
+
 def output_length(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("edl").agg(F.sum(F.col("end") - F.col("start")).alias("length"), F.count(F.lit(1)).alias("n_ranges"))
 

@@ -2,18 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str], key: str | None = None) -> None:
-    """Lines' text in order, as one file, or one per key under key=...: files are what their readers take as a whole."""
+    """Lines' text in order, as one file, or one per key under key=...: files are what their readers take as a whole.
+
+    A file is written by one task, so lines without a key must fit one: a subtitle file or a listing, not a corpus.
+    """
     if key:
         lines.repartition(key).sortWithinPartitions(key, *order).select(key, "text").write.mode("overwrite").partitionBy(key).text(path)
     else:
         lines.orderBy(*order).select("text").coalesce(1).write.mode("overwrite").text(path)
 
 
+def ascii_json(json: Column) -> Column:
+    """JSON with every character beyond ASCII escaped, those beyond 16 bits as two halves."""
+    four = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    code = lambda c: F.ascii(c)
+    halves = lambda c: F.concat(four(F.shiftright(code(c) - 0x10000, 10) + 0xD800), four((code(c) - 0x10000).bitwiseAND(0x3FF) + 0xDC00))
+    return F.array_join(F.transform(F.split(json, ""), lambda c: F.when(code(c) < 127, c).when(code(c) < 0x10000, four(code(c))).otherwise(halves(c))), "")
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes files (name, content binary) into a folder that all tasks reach, each as a whole; returns what was written (name, size)."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+        for b in batches:
+            sizes = []
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                target = f"{root}/{name}"
+                fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(target) as f:
+                    f.write(content or b"")
+                sizes.append(len(content or b""))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["name", "size"])
+
+    return files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(put, "name string, size long")
+
+
 def transcript_json(tokens: DataFrame, engine: str) -> DataFrame:
     """(source, json) per source: words in order, the engine's name."""
     w = F.struct("pos", F.struct("type", "text", "start", "end", F.col("speaker").alias("speaker_id")).alias("w"))

@@ -2,6 +2,7 @@
 
 import json
 import wave
+from fractions import Fraction
 
 import pytest
 from pyspark.errors import PySparkException
@@ -21,15 +22,31 @@ def one(spark):
     return lambda c: spark.range(1).select(c.alias("x")).first().x
 
 
+#: Texts that are no rates, by what is wrong with them, around any number.
+NO_RATE = {
+    "sign": lambda n: [f"+{n}", f"-{n}", f"{n}/-1", f"-{n}/1"], "zero": lambda n: [f"{n}/0", f"0/{n}", "0.0", "00"], "exponent": lambda n: [f"{n}e0", f"{n}E2", f"1/{n}e1"],
+    "separator": lambda n: [f"{n},5", f"{n}:1", f"{n}//1", f"{n}/1/1", f"{n}.", f".{n}", f"{n}.5/2", f"{n} / 1", f"{n}'000"], "length": lambda n: [str(n) * 20, f"{n}/{'7' * 32}", f"{n}.{'3' * 31}"], "words": lambda n: [f"{n}fps", f"x{n}", "ntsc", "", " "],
+    "size": lambda n: [str(2**31 + n), f"1/{2**31 + n}"], "digits of other scripts": lambda n: ["\u0662\u0664", f"{n}\u0665"],
+}
+
+
 def test_rates(one):
-    good = {"60": "60/1", "29.97": "2997/100", "30000/1001": "30000/1001", " 25 ": "25/1", "50/2": "25/1"}
-    for text, want in good.items():
-        assert one(media.canonical_rate(F.lit(text))) == want
-        assert one(media.canonical_rate(F.lit(want))) == want
-    for text in ("", "fast", "0", "-24", "1/0", "1e3", "1_000", "0." + "1" * 20, "1" * 33, "0/1"):
-        assert one(media.canonical_rate(F.lit(text))) is None, text
+    for n, d in ((7, 1), (24000, 1001), (50, 20), (119, 7), (1, 3), (2**31 - 1, 2)):
+        f = Fraction(n, d)
+        for text in (f"{n}/{d}", f"\t{n}/{d} ", f"{3 * n}/{3 * d}" if n < 10**6 else f"{n}/{d}"):
+            assert one(media.canonical_rate(F.lit(text))) == f"{f.numerator}/{f.denominator}"
+    for text in ("12.5", "23.976", "0.04", "100.000", "015"):
+        f = Fraction(text)
+        assert one(media.canonical_rate(F.lit(text))) == f"{f.numerator}/{f.denominator}"
     probe = lambda a, n: one(media.probed_rate(F.lit(a).cast("string"), F.lit(n).cast("string")))
-    assert [probe("30000/1001", "30/1"), probe("0/0", "60/1"), probe(None, None), probe("0/0", "0/0")] == ["30000/1001", "60/1", None, None]
+    assert [probe("48/2", "9/1"), probe("0/0", "15/3"), probe("x", "15/3"), probe(None, None), probe("0/0", "0/0")] == ["24/1", "5/1", "5/1", None, None]
+
+
+@pytest.mark.parametrize("kind", NO_RATE)
+def test_texts_that_are_no_rates(spark, kind):
+    texts = [t for n in (5, 24, 30) for t in NO_RATE[kind](n)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", media.canonical_rate(F.col("t")).alias("r")).where("r is not null").collect()
+    assert got == []
 
 
 def test_one_rate_per_list(spark):
@@ -108,16 +125,52 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "bad.json").write_text(json.dumps(edl | {"sources": {}}))
     with pytest.raises(PySparkException):
         transcripts.edl_ranges(spark, str(tmp_path / "bad.json")).collect()
+    assert [x.source for x in transcripts.transcript_listing(spark, str(tmp_path / "t")).collect()] == ["empty", "take"]
+    (tmp_path / "none").mkdir()
+    for folder in ("none", "missing"):
+        with pytest.raises(FileNotFoundError):
+            transcripts.transcript_listing(spark, str(tmp_path / folder))
     for name in ("a.mp4", "b.MOV", "c.M4V", "d.txt"):
         (tmp_path / "t" / name).write_bytes(b"x")
     assert [x.path.split("/")[-1] for x in transcripts.videos(spark, str(tmp_path / "t")).collect()] == ["a.mp4", "b.MOV"]
 
 
 def test_wav(spark, tmp_path):
-    with wave.open(str(tmp_path / "x.wav"), "wb") as w:
-        w.setnchannels(1), w.setsampwidth(2), w.setframerate(16000)
-        w.writeframes(b"\x00\x40\x00\xc0")
-    assert wav.wav_clips(spark, str(tmp_path)).first().pcm == [0.5, -0.5]
+    for name, channels, width in (("x", 1, 2), ("stereo", 2, 2), ("bytes", 1, 1)):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setnchannels(channels), w.setsampwidth(width), w.setframerate(16000)
+            w.writeframes(b"\x00\x40\x00\xc0")
+    (tmp_path / "text.wav").write_bytes(b"no sound")
+    got = {x.clip.split("/")[-1]: x for x in wav.wav_clips(spark, str(tmp_path)).collect()}
+    assert got["x.wav"].pcm == [0.5, -0.5] and got["x.wav"].fault is None
+    assert all(got[f"{n}.wav"].pcm is None and got[f"{n}.wav"].fault for n in ("stereo", "bytes", "text"))
+
+
+def test_strict_lookups_tell_what_there_is(spark):
+    names = spark.createDataFrame([("none",), ("own",)], "name string")
+    own = media.grade_presets(spark, spark.createDataFrame([("own", "eq=x"), ("subtle", "eq=y")], "name string, filter string"))
+    assert {x.name: x["filter"] for x in media.looked_up(names, "name", own, "filter", "preset").collect()} == {"none": "", "own": "eq=x"}
+    assert own.where("name = 'subtle'").first()["filter"] == "eq=y" and own.count() == 5
+    with pytest.raises(PySparkException, match="unknown preset own. Available: neutral_punch, none, subtle, warm_cinematic"):
+        media.looked_up(names, "name", media.grade_presets(spark), "filter", "preset").collect()
+
+
+def test_ascii_json_reads_back(spark):
+    text = 'é"\\漢\U0001f642\x7f \n'
+    row = spark.createDataFrame([(text,)], "t string").select(sinks.ascii_json(F.to_json(F.struct("t"))).alias("j")).first().j
+    assert row.isascii() and json.loads(row) == {"t": text} and row == json.dumps({"t": text}, separators=(",", ":"))
+
+
+def test_paths_are_normal(one):
+    assert [one(transcripts.normal_path(F.lit(p))) for p in ("/a/./b//c", "/a/../b", "/../a/b/..", "/")] == ["/a/b/c", "/b", "/a", "/"]
+
+
+def test_the_last_depth_counts(spark):
+    from cueforge.operators import signal
+
+    rows = [("a", 1, 10, 100.0), ("a", 3, 8, 155.0), ("a", 2, 10, 0.0), ("a", 4, None, 255.0), ("b", 1, None, 51.0)]
+    f = spark.createDataFrame(rows, "clip string, frame int, depth int, yavg double").selectExpr("*", "yavg ymin", "yavg ymax", "cast(null as double) satavg")
+    assert {x.clip: round(x.y_mean, 9) for x in signal.clip_stats(f).collect()} == {"a": 0.5, "b": 0.2}
 
 
 def test_stream_packs_each_file_once(spark, tmp_path):
