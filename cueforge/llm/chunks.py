@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread
+from .common import Scratch, join_groups, session_with, spread
 from .grid import text_bytes
 
 CHUNK_BYTES = 1 << 20
@@ -29,68 +29,71 @@ PER_CHUNK = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
+#: Text that a bucket of the stored chunks is meant to hold: what one task of a pass reads, whatever the table's size.
+BUCKET_TEXT = 16 << 20
+#: Buckets of a table at most, beyond which they grow.
+MOST_BUCKETS = 50_000
+
+
 class Chunks:
-    """The stored chunks: cid, ids (64-bit, null as NO_ID), lens, text, n_bytes."""
+    """The stored chunks: cid, ids (64-bit, null as NO_ID), known (whether an id is none of these), lens, text, n_bytes.
+
+    A chunk is a large row, so passes over chunks run in a session of their own whose Arrow batches hold two.
+    """
 
     def __init__(self, docs: DataFrame, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES):
         self.spark, self.scratch = docs.sparkSession, scratch
-        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.wide = session_with(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch="2")
+        self.total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.parts = min(max(-(-self.total // BUCKET_TEXT), self.spark.sparkContext.defaultParallelism), MOST_BUCKETS)
         self.name = f"cueforge_chunks_{uuid.uuid4().hex}"
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, n = TaskContext.get().partitionId(), 0
             ids: list[np.ndarray] = []
+            known: list[np.ndarray] = []
             lens: list[np.ndarray] = []
             texts: list[bytes] = []
             size = rows = 0
 
             def close() -> pa.RecordBatch:
-                return pa.RecordBatch.from_pydict({"cid": pa.array([(part << 22) + n]), "ids": pa.array([np.concatenate(ids).tobytes()], pa.binary()), "lens": pa.array([np.concatenate(lens).tobytes()], pa.binary()), "text": pa.array([b"".join(texts)], pa.binary()), "n_bytes": pa.array([size], pa.int64())})
+                return pa.RecordBatch.from_pydict({"cid": pa.array([(part << 22) + n]), "ids": pa.array([np.concatenate(ids).tobytes()], pa.binary()), "known": pa.array([np.concatenate(known).tobytes()], pa.binary()), "lens": pa.array([np.concatenate(lens).tobytes()], pa.binary()), "text": pa.array([b"".join(texts)], pa.binary()), "n_bytes": pa.array([size], pa.int64())})
 
             for batch in batches:
                 buf, off = text_bytes(batch.column(1))
-                own = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                own, valid = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
                 start = 0
                 while start < batch.num_rows:
                     stop = max(start + 1, int(np.searchsorted(off, off[start] + chunk_bytes - size, side="right")) - 1)
                     stop = min(stop, start + PER_CHUNK - rows)
                     ids.append(own[start:stop])
+                    known.append(valid[start:stop])
                     lens.append(np.diff(off[start : stop + 1]))
                     texts.append(buf[off[start] : off[stop]].tobytes())
                     size, rows, start = size + int(off[stop] - off[start]), rows + stop - start, stop
                     if size >= chunk_bytes or rows >= PER_CHUNK or start < batch.num_rows:
                         yield close()
-                        n, ids, lens, texts, size, rows = n + 1, [], [], [], 0, 0
+                        n, ids, known, lens, texts, size, rows = n + 1, [], [], [], [], 0, 0
             if rows:
                 yield close()
 
-        rows = spread(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")).mapInArrow(pack, "cid long, ids binary, lens binary, text binary, n_bytes long")
+        rows = spread(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")).mapInArrow(pack, "cid long, ids binary, known binary, lens binary, text binary, n_bytes long")
         rows.write.bucketBy(self.parts, "cid").option("path", f"{scratch.root}/chunks").option("compression", "zstd").saveAsTable(self.name)
-        self.total = self.table().agg(F.sum("n_bytes")).first()[0] or 0
 
     def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return self.wide.table(self.name)
 
     def buckets(self, bytes_each: int) -> int:
-        return max(self.parts, -(-self.total // bytes_each))
+        """Buckets for hashes, a power of two: at least so many that a task's share is bytes_each of text."""
+        return 1 << (max(self.parts, -(-self.total // bytes_each)) - 1).bit_length()
 
     def joined(self, *replies: DataFrame) -> DataFrame:
         """Chunks with the columns of replies (each cid and others, a row per chunk at most); chunks without one have nulls."""
-        out = self.table().select("cid", "ids", "lens", "text")
+        out = self.table().select("cid", "ids", "known", "lens", "text")
         for r in replies:
             out = out.join(r.hint("merge"), "cid", "left")
         return out
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Stores what a pass over chunks makes. Batches hold few rows meanwhile: a chunk is a large row."""
-        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(key)
-        conf.set(key, "2")
-        try:
-            return self.scratch.save(df, name)
-        finally:
-            conf.set(key, before)
-
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         self.scratch.drop("chunks")
@@ -102,6 +105,11 @@ def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["text"], np.uint8), np.concatenate([[0], np.cumsum(lens)])
 
 
+def known_ids(row: dict) -> np.ndarray:
+    """Which of a chunk's documents have a doc_id."""
+    return np.frombuffer(row["known"], bool)
+
+
 def trim() -> None:
     """Gives freed memory back to the system: workers live on, and arrays of chunks leave holes."""
     pa.default_memory_pool().release_unused()
@@ -145,10 +153,11 @@ def short(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - SHORT_BITS)
 
 
-def bucketed(values: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Where sorted short hashes are cut into n_buckets equal ranges."""
-    edges = (np.arange(n_buckets + 1, dtype=object) * (1 << SHORT_BITS) // n_buckets).astype(np.uint64)
-    return np.searchsorted(values, edges)
+def runs_of(values: np.ndarray, bits: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, where it begins and the last ends) of sorted hashes of so many bits: the occupied ones of n_buckets equal ranges, a power of two."""
+    at = (values >> np.uint64(bits - n_buckets.bit_length() + 1)).astype(np.int64) if n_buckets > 1 else np.zeros(len(values), np.int64)
+    starts = np.nonzero(np.diff(at, prepend=-1))[0]
+    return at[starts], np.append(starts, len(values))
 
 
 SENT = "bucket int, cid long, hashes binary, counts binary"
@@ -156,10 +165,9 @@ SENT = "bucket int, cid long, hashes binary, counts binary"
 
 def send_counts(cid: int, values: np.ndarray, n: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     """A chunk's distinct short hashes, sorted, with how often it has them, as a row per bucket."""
-    cut = bucketed(values, n_buckets)
-    full = [b for b in range(n_buckets) if cut[b + 1] > cut[b]]
-    part = lambda x, b: x[cut[b] : cut[b + 1]]
-    return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "cid": pa.array([cid] * len(full), pa.int64()), "hashes": pa.array([pack_sorted(part(values, b)) for b in full], pa.binary()), "counts": pa.array([pack_ints(part(n, b)) for b in full], pa.binary())})
+    full, cut = runs_of(values, SHORT_BITS, n_buckets)
+    part = lambda x: [x[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "cid": pa.array([cid] * len(full), pa.int64()), "hashes": pa.array([pack_sorted(x) for x in part(values)], pa.binary()), "counts": pa.array([pack_ints(x) for x in part(n)], pa.binary())})
 
 
 def shared_counts(sent: DataFrame) -> DataFrame:
@@ -204,21 +212,28 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root): connected components of edges (a, b), root being the smallest node. Nodes without edges are left out.
 
     Alternates large-star and small-star until the edges point to the roots; each step is aggregations and
-    joins of edges, written to the shared folder.
+    joins of edges, written to the shared folder. The many edges of one node don't gather in one task (join_groups).
     """
-    cur, k, before = scratch.save(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), f"{name}-0"), 0, None
+    save, tables = scratch.save, []
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        tables.append(f"{name}-{k}-{what}")
+        return save(df, tables[-1])
+
+    k, before = 0, None
+    cur = kept(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
     while True:
+        old, tables, k = tables, [], k + 1
         both = cur.unionByName(cur.selectExpr("b a", "a b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-        large = both.join(least.hint("merge"), "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        stars = large.join(least.hint("merge"), "a")
-        small = stars.selectExpr("b a", "m b").unionByName(stars.selectExpr("a", "m b")).where("a <> b").distinct()
-        k += 1
-        new = scratch.save(small, f"{name}-{k}")
-        now = new.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
-        scratch.drop(f"{name}-{k - 1}")
-        cur = new
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("m", "a").alias("m"), "n"), "least")
+        large = kept(join_groups(both, least, ["a"], "n").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = kept(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "small")
+        stars = join_groups(large, least, ["a"], "n")
+        cur = kept(stars.selectExpr("b a", "m b").unionByName(stars.selectExpr("a", "m b")).where("a <> b").distinct(), "edges")
+        now = cur.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
+        for x in old + tables[:-1]:
+            scratch.drop(x)
+        tables = tables[-1:]
         if now == before:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now

@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def session_with(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session beside spark with its settings but for those given (dots as __): what runs in spark meanwhile is not touched."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    for key, value in settings.items():
+        own.conf.set(key.replace("__", "."), value)
+    return own
+
+
 class Scratch:
     """A fresh folder below the shared folder, for tables that cut lineage or pass data between steps."""
 
@@ -42,6 +53,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tables(self) -> list[str]:
+        """The names of the tables there are."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+
     def drop(self, name: str = "") -> None:
         """Delete one table or the whole folder, through Hadoop, so that any file system will do."""
         jvm = self.spark.sparkContext._jvm
@@ -83,16 +100,15 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = 8 <<
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:
     """rows joined to groups (a stored row per key, with the number of rows of that key in column size, which goes).
 
-    Hot groups, those with more than one in HOT_GROUPS of all rows, meet their rows by broadcast: there are fewer
-    than HOT_GROUPS of them whatever the size, and no key's rows gather in one task. The others join by
-    sort-merge. Keys must not be null.
+    Hot groups, those with more than one in HOT_GROUPS of all rows (and a thousand), meet their rows by broadcast: there are
+    fewer than HOT_GROUPS of them whatever the size, and no key's rows gather in one task. The others join by
+    sort-merge. Keys must not be null, and with how="left" no hot key is without a group.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    bound = F.lit(max(total // HOT_GROUPS, 1))
-    hot = groups.where(F.col(size) > bound).drop(size)
-    rest = groups.where(F.col(size) <= bound).drop(size)
-    if hot.isEmpty():
-        return rows.join(rest.hint("merge"), on, how)
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    bound = max((total or 0) // HOT_GROUPS, 1000)
+    if (most or 0) <= bound:
+        return rows.join(groups.drop(size).hint("merge"), on, how)
+    hot, rest = groups.where(F.col(size) > bound).drop(size), groups.where(F.col(size) <= bound).drop(size)
     met = rows.join(F.broadcast(hot), on)
     others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest.hint("merge"), on, how)
     return met.unionByName(others)

@@ -1,6 +1,6 @@
-"""Removal of byte strings that occur earlier in the corpus, by distributed prefix doubling over sampled suffixes.
+"""Removal of byte strings that occur earlier in the corpus: ranks of sampled suffixes at growing lengths.
 
-Ranking every suffix at offsets 1, 2, 4, ... would move each byte position through a sort per round. Instead,
+This stands in for prefix doubling over all suffixes (the README says why, with figures). Ranking every suffix at offsets 1, 2, 4, ... would move each byte position through a sort per round. Instead,
 only sampled suffixes are ranked: of each string of `length` bytes, the start of its least half-length gram (by a
 hash; the leftmost of equals). Equal strings have their sample at the same place, so each string hangs on one
 sampled suffix, and runs of neighbouring strings share one. Ranks are then refined at growing lengths, and what
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import NO_ID, SENT, Chunks, looked_up, opened, opened_counts, pack_ints, pack_sorted, rows_of, send_counts, shared_counts, short, trim, unpack_ints, unpack_sorted
+from .chunks import SENT, Chunks, looked_up, opened, opened_counts, known_ids, pack_ints, pack_sorted, rows_of, runs_of, send_counts, shared_counts, short, trim, unpack_ints, unpack_sorted
 from .common import Scratch
 from .grid import Runs
 
@@ -87,11 +87,6 @@ class _Suffixes:
         self.first[1:] = (self.g[1:] != self.g[:-1]) | (self.c[1:] != self.c[:-1])
 
 
-def _cut(g: np.ndarray, n_buckets: int) -> np.ndarray:
-    edges = (np.arange(1, n_buckets, dtype=object) * (1 << 64) // n_buckets).astype(np.uint64)
-    return np.concatenate([[0], np.searchsorted(g, edges), [len(g)]]).astype(np.int64)
-
-
 def _joined_blobs(parts: list[dict] | None, name: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(p[name], np.uint8) for p in sorted(parts, key=lambda p: p["bucket"])]) if parts else np.zeros(0, np.uint8)
 
@@ -124,8 +119,8 @@ class Repeats:
                     values, n = np.unique(short(Runs(buf)(at, at + length // 2)), return_counts=True)
                     yield send_counts(row["cid"], values, n, n_buckets)
 
-        self.samples = self.chunks.save(self.chunks.joined().mapInArrow(sample, "cid long, at binary, lo binary, n binary"), "samples")
-        self.shared = self.chunks.save(shared_counts(self.chunks.joined(self.samples).mapInArrow(send, SENT)), "shared")
+        self.samples = self.scratch.save(self.chunks.joined().mapInArrow(sample, "cid long, at binary, lo binary, n binary"), "samples")
+        self.shared = self.scratch.save(shared_counts(self.chunks.joined(self.samples).mapInArrow(send, SENT)), "shared")
 
     def _round_2(self) -> None:
         length, n_buckets = self.length, self.n_buckets
@@ -134,9 +129,9 @@ class Repeats:
             for row in rows_of(batches):
                 s = _Suffixes(row, length)
                 g, c, doc, lo = s.g[s.first], s.c[s.first], s.doc[s.first], s.lo[s.first]
-                cut = _cut(g, n_buckets)
-                for b in np.nonzero(np.diff(cut))[0].tolist():
-                    x = slice(cut[b], cut[b + 1])
+                full, cut = runs_of(g, 64, n_buckets)
+                for b, start, stop in zip(full.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    x = slice(start, stop)
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "cid": pa.array([row["cid"]], pa.int64()), "g": [pack_sorted(g[x])], "c": [c[x].tobytes()], "doc": [pack_ints(doc[x].view(np.uint64))], "lo": [pack_ints(lo[x])]})
 
         def meet(got: pa.Table) -> pa.Table:
@@ -162,7 +157,7 @@ class Repeats:
 
         sent = self.chunks.joined(self.samples, self.shared).mapInArrow(send, "bucket int, cid long, g binary, c binary, doc binary, lo binary")
         met = sent.groupBy("bucket").applyInArrow(meet, "bucket int, cid long, code binary")
-        self.codes = self.chunks.save(met.groupBy("cid").agg(F.collect_list(F.struct("bucket", "code")).alias("codes")), "codes")
+        self.codes = self.scratch.save(met.groupBy("cid").agg(F.collect_list(F.struct("bucket", "code")).alias("codes")), "codes")
 
     def _round_3(self) -> None:
         length, n_buckets = self.length, self.n_buckets
@@ -172,9 +167,9 @@ class Repeats:
                 s = _Suffixes(row, length)
                 mine = np.nonzero(s.first)[0][_joined_blobs(row["codes"], "code") == 2]
                 g, n, lo, doc = s.g[mine], s.n[mine], s.lo[mine], s.doc[mine]
-                cut = _cut(g, n_buckets)
-                for b in np.nonzero(np.diff(cut))[0].tolist():
-                    x = slice(cut[b], cut[b + 1])
+                full, cut = runs_of(g, 64, n_buckets)
+                for b, start, stop in zip(full.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    x = slice(start, stop)
                     start = np.repeat(lo[x] - (np.cumsum(n[x]) - n[x]), n[x]) + np.arange(n[x].sum())
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "cid": pa.array([row["cid"]], pa.int64()), "g": [pack_sorted(g[x])], "n": [pack_ints(n[x])], "doc": [pack_ints(doc[x].view(np.uint64))], "lo": [pack_ints(lo[x])], "strings": [s.runs(start, start + length).tobytes()]})
 
@@ -196,10 +191,18 @@ class Repeats:
 
         sent = self.chunks.joined(self.samples, self.shared, self.codes).where("codes is not null").mapInArrow(send, "bucket int, cid long, g binary, n binary, doc binary, lo binary, strings binary")
         met = sent.groupBy("bucket").applyInArrow(meet, "bucket int, cid long, again binary")
-        self.strings = self.chunks.save(met.groupBy("cid").agg(F.collect_list(F.struct("bucket", "again")).alias("strings")), "strings")
+        self.strings = self.scratch.save(met.groupBy("cid").agg(F.collect_list(F.struct("bucket", "again")).alias("strings")), "strings")
 
     def result(self, with_text: bool = False) -> DataFrame:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text also kept binary and spans array<struct<start, stop>>."""
+        try:
+            return self._result(with_text)
+        finally:
+            self.chunks.drop()
+            for name in ("samples", "shared", "codes", "strings"):
+                self.scratch.drop(name)
+
+    def _result(self, with_text: bool) -> DataFrame:
         self._round_1()
         self._round_2()
         self._round_3()
@@ -225,13 +228,14 @@ class Repeats:
                 gone = np.cumsum(steps)[: len(s.buf)] > 0
                 kept = ~gone
                 out: list[tuple] = []
+                known = known_ids(row)
                 for i, (a, b) in enumerate(zip(s.off[:-1].tolist(), s.off[1:].tolist(), strict=True)):
                     x = gone[a:b]
                     removed = int(x.sum())
                     rest = s.buf[a:b][kept[a:b]].tobytes() if removed else s.buf[a:b].tobytes()
                     turns = np.diff(np.concatenate([[0], x.view(np.int8), [0]])) if removed else np.zeros(0, np.int8)
                     ups = np.nonzero(turns == 1)[0]
-                    line = (None if s.ids[i] == NO_ID else int(s.ids[i]), b - a, removed, len(ups), hashlib.sha256(rest).hexdigest())
+                    line = (int(s.ids[i]) if known[i] else None, b - a, removed, len(ups), hashlib.sha256(rest).hexdigest())
                     out.append((*line, rest, [{"start": p, "stop": q} for p, q in zip(ups.tolist(), np.nonzero(turns == -1)[0].tolist(), strict=True)]) if with_text else line)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -239,11 +243,7 @@ class Repeats:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * with_text
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))] * with_text
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start: long, stop: long>>" * with_text
-        done = self.chunks.save(self.chunks.joined(self.samples, self.shared, self.codes, self.strings).mapInArrow(finish, schema), "result")
-        self.chunks.drop()
-        for name in ("samples", "shared", "codes", "strings"):
-            self.scratch.drop(name)
-        return done
+        return self.scratch.save(self.chunks.joined(self.samples, self.shared, self.codes, self.strings).mapInArrow(finish, schema), "result")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:

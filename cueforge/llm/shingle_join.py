@@ -8,9 +8,10 @@ combination of two, and only combinations of frequent tokens are indexed. Large
 combinations: they index frequent tokens by themselves too, and sets that may link to them do both.
 
 Entries carry how much their sets can still share if the entry is the first they share, which rules most pairs
-out before any set is looked at. The others are verified on whole sets. Links only have to give the components
+out before any set is looked at. The others are verified on whole sets, token by token in 128 bits. Links only have to give the components
 right, so each key's members are first tried against its most typical one, the one whose tokens are the most
-frequent; what is then still in different components is tried pair by pair.
+frequent. Where a key's members are then still in different components, they are tried against the next few, and so on: a
+round tries a bounded number of partners for each entry, and no key's members are ever paired all with all.
 """
 
 from __future__ import annotations
@@ -19,27 +20,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import NO_ID, PER_CHUNK, SENT, Chunks, components, looked_up, opened, opened_counts, pack_sorted, rows_of, send_counts, shared_counts, short, unpack_sorted
-from .common import Scratch
+from .chunks import NO_ID, PER_CHUNK, SENT, Chunks, components, known_ids, looked_up, opened, opened_counts, pack_sorted, rows_of, send_counts, shared_counts, short, unpack_sorted
+from .common import Scratch, join_groups
 from .grid import mixed, shingle_hashes
 
 RARE = 2000
-#: Sets from this size index frequent tokens by themselves.
-LARGE = 1000
+#: Sets from this size index frequent tokens by themselves: their combinations would outnumber the entries they save.
+LARGE = 300
+#: Partners that each entry of a key is tried against, by round; the last number counts for all further rounds.
+PIVOTS = (1, 32, 128, 512)
 BUCKET_BYTES = 8 << 20
 
 
-def distinct_per_text(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text numbers, hashes), sorted and without repeats within a text."""
+def distinct_per_text(h: np.ndarray, bounds: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text numbers, hashes), sorted and without repeats within a text; with other hashes of the same tokens, those too, in that order."""
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((h, doc))
+    order = np.lexsort((h, doc) if other is None else (other, h, doc))
     h, doc = h[order], doc[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return doc[first], h[first]
+    if other is None:
+        return doc[first], h[first]
+    other = other[order]
+    first[1:] |= other[1:] != other[:-1]
+    return doc[first], h[first], other[first]
+
+
+def common_tokens(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many tokens two sets share. A set is two arrays with 64 bits of each token, in order of the first and then the second."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0
+    at = np.searchsorted(b[0], a[0])
+    inside = at < len(b[0])
+    at = np.minimum(at, len(b[0]) - 1)
+    same = inside & (b[0][at] == a[0]) & (b[1][at] == a[1])
+    repeats = (b[0][1:] == b[0][:-1]).any()
+    if repeats:  # tokens that 64 bits don't tell apart: compare all 128
+        pairs = set(zip(b[0].tolist(), b[1].tolist(), strict=True))
+        return sum(x in pairs for x in zip(a[0].tolist(), a[1].tolist(), strict=True))
+    return int(same.sum())
 
 
 def needed(size: np.ndarray, percent: int) -> np.ndarray:
@@ -84,6 +108,14 @@ def prefix_keys(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int,
     return np.concatenate(docs), np.concatenate(keys), np.concatenate(most)
 
 
+_NODE = "struct<none: boolean, doc: bigint, rid: bigint>"
+
+
+def _node(doc_id: str) -> Column:
+    """A row as a node whose order is that of doc_ids, null last, then of rows: the smallest node of a component names it."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"), F.col("rid").alias("rid"))
+
+
 class ShingleJoin:
     """One self-join: groups() gives a row per document. Everything is stored as it goes, in the shared folder."""
 
@@ -93,22 +125,22 @@ class ShingleJoin:
         self.chunks = Chunks(docs, self.scratch)
 
     def _sets(self) -> None:
-        """rows: rid, doc_id, n and two 64-bit prints of the set; and the hashes that chunks share."""
+        """rows: rid, doc_id, n and two independent 64-bit prints of the set; groups of equal sets; and the hashes that chunks share."""
         width, n_buckets = self.width, self.chunks.buckets(BUCKET_BYTES)
 
         def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
                 ids, buf, off = opened(row)
-                doc, h = distinct_per_text(*shingle_hashes(buf, off, width))
-                n = np.bincount(doc, minlength=len(ids))
-                two = []
-                with np.errstate(over="ignore"):
-                    for salt in (1, 2):
-                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(salt)), dtype=np.uint64)])
-                        at = np.concatenate([[0], np.cumsum(n)])
+                two, n = [], None
+                for kind in (0, 1):
+                    doc, h = distinct_per_text(*shingle_hashes(buf, off, width, kind))
+                    n = np.bincount(doc, minlength=len(ids)) if n is None else n
+                    at = np.searchsorted(doc, np.arange(len(ids) + 1))
+                    with np.errstate(over="ignore"):
+                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(1)), dtype=np.uint64)])
                         two.append((sums[at[1:]] - sums[at[:-1]]).view(np.int64))
                 rid = row["cid"] * PER_CHUNK + np.arange(len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(ids, mask=ids == NO_ID), pa.array(n.astype(np.int64)), *map(pa.array, two)], ["rid", "doc_id", "n", "p1", "p2"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(ids, mask=~known_ids(row)), pa.array(n.astype(np.int64)), *map(pa.array, two)], ["rid", "doc_id", "n", "p1", "p2"])
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
@@ -120,13 +152,13 @@ class ShingleJoin:
                     if len(values):
                         yield send_counts(row["cid"], values, n, n_buckets)
 
-        table = self.chunks.table().select("cid", "ids", "lens", "text")
-        self.rows = self.chunks.save(table.mapInArrow(prints, "rid long, doc_id long, n long, p1 long, p2 long"), "rows")
-        groups = self.rows.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("min_doc"))
-        self.groups = self.scratch.save(groups, "groups")
-        one = self.groups.select(F.floor(F.col("rep") / PER_CHUNK).alias("cid"), (F.col("rep") % PER_CHUNK).cast("int").alias("place")).groupBy("cid").agg(F.collect_list("place").alias("one"))
-        self.one = self.scratch.save(one, "one")
-        self.shared = self.chunks.save(shared_counts(self.chunks.joined(self.one).mapInArrow(send, SENT)), "shared")
+        table, save = self.chunks.joined(), self.scratch.save
+        self.rows = save(table.mapInArrow(prints, "rid long, doc_id long, n long, p1 long, p2 long"), "rows")
+        groups = self.rows.where("n > 0").groupBy("n", "p1", "p2").agg(F.min(_node("doc_id")).alias("rep"), F.count(F.lit(1)).alias("m"))
+        self.groups = save(groups, "groups")
+        one = self.groups.select(F.floor(F.col("rep.rid") / PER_CHUNK).alias("cid"), (F.col("rep.rid") % PER_CHUNK).cast("int").alias("place")).groupBy("cid").agg(F.collect_list("place").alias("one"))
+        self.one = save(one, "one")
+        self.shared = save(shared_counts(self.chunks.joined(self.one).mapInArrow(send, SENT)), "shared")
 
     def _postings(self) -> DataFrame:
         width, percent, rare, large = self.width, self.percent, self.rare, self.large
@@ -144,11 +176,12 @@ class ShingleJoin:
                 count = looked_up(short(h), known, counts)
                 docs, keys, most = prefix_keys(doc, h, count, len(ids), percent, rare, large)
                 typical = np.bincount(doc, count, len(ids)) / np.maximum(size, 1)
+                unknown = ~known_ids(row)
                 for at in range(0, len(keys), 500_000):
                     d = docs[at : at + 500_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 500_000].view(np.int64)), pa.array(row["cid"] * PER_CHUNK + d), pa.array(size[d].astype(np.int64)), pa.array(typical[d]), pa.array(most[at : at + 500_000].astype(np.int64))], ["key", "rid", "n", "w", "most"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 500_000].view(np.int64)), pa.array(row["cid"] * PER_CHUNK + d), pa.array(ids[d], mask=unknown[d]), pa.array(size[d].astype(np.int64)), pa.array(typical[d]), pa.array(most[at : at + 500_000].astype(np.int64))], ["key", "rid", "doc_id", "n", "w", "most"])
 
-        return self.chunks.joined(self.one, self.shared).mapInArrow(index, "key long, rid long, n long, w double, most long")
+        return self.chunks.joined(self.one, self.shared).mapInArrow(index, "key long, rid long, doc_id long, n long, w double, most long")
 
     def _needed_sets(self, rids: DataFrame) -> DataFrame:
         width = self.width
@@ -159,61 +192,76 @@ class ShingleJoin:
                     continue
                 places = np.array(sorted(row["places"]))
                 _, buf, off = opened(row)
-                doc, h = distinct_per_text(*shingle_hashes(buf, off, width))
-                h = short(h)
+                h, bounds = shingle_hashes(buf, off, width)
+                doc, h, g = distinct_per_text(h, bounds, shingle_hashes(buf, off, width, 1)[0])
                 cut = np.searchsorted(doc, [places, places + 1])
-                blobs = [pack_sorted(h[a:b]) for a, b in cut.T]
-                yield pa.RecordBatch.from_arrays([pa.array(row["cid"] * PER_CHUNK + places), pa.array(blobs, pa.binary())], ["rid", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["cid"] * PER_CHUNK + places), pa.array([pack_sorted(h[a:b]) for a, b in cut.T], pa.binary()), pa.array([g[a:b].tobytes() for a, b in cut.T], pa.binary())], ["rid", "tokens", "more"])
 
         places = rids.select(F.floor(F.col("rid") / PER_CHUNK).alias("cid"), (F.col("rid") % PER_CHUNK).cast("int").alias("place")).groupBy("cid").agg(F.collect_list("place").alias("places"))
-        return self.chunks.joined(places).where("places is not null").mapInArrow(take, "rid long, tokens binary")
+        return self.chunks.joined(places).where("places is not null").mapInArrow(take, "rid long, tokens binary, more binary")
 
     def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs (a, b), those that link."""
+        """Of pairs of nodes (a, b), those that link."""
         percent = self.percent
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens = lambda x, y: (unpack_sorted(x.as_py()), np.frombuffer(y.as_py(), np.uint64))
             for batch in batches:
-                keep, last, left = [], None, np.zeros(0, np.uint64)
+                keep, last, left = [], None, None
+                rid = batch.column(0).field("rid").to_pylist()
                 for i in range(batch.num_rows):
-                    a = batch.column(0)[i].as_py()
-                    if a != last:
-                        last, left = a, unpack_sorted(batch.column(2)[i].as_py())
-                    right = unpack_sorted(batch.column(3)[i].as_py())
-                    both = np.concatenate([left, right])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * common >= percent * (len(both) - common))
+                    if rid[i] != last:
+                        last, left = rid[i], tokens(batch.column(2)[i], batch.column(3)[i])
+                    right = tokens(batch.column(4)[i], batch.column(5)[i])
+                    common = common_tokens(left, right)
+                    keep.append(100 * common >= percent * (len(left[0]) + len(right[0]) - common))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        sets = lambda side: self.sets.select(F.col("rid").alias(side), F.col("tokens").alias(f"t_{side}")).hint("merge")
-        both = pairs.join(sets("b"), "b").join(sets("a"), "a").select("a", "b", "t_a", "t_b")
-        return self.scratch.save(both.mapInArrow(check, "a long, b long"), name)
+        sets = lambda side: self.sets.select(F.col("rid").alias(f"r_{side}"), F.col("tokens").alias(f"t_{side}"), F.col("more").alias(f"u_{side}")).hint("merge")
+        keyed = pairs.select("a", "b", F.col("a.rid").alias("r_a"), F.col("b.rid").alias("r_b"))
+        both = keyed.join(sets("b"), "r_b").join(sets("a"), "r_a").select("a", "b", "t_a", "u_a", "t_b", "u_b")
+        return self.scratch.save(both.mapInArrow(check, f"a {_NODE}, b {_NODE}"), name)
 
     def _link(self) -> DataFrame:
-        """(node, root) over the representatives of equal sets."""
+        """(node, root) over the representatives of equal sets, as nodes (see _node)."""
         save, percent = self.scratch.save, self.percent
-        raw = self.chunks.save(self._postings(), "postings-all")
-        members = raw.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-        post = save(raw.join(members.hint("merge"), "key"), "postings")
+        raw = save(self._postings(), "postings-all")
+        members = save(raw.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "keys")
+        post = save(join_groups(raw, members, ["key"], "m").select("key", _node("doc_id").alias("node"), "n", "w", "most"), "left-0")
         self.scratch.drop("postings-all")
-        self.sets = self.chunks.save(self._needed_sets(post.select("rid").distinct()), "sets")
+        self.sets = save(self._needed_sets(post.select("node.rid").distinct()), "sets")
         self.chunks.drop()
         # sizes close enough, and enough left to share after what comes before the key in either order
-        fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & (F.least("ma", "mb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-        side = lambda df, x: df.select("key", F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("root").alias(f"r{x}"))
-        post = post.withColumn("root", F.col("rid"))
-        best = post.groupBy("key").agg(F.max(F.struct("w", (-F.col("rid")).alias("o"), "rid", "n", "most", "root")).alias("c")).select("key", "c.*")
-        tried = save(side(post, "a").join(side(best, "b").hint("merge"), "key").where((F.col("ra") != F.col("rb")) & fits).selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), "pairs-0")
-        edges = self._verify(tried, "links-0")
-        roots = components(edges, self.scratch, "components-0")
-        named = post.drop("root").join(roots.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").select("key", "rid", "n", "w", "most", F.coalesce("root", "rid").alias("root"))
-        apart = named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-        post = save(named.join(apart.hint("merge"), "key"), "apart")
-        more = side(post, "a").join(side(post, "b").hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b")
-        more = save(more.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs-1")
-        roots = components(edges.unionByName(self._verify(more, "links-1")), self.scratch, "components-1")
-        return roots
+        p = F.col("p")
+        fits = (F.col("n") * 100 >= p["n"] * percent) & (p["n"] * 100 >= F.col("n") * percent) & (F.least("most", p["most"]) * (100 + percent) >= (F.col("n") + p["n"]) * percent)
+        order = F.struct((-F.col("w")).alias("w"), "node")
+        tried = edges = roots = None
+        left, k = post.withColumn("root", F.col("node")), 0
+        while True:
+            # the first pivots of each key, in one row: others follow them in the key's order, and are tried against them
+            most = PIVOTS[min(k, len(PIVOTS) - 1)]
+            place = F.row_number().over(Window.partitionBy("key").orderBy(order))
+            first = left.withColumn("place", place).where(F.col("place") <= most).groupBy("key").agg(F.collect_list(F.struct(order.alias("at"), "node", "n", "most", "root")).alias("ps"), F.max(order).alias("last"))
+            sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+            pivots = save(first.join(sizes.hint("merge"), "key"), f"pivots-{k}")
+            met = join_groups(left.withColumn("at", order), pivots, ["key"], "m")
+            pairs = met.withColumn("p", F.explode("ps")).where((F.col("at") > p["at"]) & (F.col("root") != p["root"]) & fits).select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
+            pairs = save(pairs, f"pairs-{k}")
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            links = self._verify(pairs, f"links-{k}")
+            edges = links if edges is None else edges.unionByName(links)
+            roots = components(edges, self.scratch, f"components-{k}")
+            rest = met.where("at > last").select("key", "node", "n", "w", "most")
+            named = save(rest.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), f"named-{k}")
+            apart = save(named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("m")).where("r1 <> r2").select("key", "m"), f"apart-{k}")
+            k += 1
+            left = save(join_groups(named, apart, ["key"], "m"), f"left-{k}")
+            for name in (f"left-{k - 1}", f"pivots-{k - 1}", f"named-{k - 1}", f"apart-{k - 1}"):
+                self.scratch.drop(name)
+            if left.isEmpty():
+                return roots
 
     def groups_of(self) -> DataFrame:
         """rid, doc_id, n_shingles, component_id, is_first: a row per row of the documents.
@@ -223,18 +271,21 @@ class ShingleJoin:
         component of nothing else has none. is_first marks one row of each component, that with the smallest
         doc_id (then the smallest row number).
         """
-        self._sets()
-        roots = self._link()
-        named = self.groups.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        first = named.groupBy("root").agg(F.min("min_doc").alias("component_id"))
-        named = named.join(first.hint("merge"), "root").select("n", "p1", "p2", "root", "component_id")
-        out = self.rows.join(named.hint("merge"), ["n", "p1", "p2"], "left").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).otherwise(-1 - F.col("rid")).alias("_c"))
-        out = self.scratch.save(out, "out")
-        lead = out.groupBy("_c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("lead")).select("_c", F.col("lead.rid").alias("lead"))
-        done = self.scratch.save(out.join(lead.hint("merge"), "_c").select("rid", "doc_id", "n_shingles", "component_id", (F.col("rid") == F.col("lead")).alias("is_first")), "result")
-        for name in ("out", "rows", "groups", "one", "shared", "postings", "sets"):
-            self.scratch.drop(name)
-        return done
+        try:
+            self._sets()
+            return self._named(self._link())
+        finally:
+            self.chunks.drop()
+            for name in self.scratch.tables():
+                if name != "result":
+                    self.scratch.drop(name)
+
+    def _named(self, roots: DataFrame) -> DataFrame:
+        named = self.groups.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("n", "p1", "p2", F.coalesce("root", "rep").alias("root"), "m")
+        named = self.scratch.save(named, "named")
+        out = join_groups(self.rows.where("n > 0"), named, ["n", "p1", "p2"], "m").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(~F.col("root.none"), F.col("root.doc")).alias("component_id"), (F.col("rid") == F.col("root.rid")).alias("is_first"))
+        blank = self.rows.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("is_first"))
+        return self.scratch.save(out.unionByName(blank), "result")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rare: int = RARE, large: int = LARGE) -> DataFrame:

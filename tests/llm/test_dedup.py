@@ -8,11 +8,13 @@ import re
 import numpy as np
 import pytest
 
-from cueforge.llm import exact_dedup, repeats, shingle_join
+from pyspark.sql import functions as F
+
+from cueforge.llm import chunks, common, exact_dedup, grid, repeats, shingle_join
 from cueforge.llm.exact_dedup import PerfectHash, SlotTable
 
 DOCS = "doc_id long, text string, source string, digest string, key long, rid long, n long"
-ODD = [(1, None, None), (2, "", "s"), (3, "  \n\t", "s"), (4, "one", "s"), (5, "one", "s"), (5, "one", "s"), (None, "one", None), (6, "x " * 30_000, "s"), (7, "x " * 30_000 + "y", "s"), (8, "A b C d E f", None), (9, "a B c D e F", "s"), (None, None, "s")]
+ODD = [(2**63 - 1, "one", None), (1, None, None), (2, "", "s"), (3, "  \n\t", "s"), (4, "one", "s"), (5, "one", "s"), (5, "one", "s"), (None, "one", None), (6, "x " * 30_000, "s"), (7, "x " * 30_000 + "y", "s"), (8, "A b C d E f", None), (9, "a B c D e F", "s"), (None, None, "s")]
 
 
 def frame(spark, rows):
@@ -47,8 +49,6 @@ def equal_groups(rows):
 @pytest.mark.parametrize("rows", [ODD, corpus(1), [], [(1, None, None)]])
 @pytest.mark.parametrize("split", [None, "doc_id < 30", "true", "false"])
 def test_exact_groups(spark, rows, split):
-    from pyspark.sql import functions as F
-
     got = exact_dedup.exact_groups(frame(spark, rows), F.expr(split) if split else None, shards=3).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == equal_groups(rows)
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
@@ -90,7 +90,7 @@ def brute_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length", [5, 40])
+@pytest.mark.parametrize("length", [5, 40, 100])
 @pytest.mark.parametrize("rows", [ODD, corpus(2), [], [(1, "ab" * 200, None), (2, "ba" * 200, None)], [(1, "é" * 50 + "xyz" * 30, None), (0, "xyz" * 30, None)]])
 def test_repeats(spark, rows, length):
     got = repeats.remove_repeats(frame(spark, rows), length).collect()
@@ -126,7 +126,67 @@ def brute_components(rows, percent=80):
     return sorted(((i, len(sets[k]), min(ids[find(k)])[1]) for k, (i, _, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("rare", "large"), [(2000, 1000), (2, 40), (1, 10_000)])
+def _thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_words_that_cancel_in_powers_of_two_stay_apart(spark):
+    a = _thue_morse(2048)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a, None), (2, b, None), (3, a + " x y z v w", None), (4, b + " x y z v w", None), (5, "z" * 5000, None), (6, "z" * 5000, None), (7, "z" * 4999 + "y", None)]
+    got = shingle_join.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7}
+
+
+def test_run_hashes_tell_runs_apart():
+    r = random.Random(4)
+    words = sorted({bytes(r.choice(b"ab\0") for _ in range(r.choice((0, 1, 7, 8, 9, 16, 17, 40)))) for _ in range(3000)} | {b"q" * k for k in (4095, 4096, 4097, 5000)})
+    buf = np.frombuffer(b"".join(words), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    for kind in (0, 1):
+        h = grid.run_hashes(buf, off[:-1], off[1:], kind)
+        assert len(np.unique(h)) == len(words)
+        assert (grid.run_hashes(np.concatenate([buf[3:], buf]), off[:-1] + len(buf) - 3, off[1:] + len(buf) - 3, kind) == h).all()
+    assert not (grid.run_hashes(buf, off[:-1], off[1:], 0) == grid.run_hashes(buf, off[:-1], off[1:], 1)).any()
+
+
+def test_tokens_are_compared_in_full():
+    a = (np.array([1, 5, 5, 9], np.uint64), np.array([7, 2, 3, 1], np.uint64))
+    b = (np.array([1, 5, 9], np.uint64), np.array([8, 3, 1], np.uint64))
+    assert shingle_join.common_tokens(a, b) == shingle_join.common_tokens(b, a) == 2
+    assert shingle_join.common_tokens(a, (a[0][:0], a[1][:0])) == 0
+
+
+def test_a_common_passage_in_many_unlike_texts(spark, monkeypatch):
+    """Keys whose members link with nothing go through several rounds of pivots."""
+    monkeypatch.setattr(shingle_join, "PIVOTS", (1, 2, 3))
+    r = random.Random(15)
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = [(i, common + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(9)), None) for i in range(40)]
+    rows += [(100 + i, rows[i][1].replace(" c3 ", " c3 ") + " end", None) for i in range(3)]
+    got = shingle_join.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute_components(rows)
+
+
+def test_chunk_buckets_follow_the_text():
+    values = np.sort(np.array([0, 1, (1 << 48) - 1, 1 << 47, (1 << 47) - 1, 12345 << 20], np.uint64))
+    for n in (1, 2, 8, 1 << 20):
+        at, cut = chunks.runs_of(values, 48, n)
+        assert [b for b, x, y in zip(at, cut[:-1], cut[1:], strict=True) for _ in range(x, y)] == [int(v) * n >> 48 for v in values]
+
+
+def test_hot_groups_meet_their_rows_by_broadcast(spark):
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 0, id) k", "id")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 2)
+    joined = common.join_groups(rows, groups, ["k"], "n")
+    assert joined.columns == ["k", "id", "v"] and joined.where("v <> 2 * k").count() == 0 and joined.count() == 6000
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("rare", "large"), [(2000, 300), (2, 40), (1, 10_000)])
 @pytest.mark.parametrize("rows", [ODD, corpus(3, 160), [], [(1, None, None)]])
 def test_shingle_join(spark, rows, rare, large):
     got = shingle_join.near_duplicates(frame(spark, rows), rare=rare, large=large).collect()
