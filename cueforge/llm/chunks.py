@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_groups, session_with, spread
+from .common import Scratch, hot_bound, join_groups, session_with, spread
 from .grid import text_bytes
 
 CHUNK_BYTES = 1 << 20
@@ -212,28 +212,25 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root): connected components of edges (a, b), root being the smallest node. Nodes without edges are left out.
 
     Alternates large-star and small-star until the edges point to the roots; each step is aggregations and
-    joins of edges, written to the shared folder. The many edges of one node don't gather in one task (join_groups).
+    joins of edges, written to the shared folder. Where a node has so many edges that they shouldn't gather in one task
+    (hot_bound), the joins go through join_groups.
     """
-    save, tables = scratch.save, []
-
-    def kept(df: DataFrame, what: str) -> DataFrame:
-        tables.append(f"{name}-{k}-{what}")
-        return save(df, tables[-1])
-
     k, before = 0, None
-    cur = kept(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
+    cur = scratch.save(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), f"{name}-0")
     while True:
-        old, tables, k = tables, [], k + 1
+        k += 1
         both = cur.unionByName(cur.selectExpr("b a", "a b"))
-        least = kept(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("m", "a").alias("m"), "n"), "least")
-        large = kept(join_groups(both, least, ["a"], "n").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = kept(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "small")
-        stars = join_groups(large, least, ["a"], "n")
-        cur = kept(stars.selectExpr("b a", "m b").unionByName(stars.selectExpr("a", "m b")).where("a <> b").distinct(), "edges")
-        now = cur.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
-        for x in old + tables[:-1]:
+        hot = hot_bound(both.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "n") is not None
+        met = lambda rows, least, what: join_groups(rows, scratch.save(least, f"{name}-{k}-{what}"), ["a"], "n") if hot else rows.join(least.drop("n").hint("merge"), "a")  # noqa: B023, E731
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("m", "a").alias("m"), "n")
+        large = met(both, least, "least").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = scratch.save(large, f"{name}-{k}-large") if hot else large
+        stars = met(large, large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "small")
+        new = scratch.save(stars.selectExpr("b a", "m b").unionByName(stars.selectExpr("a", "m b")).where("a <> b").distinct(), f"{name}-{k}")
+        now = new.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
+        for x in (f"{name}-{k - 1}", f"{name}-{k}-least", f"{name}-{k}-large", f"{name}-{k}-small"):
             scratch.drop(x)
-        tables = tables[-1:]
+        cur = new
         if now == before:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now

@@ -97,16 +97,22 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = 8 <<
     return F.broadcast(df)
 
 
+def hot_bound(sizes: DataFrame, size: str) -> int | None:
+    """Beyond how many rows a group is hot, if any of the groups is: more than one in HOT_GROUPS of all rows, and a thousand."""
+    total, most = sizes.agg(F.sum(size), F.max(size)).first()
+    bound = max((total or 0) // HOT_GROUPS, 1000)
+    return bound if (most or 0) > bound else None
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:
     """rows joined to groups (a stored row per key, with the number of rows of that key in column size, which goes).
 
-    Hot groups, those with more than one in HOT_GROUPS of all rows (and a thousand), meet their rows by broadcast: there are
-    fewer than HOT_GROUPS of them whatever the size, and no key's rows gather in one task. The others join by
-    sort-merge. Keys must not be null, and with how="left" no hot key is without a group.
+    Hot groups (hot_bound) meet their rows by broadcast: there are fewer than HOT_GROUPS of them whatever the
+    size, and no key's rows gather in one task. The others join by sort-merge. Keys must not be null, and with
+    how="left" no hot key is without a group.
     """
-    total, most = groups.agg(F.sum(size), F.max(size)).first()
-    bound = max((total or 0) // HOT_GROUPS, 1000)
-    if (most or 0) <= bound:
+    bound = hot_bound(groups, size)
+    if bound is None:
         return rows.join(groups.drop(size).hint("merge"), on, how)
     hot, rest = groups.where(F.col(size) > bound).drop(size), groups.where(F.col(size) <= bound).drop(size)
     met = rows.join(F.broadcast(hot), on)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import NO_ID, PER_CHUNK, SENT, Chunks, components, known_ids, looked_up, opened, opened_counts, pack_sorted, rows_of, send_counts, shared_counts, short, unpack_sorted
-from .common import Scratch, join_groups
+from .common import Scratch, hot_bound, join_groups
 from .grid import mixed, shingle_hashes
 
 RARE = 2000
@@ -226,8 +226,8 @@ class ShingleJoin:
         """(node, root) over the representatives of equal sets, as nodes (see _node)."""
         save, percent = self.scratch.save, self.percent
         raw = save(self._postings(), "postings-all")
-        members = save(raw.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "keys")
-        post = save(join_groups(raw, members, ["key"], "m").select("key", _node("doc_id").alias("node"), "n", "w", "most"), "left-0")
+        keys = save(raw.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "keys")
+        post = save(join_groups(raw, keys, ["key"], "m").select("key", _node("doc_id").alias("node"), "n", "w", "most"), "left-0")
         self.scratch.drop("postings-all")
         self.sets = save(self._needed_sets(post.select("node.rid").distinct()), "sets")
         self.chunks.drop()
@@ -238,28 +238,36 @@ class ShingleJoin:
         tried = edges = roots = None
         left, k = post.withColumn("root", F.col("node")), 0
         while True:
-            # the first pivots of each key, in one row: others follow them in the key's order, and are tried against them
+            # the first pivots of each key, in one row: what follows them in the key's order is tried against them
             most = PIVOTS[min(k, len(PIVOTS) - 1)]
             place = F.row_number().over(Window.partitionBy("key").orderBy(order))
             first = left.withColumn("place", place).where(F.col("place") <= most).groupBy("key").agg(F.collect_list(F.struct(order.alias("at"), "node", "n", "most", "root")).alias("ps"), F.max(order).alias("last"))
             sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-            pivots = save(first.join(sizes.hint("merge"), "key"), f"pivots-{k}")
-            met = join_groups(left.withColumn("at", order), pivots, ["key"], "m")
+            hot = hot_bound(sizes, "m") is not None
+            placed = left.withColumn("at", order)
+            met = join_groups(placed, save(first.join(sizes.hint("merge"), "key"), f"pivots-{k}"), ["key"], "m") if hot else placed.join(first.hint("merge"), "key")
             pairs = met.withColumn("p", F.explode("ps")).where((F.col("at") > p["at"]) & (F.col("root") != p["root"]) & fits).select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
             pairs = save(pairs, f"pairs-{k}")
             tried = pairs if tried is None else tried.unionByName(pairs)
-            links = self._verify(pairs, f"links-{k}")
-            edges = links if edges is None else edges.unionByName(links)
-            roots = components(edges, self.scratch, f"components-{k}")
-            rest = met.where("at > last").select("key", "node", "n", "w", "most")
-            named = save(rest.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), f"named-{k}")
-            apart = save(named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("m")).where("r1 <> r2").select("key", "m"), f"apart-{k}")
-            k += 1
-            left = save(join_groups(named, apart, ["key"], "m"), f"left-{k}")
-            for name in (f"left-{k - 1}", f"pivots-{k - 1}", f"named-{k - 1}", f"apart-{k - 1}"):
+            if roots is None or not pairs.isEmpty():
+                links = self._verify(pairs, f"links-{k}")
+                edges = links if edges is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
+                roots = components(edges, self.scratch, f"components-{k}")
+            # pivots are done with; of the others, keys whose members are still in different components go on
+            rest = met.where("at > last").select("key", "node", "n", "w", "most").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rest = save(rest, f"rest-{k}") if hot else rest
+            if hot:
+                apart = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("m")).where("r1 <> r2").select("key", "m")
+                rest = join_groups(rest, save(apart, f"apart-{k}"), ["key"], "m")
+            else:
+                whole = Window.partitionBy("key")
+                rest = rest.withColumns({"r1": F.min("root").over(whole), "r2": F.max("root").over(whole)}).where("r1 <> r2").drop("r1", "r2")
+            left = save(rest, f"left-{k + 1}")
+            for name in (f"left-{k}", f"pivots-{k}", f"rest-{k}", f"apart-{k}"):
                 self.scratch.drop(name)
+            k += 1
             if left.isEmpty():
                 return roots
 
