@@ -10,13 +10,13 @@ combinations: they index frequent tokens by themselves too, and sets that may li
 Entries carry how much their sets can still share if the entry is the first they share, which rules most pairs
 out before any set is looked at. The others are verified on whole sets, token by token in 128 bits. Links only have to give the components
 right, so each key's members are first tried against its most typical one, the one whose tokens are the most
-frequent. Where a key's members are then still in different components, they are tried against the next few, and so on: a
-round tries a bounded number of partners for each entry, and no key's members are ever paired all with all.
+frequent. What is then still in different components is tried pair by pair in keys of at most WHOLE entries; larger keys
+are first worked off by rounds of pivots, so that each round tries a bounded number of partners for each entry.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +30,34 @@ from .grid import mixed, shingle_hashes
 RARE = 2000
 #: Sets from this size index frequent tokens by themselves: their combinations would outnumber the entries they save.
 LARGE = 300
-#: Partners that each entry of a key is tried against, by round; the last number counts for all further rounds.
-PIVOTS = (1, 32, 128, 512)
+#: Keys of more entries are worked off by rounds of so many pivots; the entries of the others meet each other: each has a bounded number of partners.
+WHOLE, PIVOTS = 2048, 512
 BUCKET_BYTES = 8 << 20
 
 
 def distinct_per_text(h: np.ndarray, bounds: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(text numbers, hashes), sorted and without repeats within a text; with other hashes of the same tokens, those too, in that order."""
+    """(text numbers, hashes), sorted and without repeats within a text; with other hashes of the same tokens, those too, in that order: tokens are then told apart by both."""
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((h, doc) if other is None else (other, h, doc))
+    order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     if other is None:
         return doc[first], h[first]
     other = other[order]
-    first[1:] |= other[1:] != other[:-1]
+    if (~first[1:] & (other[1:] != other[:-1])).any():  # as good as never: equal hashes of different tokens
+        order = np.lexsort((other, h, doc))
+        h, doc, other = h[order], doc[order], other[order]
+        first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])
     return doc[first], h[first], other[first]
 
 
+def texts_at(buf: np.ndarray, off: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of some of the texts."""
+    parts = [buf[a:b] for a, b in zip(off[places].tolist(), off[places + 1].tolist(), strict=True)]
+    return (np.concatenate(parts) if parts else buf[:0]), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+
+
 def common_tokens(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
     """How many tokens two sets share. A set is two arrays with 64 bits of each token, in order of the first and then the second."""
     if len(a[0]) > len(b[0]):
@@ -123,6 +132,7 @@ class ShingleJoin:
         self.spark, self.width, self.percent, self.rare, self.large = docs.sparkSession, width, percent, rare, large
         self.scratch = Scratch(self.spark)
         self.chunks = Chunks(docs, self.scratch)
+        self.tried: DataFrame | None = None
 
     def _sets(self) -> None:
         """rows: rid, doc_id, n and two independent 64-bit prints of the set; groups of equal sets; and the hashes that chunks share."""
@@ -131,13 +141,12 @@ class ShingleJoin:
         def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
                 ids, buf, off = opened(row)
-                two, n = [], None
-                for kind in (0, 1):
-                    doc, h = distinct_per_text(*shingle_hashes(buf, off, width, kind))
-                    n = np.bincount(doc, minlength=len(ids)) if n is None else n
-                    at = np.searchsorted(doc, np.arange(len(ids) + 1))
+                h, bounds = shingle_hashes(buf, off, width)
+                doc, *both = distinct_per_text(h, bounds, shingle_hashes(buf, off, width, 1)[0])
+                n, at, two = np.bincount(doc, minlength=len(ids)), np.searchsorted(doc, np.arange(len(ids) + 1)), []
+                for x in both:
                     with np.errstate(over="ignore"):
-                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(1)), dtype=np.uint64)])
+                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(x + np.uint64(1)), dtype=np.uint64)])
                         two.append((sums[at[1:]] - sums[at[:-1]]).view(np.int64))
                 rid = row["cid"] * PER_CHUNK + np.arange(len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(ids, mask=~known_ids(row)), pa.array(n.astype(np.int64)), *map(pa.array, two)], ["rid", "doc_id", "n", "p1", "p2"])
@@ -192,10 +201,12 @@ class ShingleJoin:
                     continue
                 places = np.array(sorted(row["places"]))
                 _, buf, off = opened(row)
+                buf, off = texts_at(buf, off, places)
                 h, bounds = shingle_hashes(buf, off, width)
                 doc, h, g = distinct_per_text(h, bounds, shingle_hashes(buf, off, width, 1)[0])
-                cut = np.searchsorted(doc, [places, places + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(row["cid"] * PER_CHUNK + places), pa.array([pack_sorted(h[a:b]) for a, b in cut.T], pa.binary()), pa.array([g[a:b].tobytes() for a, b in cut.T], pa.binary())], ["rid", "tokens", "more"])
+                cut = np.searchsorted(doc, np.arange(len(places) + 1))
+                spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(row["cid"] * PER_CHUNK + places), pa.array([pack_sorted(h[a:b]) for a, b in spans], pa.binary()), pa.array([g[a:b].tobytes() for a, b in spans], pa.binary())], ["rid", "tokens", "more"])
 
         places = rids.select(F.floor(F.col("rid") / PER_CHUNK).alias("cid"), (F.col("rid") % PER_CHUNK).cast("int").alias("place")).groupBy("cid").agg(F.collect_list("place").alias("places"))
         return self.chunks.joined(places).where("places is not null").mapInArrow(take, "rid long, tokens binary, more binary")
@@ -224,52 +235,68 @@ class ShingleJoin:
 
     def _link(self) -> DataFrame:
         """(node, root) over the representatives of equal sets, as nodes (see _node)."""
-        save, percent = self.scratch.save, self.percent
+        save = self.scratch.save
         raw = save(self._postings(), "postings-all")
         keys = save(raw.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "keys")
         post = save(join_groups(raw, keys, ["key"], "m").select("key", _node("doc_id").alias("node"), "n", "w", "most"), "left-0")
         self.scratch.drop("postings-all")
         self.sets = save(self._needed_sets(post.select("node.rid").distinct()), "sets")
         self.chunks.drop()
-        # sizes close enough, and enough left to share after what comes before the key in either order
-        p = F.col("p")
-        fits = (F.col("n") * 100 >= p["n"] * percent) & (p["n"] * 100 >= F.col("n") * percent) & (F.least("most", p["most"]) * (100 + percent) >= (F.col("n") + p["n"]) * percent)
-        order = F.struct((-F.col("w")).alias("w"), "node")
-        tried = edges = roots = None
-        left, k = post.withColumn("root", F.col("node")), 0
+        roots, left = self._round(post.withColumn("root", F.col("node")), None, 1, 0)
+        k = 1
         while True:
-            # the first pivots of each key, in one row: what follows them in the key's order is tried against them
-            most = PIVOTS[min(k, len(PIVOTS) - 1)]
-            place = F.row_number().over(Window.partitionBy("key").orderBy(order))
-            first = left.withColumn("place", place).where(F.col("place") <= most).groupBy("key").agg(F.collect_list(F.struct(order.alias("at"), "node", "n", "most", "root")).alias("ps"), F.max(order).alias("last"))
             sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-            hot = hot_bound(sizes, "m") is not None
-            placed = left.withColumn("at", order)
-            met = join_groups(placed, save(first.join(sizes.hint("merge"), "key"), f"pivots-{k}"), ["key"], "m") if hot else placed.join(first.hint("merge"), "key")
-            pairs = met.withColumn("p", F.explode("ps")).where((F.col("at") > p["at"]) & (F.col("root") != p["root"]) & fits).select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-            pairs = save(pairs, f"pairs-{k}")
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            if roots is None or not pairs.isEmpty():
-                links = self._verify(pairs, f"links-{k}")
-                edges = links if edges is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
-                roots = components(edges, self.scratch, f"components-{k}")
-            # pivots are done with; of the others, keys whose members are still in different components go on
-            rest = met.where("at > last").select("key", "node", "n", "w", "most").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-            rest = save(rest, f"rest-{k}") if hot else rest
-            if hot:
-                apart = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("m")).where("r1 <> r2").select("key", "m")
-                rest = join_groups(rest, save(apart, f"apart-{k}"), ["key"], "m")
-            else:
-                whole = Window.partitionBy("key")
-                rest = rest.withColumns({"r1": F.min("root").over(whole), "r2": F.max("root").over(whole)}).where("r1 <> r2").drop("r1", "r2")
-            left = save(rest, f"left-{k + 1}")
-            for name in (f"left-{k}", f"pivots-{k}", f"rest-{k}", f"apart-{k}"):
-                self.scratch.drop(name)
+            if (sizes.agg(F.max("m")).first()[0] or 0) <= WHOLE:
+                break
+            sizes = save(sizes, f"sizes-{k}")
+            large = join_groups(left, sizes.where(F.col("m") > WHOLE), ["key"], "m")
+            small = left.join(sizes.where(F.col("m") <= WHOLE).select("key").hint("merge"), "key", "left_semi")
+            roots, rest = self._round(save(large, f"large-{k}"), roots, PIVOTS, k)
+            left = save(small.unionByName(rest), f"left-{k + 1}")
             k += 1
-            if left.isEmpty():
-                return roots
+        return self._pairwise(left, roots, k)
+
+    def _fits(self, a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        """Two entries of a key that may link: in different components, sizes close enough, and enough left to share after what comes before the key in either order."""
+        near = (a("n") * 100 >= b("n") * self.percent) & (b("n") * 100 >= a("n") * self.percent)
+        return (a("root") != b("root")) & near & (F.least(a("most"), b("most")) * (100 + self.percent) >= (a("n") + b("n")) * self.percent)
+
+    def _linked(self, pairs: DataFrame, roots: DataFrame | None, k: int) -> DataFrame:
+        """The roots after the links among the pairs (a, b) that aren't tried yet are added."""
+        pairs = self.scratch.save(pairs.join(self.tried.hint("merge"), ["a", "b"], "left_anti") if self.tried is not None else pairs, f"pairs-{k}")
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        if roots is not None and pairs.isEmpty():
+            return roots
+        edges = self._verify(pairs, f"links-{k}")
+        if roots is not None:
+            edges = edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return components(edges, self.scratch, f"components-{k}")
+
+    def _round(self, left: DataFrame, roots: DataFrame | None, pivots: int, k: int) -> tuple[DataFrame, DataFrame]:
+        """Tries the entries of each key against its first so many, the most typical ones. Then roots, and the other entries of keys that are still in different components."""
+        save, order, p = self.scratch.save, F.struct((-F.col("w")).alias("w"), "node"), F.col("p")
+        place = F.row_number().over(Window.partitionBy("key").orderBy(order))
+        first = left.withColumn("place", place).where(F.col("place") <= pivots).groupBy("key").agg(F.collect_list(F.struct(order.alias("at"), "node", "n", "most", "root")).alias("ps"), F.max(order).alias("last"))
+        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+        hot, placed = hot_bound(sizes, "m") is not None, left.withColumn("at", order)
+        met = join_groups(placed, save(first.join(sizes.hint("merge"), "key"), f"pivots-{k}"), ["key"], "m") if hot else placed.join(first.hint("merge"), "key")
+        pairs = met.withColumn("p", F.explode("ps")).where((F.col("at") > p["at"]) & self._fits(F.col, lambda c: p[c])).select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b")).distinct()
+        roots = self._linked(pairs, roots, k)
+        rest = met.where("at > last").select("key", "node", "n", "w", "most").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if hot:
+            rest = save(rest, f"rest-{k}")
+            apart = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("m")).where("r1 <> r2").select("key", "m")
+            rest = join_groups(rest, save(apart, f"apart-{k}"), ["key"], "m")
+        else:
+            whole = Window.partitionBy("key")
+            rest = rest.withColumns({"r1": F.min("root").over(whole), "r2": F.max("root").over(whole)}).where("r1 <> r2").drop("r1", "r2")
+        return roots, save(rest, f"next-{k}")
+
+    def _pairwise(self, left: DataFrame, roots: DataFrame, k: int) -> DataFrame:
+        """The roots after the entries of each key, WHOLE at most, are tried against each other."""
+        side = lambda x: left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "most", "root")])
+        met = side("a").join(side("b").hint("merge"), "key").where((F.col("node_a") < F.col("node_b")) & self._fits(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b")))
+        return self._linked(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), roots, k)
 
     def groups_of(self) -> DataFrame:
         """rid, doc_id, n_shingles, component_id, is_first: a row per row of the documents.

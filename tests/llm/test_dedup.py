@@ -161,8 +161,9 @@ def test_tokens_are_compared_in_full():
 
 
 def test_a_common_passage_in_many_unlike_texts(spark, monkeypatch):
-    """Keys whose members link with nothing go through several rounds of pivots."""
-    monkeypatch.setattr(shingle_join, "PIVOTS", (1, 2, 3))
+    """Keys whose members link with nothing go through several rounds of pivots, and the last of them pair by pair."""
+    monkeypatch.setattr(shingle_join, "PIVOTS", 9)
+    monkeypatch.setattr(shingle_join, "WHOLE", 20)
     r = random.Random(15)
     common = " ".join(f"c{i}" for i in range(12))
     rows = [(i, common + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(9)), None) for i in range(40)]
