@@ -85,7 +85,7 @@ class Chunks:
 
     def buckets(self, bytes_each: int) -> int:
         """Buckets for hashes, a power of two: at least so many that a task's share is bytes_each of text."""
-        return 1 << (max(self.parts, -(-self.total // bytes_each)) - 1).bit_length()
+        return 1 << (max(self.parts, -(-self.total // bytes_each), 64) - 1).bit_length()
 
     def joined(self, *replies: DataFrame) -> DataFrame:
         """Chunks with the columns of replies (each cid and others, a row per chunk at most); chunks without one have nulls."""
@@ -170,7 +170,12 @@ def send_counts(cid: int, values: np.ndarray, n: np.ndarray, n_buckets: int) ->
     return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "cid": pa.array([cid] * len(full), pa.int64()), "hashes": pa.array([pack_sorted(x) for x in part(values)], pa.binary()), "counts": pa.array([pack_ints(x) for x in part(n)], pa.binary())})
 
 
-def shared_counts(sent: DataFrame) -> DataFrame:
+def by_bucket(sent: DataFrame, n_buckets: int):
+    """sent grouped by bucket, over as many tasks as there are buckets: what a task reads stays the same at any size."""
+    return sent.repartition(n_buckets, "bucket").groupBy("bucket")
+
+
+def shared_counts(sent: DataFrame, n_buckets: int) -> DataFrame:
     """Replies (cid, hashes, counts as lists of blobs): of what each chunk sent, the hashes that all chunks together have at least twice, and how often."""
 
     def meet(got: pa.Table) -> pa.Table:
@@ -188,7 +193,7 @@ def shared_counts(sent: DataFrame) -> DataFrame:
                 out["cid"].append(cid), out["hashes"].append(pack_sorted(h[keep])), out["counts"].append(pack_ints(t[keep]))
         return pa.table({"cid": pa.array(out["cid"], pa.int64()), "hashes": pa.array(out["hashes"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
-    found = sent.groupBy("bucket").applyInArrow(meet, "cid long, hashes binary, counts binary")
+    found = by_bucket(sent, n_buckets).applyInArrow(meet, "cid long, hashes binary, counts binary")
     return found.groupBy("cid").agg(F.collect_list(F.struct("hashes", "counts")).alias("shared"))
 
 

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import SENT, Chunks, looked_up, opened, opened_counts, known_ids, pack_ints, pack_sorted, rows_of, runs_of, send_counts, shared_counts, short, trim, unpack_ints, unpack_sorted
+from .chunks import SENT, Chunks, by_bucket, looked_up, opened, opened_counts, known_ids, pack_ints, pack_sorted, rows_of, runs_of, send_counts, shared_counts, short, trim, unpack_ints, unpack_sorted
 from .common import Scratch
 from .grid import Runs
 
 LENGTH = 100
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -120,7 +120,7 @@ class Repeats:
                     yield send_counts(row["cid"], values, n, n_buckets)
 
         self.samples = self.scratch.save(self.chunks.joined().mapInArrow(sample, "cid long, at binary, lo binary, n binary"), "samples")
-        self.shared = self.scratch.save(shared_counts(self.chunks.joined(self.samples).mapInArrow(send, SENT)), "shared")
+        self.shared = self.scratch.save(shared_counts(self.chunks.joined(self.samples).mapInArrow(send, SENT), n_buckets), "shared")
 
     def _round_2(self) -> None:
         length, n_buckets = self.length, self.n_buckets
@@ -156,7 +156,7 @@ class Repeats:
             return pa.table({"bucket": got["bucket"], "cid": got["cid"], "code": pa.array([p.tobytes() for p in parts], pa.binary())})
 
         sent = self.chunks.joined(self.samples, self.shared).mapInArrow(send, "bucket int, cid long, g binary, c binary, doc binary, lo binary")
-        met = sent.groupBy("bucket").applyInArrow(meet, "bucket int, cid long, code binary")
+        met = by_bucket(sent, n_buckets).applyInArrow(meet, "bucket int, cid long, code binary")
         self.codes = self.scratch.save(met.groupBy("cid").agg(F.collect_list(F.struct("bucket", "code")).alias("codes")), "codes")
 
     def _round_3(self) -> None:
@@ -190,7 +190,7 @@ class Repeats:
             return pa.table({"bucket": got["bucket"], "cid": got["cid"], "again": pa.array([p.astype(np.uint8).tobytes() for p in parts], pa.binary())})
 
         sent = self.chunks.joined(self.samples, self.shared, self.codes).where("codes is not null").mapInArrow(send, "bucket int, cid long, g binary, n binary, doc binary, lo binary, strings binary")
-        met = sent.groupBy("bucket").applyInArrow(meet, "bucket int, cid long, again binary")
+        met = by_bucket(sent, n_buckets).applyInArrow(meet, "bucket int, cid long, again binary")
         self.strings = self.scratch.save(met.groupBy("cid").agg(F.collect_list(F.struct("bucket", "again")).alias("strings")), "strings")
 
     def result(self, with_text: bool = False) -> DataFrame:

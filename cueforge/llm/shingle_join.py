@@ -167,7 +167,7 @@ class ShingleJoin:
         self.groups = save(groups, "groups")
         one = self.groups.select(F.floor(F.col("rep.rid") / PER_CHUNK).alias("cid"), (F.col("rep.rid") % PER_CHUNK).cast("int").alias("place")).groupBy("cid").agg(F.collect_list("place").alias("one"))
         self.one = save(one, "one")
-        self.shared = save(shared_counts(self.chunks.joined(self.one).mapInArrow(send, SENT)), "shared")
+        self.shared = save(shared_counts(self.chunks.joined(self.one).mapInArrow(send, SENT), n_buckets), "shared")
 
     def _postings(self) -> DataFrame:
         width, percent, rare, large = self.width, self.percent, self.rare, self.large
