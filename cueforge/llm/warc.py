@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, stored
+
 #: Archives are closed at the first record beyond this size.
 ARCHIVE_BYTES = 16 << 20
 RECORD_SCHEMA = "archive string, byte_offset long, inner_offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, gap_from long, gap_to long, gap_reason string"
@@ -355,11 +357,11 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) with payload, first_id and is_revisit.
 
     Of rows with equal payloads of at least min_bytes the one with the smallest page_id is the response, the others
-    are revisits; of rows repeated under that id, the first in the order read, so pages must read alike twice,
-    as tables do. A null html is an empty payload; a null page_id counts as larger than any other, and a revisit of such a
+    are revisits; of rows repeated under that id, the first in the order read. A null html is an empty payload; a null page_id counts as larger than any other, and a revisit of such a
     response refers to nothing. Digests are grouped before the join, so a hot payload is one row of its right side,
     and adaptive execution may split the left.
     """
+    pages = stored(pages, Scratch(pages.sparkSession), "pages")
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"_key": F.sha2("payload", 256), "_row": F.monotonically_increasing_id()})
     first = rows.groupBy("_key").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "_row")).alias("_first"))
