@@ -51,8 +51,9 @@ def _scaled(grouped: DataFrame) -> DataFrame:
 
 
 def clip_stats(frames: DataFrame) -> DataFrame:
-    """Means of frame statistics (clip, frame, depth, yavg, ymin, ymax, satavg) on a scale of 1: (clip, y_mean, y_range, sat_mean). The last known depth counts for all frames."""
-    last = F.max_by("depth", F.when(F.col("depth").isNotNull(), F.col("frame")))
+    """Means of frame statistics (clip, frame, depth, yavg, ymin, ymax, satavg) on a scale of 1: (clip, y_mean, y_range, sat_mean). The last known depth counts for all frames; without a frame column, the largest."""
+    order = F.col("frame" if "frame" in frames.columns else "depth")
+    last = F.max_by("depth", F.when(F.col("depth").isNotNull(), order))
     return _scaled(frames.groupBy("clip").agg(F.avg("yavg").alias("y"), F.avg("ymin").alias("lo"), F.avg("ymax").alias("hi"), F.avg("satavg").alias("s"), last.alias("depth")))
 
 
