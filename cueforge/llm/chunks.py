@@ -8,6 +8,7 @@ Steps send packed arrays of hashes, one blob per chunk and bucket, rather than a
 from __future__ import annotations
 
 import ctypes
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -18,14 +19,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_bound, join_groups, session_with, spread
+from .common import Scratch, hot_bound, join_groups, partitions, session_with, spread
 from .grid import text_bytes
 
 CHUNK_BYTES = 1 << 20
 #: Bits of the hashes that round trips exchange. Equal short hashes of different runs cost work, never results.
 SHORT_BITS = 48
 #: A document's row number is its chunk's number times this plus its place in the chunk.
-PER_CHUNK = 1 << 20
+PER_CHUNK = 1 << 17
+#: Chunk numbers of a partition: the partition's number times this, and up.
+PER_PART = 1 << 25
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -35,6 +38,42 @@ BUCKET_TEXT = 16 << 20
 MOST_BUCKETS = 50_000
 
 
+def bucket_of(cids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that Spark stores chunk numbers in: its 32-bit Murmur3 hash of a long, seed 42, modulo their number."""
+    v, h = cids.astype(np.uint64), np.full(len(cids), 42, np.uint32)
+    turned = lambda x, k: (x << np.uint32(k)) | (x >> np.uint32(32 - k))
+    with np.errstate(over="ignore"):
+        for half in ((v & np.uint64(0xFFFFFFFF)).astype(np.uint32), (v >> np.uint64(32)).astype(np.uint32)):
+            h = turned(h ^ turned(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(8)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+    return h.view(np.int32).astype(np.int64) % buckets
+
+
+def chunk_numbers(part: int, parts: int, buckets: int, run: float) -> Iterator[int]:
+    """Rising numbers for the chunks of a partition, about run after run in one bucket, so that a task writes a file per run and not one per chunk.
+
+    The partitions (parts of them) begin at places spread evenly over the buckets; those of one size fill them evenly. Should the
+    numbers run short, the rest follow each other.
+    """
+    first, start, n, done, step = part * PER_PART, part * buckets / parts, 0, 0, 1 << 12
+    while True:
+        target = int(start + done / run)
+        left = max(1, math.ceil((target + 1 - start) * run) - done)
+        done += left
+        while left and n < PER_PART - (PER_PART >> 3):
+            at = first + n + np.arange(step)
+            hits = np.nonzero(bucket_of(at, buckets) == target % buckets)[0][:left]
+            yield from at[hits].tolist()
+            left -= len(hits)
+            n += step if left else int(hits[-1]) + 1
+        if left:
+            yield from range(first + n, first + PER_PART)
+            raise ValueError("too many chunks in a partition")
+
+
 class Chunks:
     """The stored chunks: cid, ids (64-bit, null as NO_ID), known (whether an id is none of these), lens, text, n_bytes.
 
@@ -43,13 +82,15 @@ class Chunks:
 
     def __init__(self, docs: DataFrame, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES):
         self.spark, self.scratch = docs.sparkSession, scratch
-        self.wide = session_with(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch="2")
+        self.wide = session_with(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch="2", spark__sql__parquet__columnarReaderBatchSize="8")
         self.total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.parts = min(max(-(-self.total // BUCKET_TEXT), self.spark.sparkContext.defaultParallelism), MOST_BUCKETS)
         self.name = f"cueforge_chunks_{uuid.uuid4().hex}"
+        texts_of = spread(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"))
+        buckets, run, n_parts = self.parts, max(1.0, self.total / (self.parts * chunk_bytes)), partitions(texts_of) or self.spark.sparkContext.defaultParallelism
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, n = TaskContext.get().partitionId(), 0
+            numbers = chunk_numbers(TaskContext.get().partitionId(), n_parts, buckets, run)
             ids: list[np.ndarray] = []
             known: list[np.ndarray] = []
             lens: list[np.ndarray] = []
@@ -57,7 +98,7 @@ class Chunks:
             size = rows = 0
 
             def close() -> pa.RecordBatch:
-                return pa.RecordBatch.from_pydict({"cid": pa.array([(part << 22) + n]), "ids": pa.array([np.concatenate(ids).tobytes()], pa.binary()), "known": pa.array([np.concatenate(known).tobytes()], pa.binary()), "lens": pa.array([np.concatenate(lens).tobytes()], pa.binary()), "text": pa.array([b"".join(texts)], pa.binary()), "n_bytes": pa.array([size], pa.int64())})
+                return pa.RecordBatch.from_pydict({"cid": pa.array([next(numbers)]), "ids": pa.array([np.concatenate(ids).tobytes()], pa.binary()), "known": pa.array([np.concatenate(known).tobytes()], pa.binary()), "lens": pa.array([np.concatenate(lens).tobytes()], pa.binary()), "text": pa.array([b"".join(texts)], pa.binary()), "n_bytes": pa.array([size], pa.int64())})
 
             for batch in batches:
                 buf, off = text_bytes(batch.column(1))
@@ -73,12 +114,12 @@ class Chunks:
                     size, rows, start = size + int(off[stop] - off[start]), rows + stop - start, stop
                     if size >= chunk_bytes or rows >= PER_CHUNK or start < batch.num_rows:
                         yield close()
-                        n, ids, known, lens, texts, size, rows = n + 1, [], [], [], [], 0, 0
+                        ids, known, lens, texts, size, rows = [], [], [], [], 0, 0
             if rows:
                 yield close()
 
-        rows = spread(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")).mapInArrow(pack, "cid long, ids binary, known binary, lens binary, text binary, n_bytes long")
-        rows.write.bucketBy(self.parts, "cid").option("path", f"{scratch.root}/chunks").option("compression", "zstd").saveAsTable(self.name)
+        rows = texts_of.mapInArrow(pack, "cid long, ids binary, known binary, lens binary, text binary, n_bytes long")
+        rows.write.bucketBy(self.parts, "cid").option("path", f"{scratch.root}/chunks").option("compression", "zstd").option("parquet.page.size.row.check.min", "1").option("parquet.enable.dictionary", "false").saveAsTable(self.name)
 
     def table(self) -> DataFrame:
         return self.wide.table(self.name)

@@ -135,12 +135,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def partitions(df: DataFrame) -> int | None:
+    """The number of df's partitions; None for frames with an exchange, which has to run to tell."""
+    return None if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df.rdd.getNumPartitions()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as the cluster runs tasks at once: small tables come in few files.
 
-    Frames with an exchange have their partitions from there; to count them would run it.
+    Frames with an exchange have their partitions from there.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    n, now = df.sparkSession.sparkContext.defaultParallelism, partitions(df)
+    return df if now is None or now >= n else df.repartition(n)

@@ -179,6 +179,21 @@ def test_chunk_buckets_follow_the_text():
         assert [b for b, x, y in zip(at, cut[:-1], cut[1:], strict=True) for _ in range(x, y)] == [int(v) * n >> 48 for v in values]
 
 
+def test_chunk_numbers_fall_into_buckets_by_runs(spark, monkeypatch):
+    ids = np.concatenate([np.arange(50), np.arange(50) + (1 << 25) * 3, [(1 << 43) - 1]])
+    for n in (1, 7, 64, 50_000):
+        hashed = spark.createDataFrame([(int(i),) for i in ids], "i long").selectExpr("i", f"pmod(hash(i), {n}) b").collect()
+        assert chunks.bucket_of(ids, n).tolist() == [r.b for r in hashed]
+        for part in (0, 2):
+            numbers = [x for x, _ in zip(chunks.chunk_numbers(part, 3, n, 4.5), range(40))]
+            assert numbers == sorted(set(numbers)) and all(x // chunks.PER_PART == part for x in numbers)
+            at = chunks.bucket_of(np.array(numbers), n).tolist()
+            assert all((b - int(part * n / 3 + i / 4.5)) % n in (0, 1, n - 1) for i, b in enumerate(at)) and sum(a != b for a, b in zip(at, at[1:])) <= 9
+    monkeypatch.setattr(chunks, "PER_PART", 1 << 16)
+    numbers = [x for x, _ in zip(chunks.chunk_numbers(1, 2, 50_000, 4.0), range(400))]
+    assert numbers == sorted(set(numbers)) and all(x >> 16 == 1 for x in numbers)
+
+
 def test_hot_groups_meet_their_rows_by_broadcast(spark):
     rows = spark.range(6000).selectExpr("if(id % 3 = 0, 0, id) k", "id")
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 2)
