@@ -6,13 +6,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of text that a task takes: some 180,000 words, of which each sort of a chain of windows holds a row.
+TASK_BYTES = 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokens(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataFrame:
-    """Words of conversations on a made timeline, by conv_id. The variant "sparse" has null speakers and events."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), "turn", "role", F.posexplode(F.split("text", r"[ \n]+")).alias("i", "text")).where("text <> ''")
+    """Words of conversations on a made timeline, by conv_id. The variant "sparse" has null speakers and events.
+
+    Turns are dealt by source before they become words, to tasks whose number follows the bytes of text: windows by
+    source need no other exchange, and what one task sorts stays the same as the table grows.
+    """
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), "turn", "role", "text")
+    size = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    few = min(spark.sparkContext.defaultParallelism, 8 * size // TASK_BYTES)  # small tables use all cores
+    c = t.repartition(max(few, size // TASK_BYTES) + 1, "source").select("source", "turn", "role", F.posexplode(F.split("text", r"[ \n]+")).alias("i", "text")).where("text <> ''")
     by_turn = Window.partitionBy("source").orderBy("turn", "i")
     pos = F.col("pos")
     c = c.withColumn("pos", F.row_number().over(by_turn))

@@ -203,3 +203,18 @@ def test_shouted_captions_are_whole(spark, tmp_path):
     for origin in ("documents", "benchmark"):
         assert got[origin, 1] == (clean, clean.upper()) and got[origin, 2] == (None, None) and got[origin, 3] == ("", "")
     assert len(got) == 6
+
+
+def test_tasks_follow_the_bytes_of_text(spark, tmp_path, monkeypatch):
+    from cueforge.sources import adapters
+
+    rows = [(k, turn, "user" if turn % 2 else "system", f"a, b{k} c. " * 40) for k in range(60) for turn in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    size = sum(len(r[3]) for r in rows)
+    got = {}
+    for share in (1, 40):
+        monkeypatch.setattr(adapters, "TASK_BYTES", size // share)
+        p = catalog.phrases_spacing(spark, str(tmp_path))
+        got[share] = (p.rdd.getNumPartitions(), sorted(map(tuple, p.collect())))
+    assert got[1][0] <= 9 and got[40][0] > 40 and got[1][1] == got[40][1] and len(got[1][1]) > 60
+    assert p._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
