@@ -73,14 +73,14 @@ def with_spacing(words: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("source").orderBy("pos")
     kept = words.where(F.col("start").isNotNull() & F.col("end").isNotNull() & token_text(F.lit("word"), F.col("text")).isNotNull())
-    prev = kept.withColumn("_prev", F.lag("end").over(w))
+    prev = kept.withColumn("_prev", F.lag("end").over(w)).withColumn("_gap", F.coalesce(F.col("start") > F.col("_prev"), F.lit(False)))
+    far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = prev.withColumn("_at", (F.row_number().over(w) + F.sum(F.col("_gap").cast("int")).over(far)).cast("int"))
     null = lambda t: F.lit(None).cast(t)
     kinds = dict(words.dtypes)
-    word = F.struct(F.lit(1).alias("o"), "type", "text", "start", "end", "speaker")
-    space = F.struct(F.lit(0).alias("o"), F.lit("spacing").alias("type"), null("string").alias("text"), F.col("_prev").cast(kinds["start"]).alias("start"), F.col("start").cast(kinds["end"]).alias("end"), null("string").alias("speaker"))
-    rows = prev.select("source", "pos", F.inline(F.when(F.col("start") > F.col("_prev"), F.array(space, word)).otherwise(F.array(word))))
-    n = F.row_number().over(Window.partitionBy("source").orderBy("pos", "o"))
-    return rows.select("source", n.alias("pos"), "type", "text", "start", "end", "speaker")
+    word = F.struct(F.col("_at").alias("pos"), "type", "text", "start", "end", "speaker")
+    space = F.struct((F.col("_at") - 1).alias("pos"), F.lit("spacing").alias("type"), null("string").alias("text"), F.col("_prev").cast(kinds["start"]).alias("start"), F.col("start").cast(kinds["end"]).alias("end"), null("string").alias("speaker"))
+    return at.select("source", F.inline(F.when(F.col("_gap"), F.array(space, word)).otherwise(F.array(word))))
 
 
 def flatten_segments(segments: DataFrame, speakers: DataFrame | None = None) -> DataFrame:

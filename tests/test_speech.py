@@ -218,3 +218,8 @@ def test_tasks_follow_the_bytes_of_text(spark, tmp_path, monkeypatch):
         got[share] = (p.rdd.getNumPartitions(), sorted(map(tuple, p.collect())))
     assert got[1][0] <= 9 and got[40][0] > 40 and got[1][1] == got[40][1] and len(got[1][1]) > 60
     assert p._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+
+
+def test_spacing_sorts_once(spark):
+    plan = speech.with_spacing(frame(spark, [word("a", 0.0, 0.1), word("b", 0.2, 0.3)]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Sort [") == 1
