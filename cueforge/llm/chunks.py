@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_bound, join_groups, partitions, session_with, spread
+from ..session import session_with
+from .common import Scratch, hot_bound, join_groups, partitions, spread
 from .grid import text_bytes
 
 CHUNK_BYTES = 1 << 20

@@ -29,17 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def session_with(spark: SparkSession, **settings: str) -> SparkSession:
-    """A session beside spark with its settings but for those given (dots as __): what runs in spark meanwhile is not touched."""
-    own = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if own.conf.isModifiable(key):
-            own.conf.set(key, value)
-    for key, value in settings.items():
-        own.conf.set(key.replace("__", "."), value)
-    return own
-
-
 class Scratch:
     """A fresh folder below the shared folder, for tables that cut lineage or pass data between steps."""
 

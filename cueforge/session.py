@@ -1,4 +1,4 @@
-"""Session helper for tests, benches and scripts; operators take the caller's session."""
+"""Session helpers: one for tests, benches and scripts, and one for steps with settings of their own; operators take the caller's session."""
 
 from __future__ import annotations
 
@@ -21,3 +21,14 @@ def local_session(cpus: int | None = None, partitions: int | None = None, memory
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def session_with(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session beside spark with its settings but for those given (dots as __): what runs in spark meanwhile is not touched."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    for key, value in settings.items():
+        own.conf.set(key.replace("__", "."), value)
+    return own

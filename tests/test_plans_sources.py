@@ -183,6 +183,19 @@ def test_stream_packs_each_file_once(spark, tmp_path):
         assert sorted(r.source for r in rows) == [f"take{i}" for i in range(k + 1) for _ in range(2)]
 
 
+def test_a_batch_of_files_is_listed_by_few_tasks(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    (tmp_path / "in").mkdir()
+    for k in range(60):  # Spark lists up to 32 paths without tasks
+        (tmp_path / "in" / f"take{k}.json").write_text(json.dumps({"words": WORDS}))
+    q = incremental.packed_stream(spark, src, out, ck)
+    q.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(q.runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < max(s.numTasks for s in stages if s) <= incremental.LISTING_TASKS
+    assert spark.read.parquet(out).select("source").distinct().count() == 60
+
+
 def test_entry_and_catalog(spark):
     assert entry.entry(spark).count() > 0
     q, o = entry.queries(), entry.oracle_sql()
