@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from .catalog import _PHR, _RANGES, _TOK, PHRASE_GAP, _phrases_sql, _sql, query
 from .operators import speech
+from .session import session_with
 from .sources import adapters, sinks, transcripts, wav
 from .streaming import incremental
 
+#: Bytes of file contents that a Python worker holds at once, a larger file apart.
+BATCH_BYTES = "8388608"
+
 
 def _folder(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir; a temporary one only on a local master where that is unset."""
@@ -23,13 +27,18 @@ def _folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="cueforge-files-")
 
 
+def _writer(spark: SparkSession) -> SparkSession:
+    """The session for files to be written."""
+    return session_with(spark, spark__sql__execution__arrow__maxBytesPerBatch=BATCH_BYTES)
+
+
 def _written(files: DataFrame, folder: str) -> str:
     sinks.write_files(files, folder).agg(F.sum("size")).first()
     return folder
 
 
 def _transcript_files(spark, d, ascii_only=False) -> str:
-    t = sinks.transcript_json(adapters.tokens(spark, d, "sparse"), "made")
+    t = sinks.transcript_json(adapters.tokens(_writer(spark), d, "sparse"), "made")
     json = sinks.ascii_json(F.col("json")) if ascii_only else F.col("json")
     return _written(t.select(F.concat(F.col("source").cast("string"), F.lit(".json")).alias("name"), json.alias("content")), _folder(spark))
 
@@ -80,7 +89,7 @@ def read_scripts(spark, d):
 
 @query("read_wav", "SELECT vec_id AS clip, len(embedding)::INTEGER AS n, round(list_sum(list_transform(embedding, lambda x: abs(round(x::DOUBLE * 20000)) / 32768)), 9) AS loud, NULL::VARCHAR AS fault FROM embeddings")
 def read_wav(spark, d):
-    clips = adapters.pcm(spark, d).select(F.concat(F.col("clip").cast("string"), F.lit(".wav")).alias("name"), F.transform("pcm", lambda x: F.round(x * 20000).cast("int")).alias("samples"))
+    clips = adapters.pcm(_writer(spark), d).select(F.concat(F.col("clip").cast("string"), F.lit(".wav")).alias("name"), F.transform("pcm", lambda x: F.round(x * 20000).cast("int")).alias("samples"))
     c = wav.wav_clips(spark, _written(wav.wav_files(clips), _folder(spark)))
     return c.select(F.regexp_extract("clip", r"(\d+)\.wav$", 1).cast("long").alias("clip"), F.size("pcm").alias("n"), F.round(F.aggregate("pcm", F.lit(0.0), lambda a, x: a + F.abs(x)), 9).alias("loud"), "fault")
 

@@ -31,18 +31,25 @@ def ascii_json(json: Column) -> Column:
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Writes files (name, content binary) into a folder that all tasks reach, each as a whole; returns what was written (name, size)."""
+    """Writes files (name, content binary) into a folder that all tasks reach, each as a whole; returns what was written (name, size).
+
+    A batch is held while its files are written, without copies of their contents: spark.sql.execution.arrow.maxBytesPerBatch bounds it.
+    """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+        made = set()
         for b in batches:
             sizes = []
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 target = f"{root}/{name}"
-                fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                if (parent := target.rsplit("/", 1)[0]) not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                held = content.as_buffer() or b""
                 with fs.open_output_stream(target) as f:
-                    f.write(content or b"")
-                sizes.append(len(content or b""))
+                    f.write(held)
+                sizes.append(len(held))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["name", "size"])
 
     return files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(put, "name string, size long")

@@ -196,6 +196,26 @@ def test_a_batch_of_files_is_listed_by_few_tasks(spark, tmp_path):
     assert spark.read.parquet(out).select("source").distinct().count() == 60
 
 
+def test_written_batches_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from cueforge import catalog_files
+
+    rows = [(k, 0, "user", "a b c d e " * 50) for k in range(30)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(catalog_files, "BATCH_BYTES", "50000")
+    seen = []
+
+    def written(files, folder):
+        seen.extend(r.n for r in files.select("content").coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in bs), "n long").collect())
+        return put(files, folder)
+
+    put = catalog_files.sinks.write_files
+    monkeypatch.setattr(catalog_files.sinks, "write_files", written)
+    assert catalog_files.read_transcripts(spark, str(tmp_path)).count() == 30 * 250
+    assert sum(seen) > 500_000 and max(seen) < 150_000
+
+
 def test_entry_and_catalog(spark):
     assert entry.entry(spark).count() > 0
     q, o = entry.queries(), entry.oracle_sql()
