@@ -98,7 +98,9 @@ def read_wav(spark, d):
 def packed_file(spark, d):
     """Text files of lines in order, one per source, read back as wholes."""
     p = speech.phrases(adapters.tokens(spark, d), PHRASE_GAP)
-    lines = p.select("source", F.col("phrase").alias("line"), "text").union(p.select("source", F.lit(0), F.concat(F.lit("## "), F.col("source").cast("string"))).distinct())
+    said = F.struct(F.col("phrase").alias("line"), "text")
+    head = F.struct(F.lit(0).alias("line"), F.concat(F.lit("## "), F.col("source").cast("string")).alias("text"))
+    lines = p.select("source", F.inline(F.when(F.col("phrase") == 1, F.array(head, said)).otherwise(F.array(said))))
     folder = _folder(spark)
     sinks.write_lines(lines, folder, ["line"], key="source")
     return spark.read.text(folder, wholetext=True).select("source", F.col("value").alias("text")).withColumn("source", F.col("source").cast("long"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,11 @@ def write_lines(lines: DataFrame, path: str, order: list[str], key: str | None =
     """Lines' text in order, as one file, or one per key under key=...: files are what their readers take as a whole.
 
     A file is written by one task, so lines without a key must fit one: a subtitle file or a listing, not a corpus.
+    Lines that are dealt by the key already stay where they are.
     """
     if key:
-        lines.repartition(key).sortWithinPartitions(key, *order).select(key, "text").write.mode("overwrite").partitionBy(key).text(path)
+        n = F.row_number().over(Window.partitionBy(key).orderBy(*order))  # asks for all of a key in order, and for an exchange only if need be
+        lines.withColumn("_n", n).where("_n > 0").select(key, "text").write.mode("overwrite").partitionBy(key).text(path)
     else:
         lines.orderBy(*order).select("text").coalesce(1).write.mode("overwrite").text(path)
 

@@ -216,6 +216,16 @@ def test_written_batches_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     assert sum(seen) > 500_000 and max(seen) < 150_000
 
 
+def test_keyed_lines_stay_where_they_are_dealt(spark, tmp_path):
+    rows = [(k, n, f"{k} {n}") for k in range(40) for n in (2, 0, 1)]
+    t = spark.createDataFrame(rows, "source long, line int, text string").repartition(23, "source").select("source", "line", F.concat(F.spark_partition_id().cast("string"), F.lit(" "), "text").alias("text"))
+    sinks.write_lines(t.withColumn("text", F.concat_ws(" ", "text", F.spark_partition_id().cast("string"))), str(tmp_path / "x"), ["line"], key="source")
+    got = spark.read.text(str(tmp_path / "x"), wholetext=True).collect()
+    assert len(got) == 40 and all([x.split()[2] for x in r.value.splitlines()] == ["0", "1", "2"] for r in got)
+    names = [p.name for p in (tmp_path / "x").rglob("part-*")]
+    assert len({n.split("-")[1] for n in names}) > 4  # the session has 4 shuffle partitions
+
+
 def test_entry_and_catalog(spark):
     assert entry.entry(spark).count() > 0
     q, o = entry.queries(), entry.oracle_sql()
