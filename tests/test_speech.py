@@ -223,3 +223,20 @@ def test_tasks_follow_the_bytes_of_text(spark, tmp_path, monkeypatch):
 def test_spacing_sorts_once(spark):
     plan = speech.with_spacing(frame(spark, [word("a", 0.0, 0.1), word("b", 0.2, 0.3)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Sort [") == 1
+
+
+@pytest.mark.parametrize("name", ["phrases_speaker_null"])
+def test_a_task_takes_no_more_of_a_larger_table(spark, tmp_path, monkeypatch, name):
+    from cueforge.sources import adapters
+
+    largest, rows = {}, {}
+    for n in (60, 480):
+        made = [(k, turn, "user" if turn % 2 else "system", f"a, b{k} c. " * 40) for k in range(n) for turn in range(3)]
+        spark.createDataFrame(made, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/{n}/conversations.parquet")
+        for size in (8192, 1 << 30):
+            monkeypatch.setattr(adapters, "TASK_BYTES", size, raising=False)
+            p = catalog.QUERIES[name](spark, f"{tmp_path}/{n}").withColumn("task", F.spark_partition_id())
+            largest[n, size] = max(r["count"] for r in p.groupBy("task").count().collect())
+            rows[n, size] = sorted(map(tuple, p.drop("task").collect()), key=repr)
+        assert rows[n, 8192] == rows[n, 1 << 30] and len({r[0] for r in rows[n, 8192]}) == n
+    assert largest[480, 8192] <= 2 * largest[60, 8192]
