@@ -225,7 +225,7 @@ def test_spacing_sorts_once(spark):
     assert plan.split("Initial Plan")[-1].count("Sort [") == 1
 
 
-@pytest.mark.parametrize("name", ["phrases_speaker_null", "packed_lines"])
+@pytest.mark.parametrize("name", ["phrases_speaker_null", "packed_lines", "phrases"])
 def test_a_task_takes_no_more_of_a_larger_table(spark, tmp_path, monkeypatch, name):
     from cueforge.sources import adapters
 
