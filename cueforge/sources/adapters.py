@@ -27,7 +27,8 @@ def tokens(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataFram
     by_turn = Window.partitionBy("source").orderBy("turn", "i")
     pos = F.col("pos")
     c = c.withColumn("pos", F.row_number().over(by_turn))
-    gap = F.when((pos * 7919 + F.col("source") * 104729) % 11 == 0, 700).when((pos * 31 + F.col("source")) % 5 == 0, 500).otherwise(80)
+    at = pos.cast("long")  # a source may have words enough for products beyond 32 bits
+    gap = F.when((at * 7919 + F.col("source") * 104729) % 11 == 0, 700).when((at * 31 + F.col("source")) % 5 == 0, 500).otherwise(80)
     c = c.withColumn("dur", 60 * F.length("text") + 40)
     end = F.sum(F.col("dur") + gap).over(Window.partitionBy("source").orderBy("turn", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     sparse = variant == "sparse"

@@ -240,3 +240,16 @@ def test_a_task_takes_no_more_of_a_larger_table(spark, tmp_path, monkeypatch, na
             rows[n, size] = sorted(map(tuple, p.drop("task").collect()), key=repr)
         assert rows[n, 8192] == rows[n, 1 << 30] and len({r[0] for r in rows[n, 8192]}) == n
     assert largest[480, 8192] <= 2 * largest[60, 8192]
+
+
+def test_a_source_of_very_many_words(spark, tmp_path):
+    from cueforge.sources import adapters
+
+    n, source = 280_000, 3
+    spark.createDataFrame([(source, turn, "user", "a " * (n // 4)) for turn in range(4)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    gaps = [700 if (p * 7919 + source * 104729) % 11 == 0 else 500 if (p * 31 + source) % 5 == 0 else 80 for p in range(1, n + 1)]
+    got = adapters.tokens(spark, str(tmp_path)).agg(F.count("pos"), F.max("pos"), F.sum("start"), F.max("end")).first()
+    ends = [0]
+    for g in gaps:
+        ends.append(ends[-1] + 100 + g)
+    assert tuple(got) == (n, n, sum(ends[1:]) - 100 * n, ends[-1])
