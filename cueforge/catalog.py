@@ -84,8 +84,7 @@ def phrases_spacing(spark, d):
 @query("take_summary", _sql("""SELECT source, count(*)::BIGINT AS n_phrases, (arg_max("end", phrase) - arg_min("start", phrase))::BIGINT AS duration, CASE WHEN (arg_max("end", phrase) - arg_min("start", phrase)) / 1000 < 60 THEN printf('%.1fs', (arg_max("end", phrase) - arg_min("start", phrase)) / 1000.0::DOUBLE)
 ELSE printf('%dm %04.1fs', ((arg_max("end", phrase) - arg_min("start", phrase)) // 60000)::INTEGER, (arg_max("end", phrase) - arg_min("start", phrase)) / 1000.0::DOUBLE - 60 * ((arg_max("end", phrase) - arg_min("start", phrase)) // 60000)) END AS shown FROM phr GROUP BY source""", _TOK, _phrases_sql("plain")))
 def take_summary(spark, d):
-    t = adapters.tokens(spark, d)
-    return speech.takes(speech.phrases(t, PHRASE_GAP), t.select("source").distinct()).withColumn("shown", formats.format_duration(F.col("duration") / 1000))
+    return speech.takes(speech.phrases(adapters.tokens(spark, d), PHRASE_GAP, silent=True)).withColumn("shown", formats.format_duration(F.col("duration") / 1000))
 
 
 @query("pack_totals", _sql("""SELECT count(*)::BIGINT AS n_sources, sum(n)::BIGINT AS n_phrases, sum(d)::BIGINT AS duration FROM (SELECT count(*) AS n, arg_max("end", phrase) - arg_min("start", phrase) AS d FROM phr GROUP BY source)""", _TOK, _phrases_sql("plain")))
@@ -97,8 +96,7 @@ def pack_totals(spark, d):
 UNION ALL SELECT source, 0, '## ' || source || '  (duration: ' || CASE WHEN d < 60000 THEN printf('%.1fs', d / 1000.0::DOUBLE) ELSE printf('%dm %04.1fs', (d // 60000)::INTEGER, d / 1000.0::DOUBLE - 60 * (d // 60000)) END || ', ' || n || ' phrases)' FROM s
 UNION ALL SELECT source, (n + 1)::INTEGER, '' FROM s""", _TOK, _phrases_sql("sparse"), """s AS (SELECT source, count(*) AS n, arg_max("end", phrase) - arg_min("start", phrase) AS d FROM phr GROUP BY source)"""))
 def packed_lines(spark, d):
-    t = adapters.tokens(spark, d, "sparse")
-    return speech.packed_lines(speech.phrases(t, PHRASE_GAP), t.select("source").distinct())
+    return speech.packed_lines(speech.phrases(adapters.tokens(spark, d, "sparse"), PHRASE_GAP, silent=True))
 
 
 @query("spacing_synthesis", _sql('SELECT source, pos, type, text, "start", "end", speaker FROM spaced', _TOK, _SPACED))

@@ -17,12 +17,13 @@ def _kind() -> Column:
     return F.coalesce(F.col("type"), F.lit("word"))
 
 
-def phrases(tokens: DataFrame, threshold: float) -> DataFrame:
+def phrases(tokens: DataFrame, threshold: float, silent: bool = False) -> DataFrame:
     """Phrases (source, phrase, start, end, text, speaker): breaks at gaps of threshold or more and at speaker changes.
 
     A speaker only changes against the phrase's first token, and null never counts as a change. A spacing token
     of threshold or more breaks too. The end is the last token's, not the latest. Blank phrases are left out, but
     their tokens still count as previous ends. phrase numbers the rest per source from 1.
+    With silent, a source whose tokens (with a start, other than spacing) make blank phrases only has one row of nulls.
     """
     by_pos = Window.partitionBy("source").orderBy("pos")
     far = by_pos.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -42,21 +43,32 @@ def phrases(tokens: DataFrame, threshold: float) -> DataFrame:
     p = t.withColumn("_said", said).groupBy("source", "_island", "_part").agg(
         F.min("pos").alias("first_pos"), F.min_by("start", "pos").alias("start"), F.max_by("_end", "pos").alias("end"),
         close_marks(F.array_join(words, " ")).alias("text"), F.min_by(F.struct("speaker"), "pos")["speaker"].alias("speaker"),
-    ).where("text <> ''")
-    return p.select("source", F.row_number().over(Window.partitionBy("source").orderBy("first_pos")).alias("phrase"), "start", "end", "text", "speaker")
+    )
+    if not silent:
+        return p.where("text <> ''").select("source", F.row_number().over(Window.partitionBy("source").orderBy("first_pos")).alias("phrase"), "start", "end", "text", "speaker")
+    heard = F.col("text") != ""
+    p = p.withColumn("phrase", F.row_number().over(Window.partitionBy("source").orderBy(heard.desc(), "first_pos")))
+    return p.where(heard | (F.col("phrase") == 1)).select("source", *[F.when(heard, F.col(c)).alias(c) for c in ("phrase", "start", "end", "text", "speaker")])
 
 
-def takes(phrased: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per source of sources: n_phrases and duration (last end less first start, 0 without phrases)."""
-    t = phrased.groupBy("source").agg(F.count(F.lit(1)).alias("n_phrases"), (F.max_by("end", "phrase") - F.min_by("start", "phrase")).alias("duration"))
-    return sources.join(t, "source", "left").fillna({"n_phrases": 0, "duration": 0})
+def takes(phrased: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Per source of sources: n_phrases and duration (last end less first start, 0 without phrases).
+
+    Without sources, per source of phrased: its silent ones may be there as rows of nulls.
+    """
+    t = phrased.groupBy("source").agg(F.count("phrase").alias("n_phrases"), (F.max_by("end", "phrase") - F.min_by("start", "phrase")).alias("duration"))
+    return (t if sources is None else sources.join(t, "source", "left")).fillna({"n_phrases": 0, "duration": 0})
 
 
-def packed_lines(phrased: DataFrame, sources: DataFrame, per_second: int = 1000) -> DataFrame:
-    """Lines (source, line, text) of the packed transcript per source: heading, phrases or a remark, blank line."""
+def packed_lines(phrased: DataFrame, sources: DataFrame | None = None, per_second: int = 1000) -> DataFrame:
+    """Lines (source, line, text) of the packed transcript per source: heading, phrases or a remark, blank line.
+
+    Without sources, those of phrased: its silent ones may be there as rows of nulls, and nothing is dealt out for a join.
+    """
     every = Window.partitionBy("source")
     first, last = F.min_by("start", "phrase").over(every), F.max_by("end", "phrase").over(every)
-    rows = sources.select("source").join(phrased, "source", "left").withColumns({"_n": F.count("phrase").over(every), "_d": F.coalesce((last - first) / per_second, F.lit(0.0))})
+    rows = phrased if sources is None else sources.select("source").join(phrased, "source", "left")
+    rows = rows.withColumns({"_n": F.count("phrase").over(every), "_d": F.coalesce((last - first) / per_second, F.lit(0.0))})
     line = lambda n, text: F.struct(n.cast("int").alias("line"), text.alias("text"))
     head = line(F.lit(0), F.concat(F.lit("## "), F.col("source").cast("string"), F.lit("  (duration: "), format_duration(F.col("_d")), F.lit(", "), F.col("_n").cast("string"), F.lit(" phrases)")))
     said = F.concat(F.lit("  ["), format_time(F.col("start") / per_second), F.lit("-"), format_time(F.col("end") / per_second), F.lit("]"), speaker_tag(F.col("speaker")), F.lit(" "), F.col("text"))

@@ -253,3 +253,24 @@ def test_a_source_of_very_many_words(spark, tmp_path):
     for g in gaps:
         ends.append(ends[-1] + 100 + g)
     assert tuple(got) == (n, n, sum(ends[1:]) - 100 * n, ends[-1])
+
+
+def test_takes_and_lines_deal_the_text_once(spark, tmp_path):
+    rows = [(None, 1, "user", "one two, three"), (2, 1, "user", " "), (3, 1, "speaker_1", "four")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    lines, takes = catalog.packed_lines(spark, str(tmp_path)), catalog.take_summary(spark, str(tmp_path))
+    for df in (lines, takes):
+        assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+    assert sorted(((r.source or 0, r.line, r.text) for r in lines.collect()), key=lambda r: r[:2]) == [
+        (0, 0, None), (0, 1, "  [000.08-001.08] Suser one two, three"), (0, 2, ""),
+        (3, 0, "## 3  (duration: 0.3s, 1 phrases)"), (3, 1, "  [000.08-000.36] S1 four"), (3, 2, ""),
+    ]
+    assert sorted((r.source or 0, r.n_phrases, r.duration) for r in takes.collect()) == [(0, 1, 1000), (3, 1, 280)]
+
+
+def test_silent_sources_have_a_row(spark):
+    rows = [word("hi", 0.0, 0.2, "speaker_1"), word(" ", 9.0, 9.1), word("ho", 20.0, 20.1)]
+    p = speech.phrases(frame(spark, rows).union(frame(spark, [word("", 0.0, 0.1), word(None, 5.0, 5.1)], "b")), 0.5, silent=True)
+    assert [tuple(r)[:5] for r in p.orderBy("source", "phrase").collect()] == [("a", 1, 0.0, 0.2, "hi"), ("a", 2, 20.0, 20.1, "ho"), ("b", None, None, None, None)]
+    assert [r.text for r in speech.packed_lines(p, per_second=1).where("source = 'b'").orderBy("line").collect()] == ["## b  (duration: 0.0s, 0 phrases)", "  _no speech detected_", ""]
+    assert sorted(map(tuple, speech.takes(p).collect()))[1] == ("b", 0, 0.0)
